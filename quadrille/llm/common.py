@@ -100,8 +100,9 @@ BITMAP_BITS = 18
 
 def bitmap_of(hashes: DataFrame, bits: int = BITMAP_BITS) -> bytes:
     """A bitmap of 2**bits bits with one bit set per value of the only (long) column: at most 2**(bits-6) rows reach the driver."""
-    h = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
-    words = hashes.select(F.shiftright(h, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    hashes = hashes.toDF("h")
+    h = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.select(F.shiftright(h, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
     out = np.zeros(1 << (bits - 6), np.uint64)
     for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
         out[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)

@@ -1,6 +1,12 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB oracles."""
 
+from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import op10_mixing
+from .sharding import OP7_SQL, op7_sharding
 
-QUERIES = {"op10_mixing": op10_mixing}
-ORACLES: dict = {}
+QUERIES = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_sharding": op7_sharding,
+    "op10_mixing": op10_mixing,
+}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op7_sharding": OP7_SQL}
