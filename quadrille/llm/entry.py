@@ -2,11 +2,13 @@
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import op10_mixing
+from .near_dedup import op8_near_dedup
 from .sharding import OP7_SQL, op7_sharding
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_near_dedup": op8_near_dedup,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op7_sharding": OP7_SQL}
