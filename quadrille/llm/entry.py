@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB oracles."""
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .language import op9_language
 from .mixing import op10_mixing
 from .near_dedup import op8_near_dedup
 from .sharding import OP7_SQL, op7_sharding
@@ -9,6 +10,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sharding": op7_sharding,
     "op8_near_dedup": op8_near_dedup,
+    "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op7_sharding": OP7_SQL}
