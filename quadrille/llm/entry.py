@@ -5,12 +5,14 @@ from .language import op9_language
 from .mixing import op10_mixing
 from .near_dedup import op8_near_dedup
 from .sharding import OP7_SQL, op7_sharding
+from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
     "op8_near_dedup": op8_near_dedup,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op7_sharding": OP7_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_sharding": OP7_SQL}
