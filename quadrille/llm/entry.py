@@ -6,10 +6,12 @@ from .mixing import op10_mixing
 from .near_dedup import op8_near_dedup
 from .sentencepiece import op1_sentencepiece
 from .sharding import OP7_SQL, op7_sharding
+from .token_store import op2_token_store
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_token_store": op2_token_store,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
