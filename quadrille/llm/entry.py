@@ -4,6 +4,7 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language import op9_language
 from .mixing import op10_mixing
 from .near_dedup import op8_near_dedup
+from .nearest import op3_nearest
 from .sentencepiece import op1_sentencepiece
 from .sharding import OP7_SQL, op7_sharding
 from .token_store import op2_token_store
@@ -12,6 +13,7 @@ from .warc import OP6_SQL, op6_warc
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_store": op2_token_store,
+    "op3_nearest": op3_nearest,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
