@@ -2,6 +2,7 @@
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language import op9_language
+from .lm import op4_lm_score
 from .mixing import op10_mixing
 from .near_dedup import op8_near_dedup
 from .nearest import op3_nearest
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_store": op2_token_store,
     "op3_nearest": op3_nearest,
+    "op4_lm_score": op4_lm_score,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
