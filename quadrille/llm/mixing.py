@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import running_sums, saved, text_of, word_count
@@ -123,11 +123,33 @@ def mix_sized(sized: DataFrame, seed: int = 7, chunk_rows: int = CHUNK_ROWS, fan
     return result.drop("frac", "chunk", "levels")
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    return saved(docs.select("doc_id", "source", word_count(text_of(docs)).alias("size")), "sizes")
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (words, repeats counted)."""
-    sized = saved(docs.select("doc_id", "source", word_count(text_of(docs)).alias("size")), "sizes")
-    out = mix_sized(sized, **how)
-    return out.withColumn("taken", F.col("size") * F.col("copies"))
+    return mix_sized(_sized(docs), **how).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """docs as mixed: each row as often as it is taken, with all of docs' columns.
+
+    Rows are matched by (doc_id, source, size). Rows that agree in all three have their copies dealt in a stable order of their
+    texts' hashes; a row of 0 words is taken as often as its source's ratio says, in whole copies.
+    """
+    key = ["doc_id", "source", "size"]
+    taken = mix_sized(_sized(docs), **how).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    taken = saved(taken.select(*[F.col(c).alias(f"_{c}") for c in key], "_copies", "_rows"), "mix-taken")
+    sized = docs.withColumn("_n", word_count(text_of(docs)))
+    same = sized["doc_id"].eqNullSafe(taken["_doc_id"]) & sized["source"].eqNullSafe(taken["_source"]) & (sized["_n"] == taken["_size"])
+    both = sized.join(taken, same)
+    one = both.where("_rows = 1").withColumn("_k", F.lit(0).cast("long"))
+    if taken.where("_rows > 1").limit(1).count():
+        order = Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
+        one = one.unionByName(both.where("_rows > 1").withColumn("_k", (F.row_number().over(order) - 1).cast("long")))
+    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_k") < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    return one.withColumn("_t", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
