@@ -1,4 +1,228 @@
-"""Named queries over the lineitem-derived rectangles, and their SQL oracles."""
+"""Named queries over the lineitem-derived rectangles and the generated workloads, and their SQL oracles.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The oracles count unit cells, so they share nothing with the strip sweep but the input rectangles.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.geometry import drop_collinear, ring_area2
+from ..model import ContourDirection, FillRule, Options, OverlayRule
+from ..operators import boundary, edges, split
+from ..operators.overlay import Overlay
+from ..sources.contours import lineitem_contours
+from ..sources.generators import GENERATORS
+
+RECTS = """
+rects AS (
+  SELECT CAST(l_suppkey % 16 AS BIGINT) AS g, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS clip, CASE WHEN l_linestatus = 'F' THEN -1 ELSE 1 END AS w,
+         CAST(l_partkey % 509 AS INT) AS x0, CAST((l_orderkey*31 + l_linenumber*17) % 503 AS INT) AS y0,
+         CAST(l_partkey % 509 + 1 + CAST(floor(l_quantity) AS BIGINT) % 13 AS INT) AS x1,
+         CAST((l_orderkey*31 + l_linenumber*17) % 503 + 1 + CAST(floor(l_extendedprice) AS BIGINT) % 11 AS INT) AS y1
+  FROM lineitem)"""
+CELLS = RECTS + """,
+columns_ AS (SELECT g, clip, w, y0, y1, unnest(range(x0, x1)) AS x FROM rects),
+unit AS (SELECT g, clip, w, x, unnest(range(y0, y1)) AS y FROM columns_),
+cells AS (SELECT g, x, y, CAST(sum(w * (1 - clip)) AS BIGINT) AS ws, CAST(sum(w * clip) AS BIGINT) AS wc FROM unit GROUP BY ALL)"""
+SEGS = RECTS + """,
+raw AS (
+  SELECT g, 'H' AS o, y0 AS pos, x0 AS lo, x1 AS hi, w, clip FROM rects UNION ALL SELECT g, 'H', y1, x0, x1, -w, clip FROM rects
+  UNION ALL SELECT g, 'V', x1, y0, y1, w, clip FROM rects UNION ALL SELECT g, 'V', x0, y0, y1, -w, clip FROM rects),
+segs AS (
+  SELECT g, o, pos, lo, hi, CAST(sum(w * (1 - clip)) AS BIGINT) AS subj, CAST(sum(w * clip) AS BIGINT) AS clip
+  FROM raw GROUP BY g, o, pos, lo, hi HAVING sum(w * (1 - clip)) <> 0 OR sum(w * clip) <> 0)"""
+FILL_SQL = {FillRule.EVEN_ODD: "{w} % 2 <> 0", FillRule.NON_ZERO: "{w} <> 0", FillRule.POSITIVE: "{w} > 0", FillRule.NEGATIVE: "{w} < 0"}
+RULE_SQL = {
+    OverlayRule.SUBJECT: "({s})", OverlayRule.CLIP: "({c})", OverlayRule.INTERSECT: "(({s}) AND ({c}))", OverlayRule.UNION: "(({s}) OR ({c}))",
+    OverlayRule.DIFFERENCE: "(({s}) AND NOT ({c}))", OverlayRule.INVERSE_DIFFERENCE: "(({c}) AND NOT ({s}))", OverlayRule.XOR: "(({s}) <> ({c}))",
+}
+
+
+def _inside_sql(rule: OverlayRule, fill: FillRule, s: str = "ws", c: str = "wc") -> str:
+    return RULE_SQL[rule].format(s=FILL_SQL[fill].format(w=s), c=FILL_SQL[fill].format(w=c))
+
+
+def _overlay(spark: SparkSession, d: str, options: Options = Options()) -> Overlay:
+    return Overlay(lineitem_contours(spark, d), options)
+
+
+def ring_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = edges.edges(lineitem_contours(spark, d), simplify=False)
+    return e.groupBy("group_id", "shape_type").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("p.x").cast("long") * 3 + F.col("q.y")).alias("checksum"))
+
+
+def drop_collinear_points(spark: SparkSession, d: str) -> DataFrame:
+    """Rings with the middle of every edge added and a spike at a corner come back to their four corners."""
+    c = lineitem_contours(spark, d)
+    dense = F.flatten(F.transform(F.sequence(F.lit(1), F.size("points")), lambda i: F.array(F.element_at("points", i), F.element_at("points", i))))
+    kept = c.select("group_id", drop_collinear(F.array_distinct(dense)).alias("points"))
+    return kept.groupBy("group_id").agg(F.sum(F.size("points")).cast("long").alias("n_points"), F.sum(F.abs(ring_area2(F.col("points"))) / 2).cast("long").alias("gross_area"))
+
+
+def signed_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = edges.segments(lineitem_contours(spark, d))
+    return s.groupBy("group_id", "orient").agg(F.count(F.lit(1)).alias("n"), F.sum("subj").alias("subj"), F.sum("clip").alias("clip"), F.sum((F.col("hi").cast("long") - F.col("lo")) * (F.col("subj") + 2 * F.col("clip")) * F.col("pos")).alias("moment"))
+
+
+def orientation_counts(spark: SparkSession, d: str) -> DataFrame:
+    s = edges.segments(lineitem_contours(spark, d))
+    return s.groupBy("orient").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hi").cast("long") - F.col("lo")).alias("length"))
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return edges.merge(edges.segments(lineitem_contours(spark, d)))
+
+
+def merge_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d)
+
+
+def bbox(spark: SparkSession, d: str) -> DataFrame:
+    return edges.bounds(lineitem_contours(spark, d))
+
+
+def bucket_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return split.bucketed(_merged(spark, d), Options().bucket_power).groupBy("group_id", "bucket", "orient").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hv_intersections(spark: SparkSession, d: str) -> DataFrame:
+    met = split.intersections(_merged(spark, d), Options().bucket_power)
+    strict = (F.col("y") > F.col("v_lo")) & (F.col("y") < F.col("v_hi")) & (F.col("x") > F.col("h_lo")) & (F.col("x") < F.col("h_hi"))
+    return met.groupBy("group_id").agg(F.count(F.lit(1)).alias("meetings"), F.count(F.when(strict, 1)).alias("crossings"))
+
+
+def split_segments(spark: SparkSession, d: str) -> DataFrame:
+    return split.split(_merged(spark, d), Options().bucket_power)
+
+
+def winding_slabs(spark: SparkSession, d: str) -> DataFrame:
+    """Cells by winding: the slabs' sizes summed per pair of winding numbers."""
+    size = (F.col("x1").cast("long") - F.col("x0")) * (F.col("y1").cast("long") - F.col("y0"))
+    return _overlay(spark, d).slabs.where("ws <> 0 or wc <> 0").groupBy("group_id", "ws", "wc").agg(F.sum(size).alias("cells"))
+
+
+def area_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _overlay(spark, d).area_matrix()
+
+
+def boundary_links(spark: SparkSession, d: str) -> DataFrame:
+    m = _overlay(spark, d).masked_segments(FillRule.NON_ZERO)
+    return m.groupBy("group_id", "orient", "fill").agg(F.sum(F.col("bx").cast("long") - F.col("ax") + F.col("by") - F.col("ay")).alias("length"))
+
+
+def perimeter(spark: SparkSession, d: str) -> DataFrame:
+    links = _overlay(spark, d).links(OverlayRule.UNION)
+    return links.groupBy("group_id").agg(F.sum(F.col("bx").cast("long") - F.col("ax") + F.col("by") - F.col("ay")).alias("perimeter"))
+
+
+def node_degree(spark: SparkSession, d: str) -> DataFrame:
+    n = boundary.nodes(_overlay(spark, d).links(OverlayRule.XOR)).where("h > 0 and v > 0")
+    return n.groupBy("group_id", "degree").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def shape_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Net area of the traced shapes: outer rings less their holes."""
+    s = _overlay(spark, d).shapes(OverlayRule.UNION)
+    net = F.aggregate(F.transform("contours", lambda r: ring_area2(r)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return s.groupBy("group_id").agg((F.sum(net) / 2).cast("long").alias("area"))
+
+
+def hole_binding(spark: SparkSession, d: str) -> DataFrame:
+    s = _overlay(spark, d).shapes(OverlayRule.SUBJECT)
+    return s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_shapes"), F.sum(F.size("contours") - 1).alias("n_holes"))
+
+
+def flat_contours(spark: SparkSession, d: str) -> DataFrame:
+    c = _overlay(spark, d).flat_contours(OverlayRule.INTERSECT)
+    return c.groupBy("group_id").agg((F.sum(ring_area2(F.col("points"))) / 2).cast("long").alias("area"))
+
+
+def min_area(spark: SparkSession, d: str) -> DataFrame:
+    s = _overlay(spark, d, Options(min_output_area=40)).shapes(OverlayRule.XOR)
+    return s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_shapes"), F.sum(F.size("contours")).alias("n_rings"))
+
+
+def cw_output(spark: SparkSession, d: str) -> DataFrame:
+    s = _overlay(spark, d, Options(output_direction=ContourDirection.CLOCKWISE)).flat_contours(OverlayRule.INTERSECT)
+    return s.groupBy("group_id").agg((F.sum(ring_area2(F.col("points"))) / 2).cast("long").alias("area"))
+
+
+def quarantined(spark: SparkSession, d: str) -> DataFrame:
+    o = Overlay(GENERATORS["windmill"](spark, 8))
+    return o.rejects.groupBy("shape_type", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES: dict = {
+    f.__name__: f
+    for f in (
+        ring_edges, drop_collinear_points, signed_segments, orientation_counts, merge_segments, bbox, bucket_histogram, hv_intersections, split_segments, winding_slabs,
+        area_matrix, boundary_links, perimeter, node_degree, shape_rings, hole_binding, flat_contours, min_area, cw_output, quarantined,
+    )
+}
+AREA_SQL = "WITH " + CELLS + " SELECT g AS group_id, CAST(count(*) AS BIGINT) AS area FROM cells WHERE {where} GROUP BY g"
+_EDGE = """,
+known AS (SELECT g, x, y, {s} AS s, {c} AS c FROM cells),
+inner_ AS (SELECT * FROM known WHERE s OR c),
+around AS (SELECT g, x, y FROM inner_ UNION SELECT g, x, y + 1 FROM inner_ UNION SELECT g, x + 1, y FROM inner_),
+h AS (SELECT a.g, 'H' AS orient, coalesce(t.s, FALSE)::INT + 2 * coalesce(b.s, FALSE)::INT + 4 * coalesce(t.c, FALSE)::INT + 8 * coalesce(b.c, FALSE)::INT AS fill
+      FROM around a LEFT JOIN inner_ t ON t.g = a.g AND t.x = a.x AND t.y = a.y LEFT JOIN inner_ b ON b.g = a.g AND b.x = a.x AND b.y = a.y - 1),
+v AS (SELECT a.g, 'V' AS orient, coalesce(l.s, FALSE)::INT + 2 * coalesce(r.s, FALSE)::INT + 4 * coalesce(l.c, FALSE)::INT + 8 * coalesce(r.c, FALSE)::INT AS fill
+      FROM around a LEFT JOIN inner_ r ON r.g = a.g AND r.x = a.x AND r.y = a.y LEFT JOIN inner_ l ON l.g = a.g AND l.x = a.x - 1 AND l.y = a.y),
+e AS (SELECT * FROM h UNION ALL SELECT * FROM v)""".format(s="ws <> 0", c="wc <> 0")
+ORACLES: dict = {
+    "ring_edges": "WITH " + RECTS + """, corners AS (
+  SELECT g, clip, unnest([struct_pack(px := x0, qy := CASE WHEN w > 0 THEN y0 ELSE y1 END), struct_pack(px := CASE WHEN w > 0 THEN x1 ELSE x0 END, qy := CASE WHEN w > 0 THEN y1 ELSE y1 END),
+         struct_pack(px := x1, qy := CASE WHEN w > 0 THEN y1 ELSE y0 END), struct_pack(px := CASE WHEN w > 0 THEN x0 ELSE x1 END, qy := y0)]) AS e FROM rects)
+SELECT g AS group_id, CASE WHEN clip = 1 THEN 'clip' ELSE 'subject' END AS shape_type, count(*) AS n_edges, CAST(sum(CAST(e.px AS BIGINT) * 3 + e.qy) AS BIGINT) AS checksum FROM corners GROUP BY ALL""",
+    "drop_collinear_points": "WITH " + RECTS + " SELECT g AS group_id, CAST(count(*) * 4 AS BIGINT) AS n_points, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS gross_area FROM rects GROUP BY g",
+    "signed_segments": "WITH " + SEGS + """ SELECT g AS group_id, o AS orient, count(*) AS n, CAST(sum(w * (1 - clip)) AS BIGINT) AS subj, CAST(sum(w * clip) AS BIGINT) AS clip,
+  CAST(sum(CAST(hi - lo AS BIGINT) * (w * (1 - raw.clip) + 2 * w * raw.clip) * pos) AS BIGINT) AS moment FROM raw GROUP BY g, o""",
+    "orientation_counts": "WITH " + SEGS + " SELECT o AS orient, count(*) AS n, CAST(sum(hi - lo) AS BIGINT) AS length FROM raw GROUP BY o",
+    "merge_segments": "WITH " + SEGS + " SELECT g AS group_id, o AS orient, pos, lo, hi, subj, clip FROM segs",
+    "bbox": "WITH " + RECTS + " SELECT g AS group_id, min(x0) AS min_x, max(x1) AS max_x, min(y0) AS min_y, max(y1) AS max_y, CAST(4 * count(*) AS BIGINT) AS n_points FROM rects GROUP BY g",
+    "bucket_histogram": "WITH " + SEGS + """, b AS (SELECT g, o, CASE WHEN o = 'V' THEN pos ELSE lo END // 16 AS b0, CASE WHEN o = 'V' THEN pos ELSE hi END // 16 AS b1 FROM segs),
+u AS (SELECT g, o, unnest(range(b0, b1 + 1)) AS bucket FROM b) SELECT g AS group_id, CAST(bucket AS BIGINT) AS bucket, o AS orient, count(*) AS n FROM u GROUP BY ALL""",
+    "hv_intersections": "WITH " + SEGS + """, hs AS (SELECT *, unnest(range(lo // 16, hi // 16 + 1)) AS b FROM segs WHERE o = 'H')
+SELECT v.g AS group_id, count(*) AS meetings, count(*) FILTER (WHERE h.pos > v.lo AND h.pos < v.hi AND v.pos > h.lo AND v.pos < h.hi) AS crossings
+FROM segs v JOIN hs h ON v.g = h.g AND h.b = v.pos // 16 AND h.pos BETWEEN v.lo AND v.hi AND v.pos BETWEEN h.lo AND h.hi WHERE v.o = 'V' GROUP BY v.g""",
+    "split_segments": "WITH " + SEGS + """, hs AS (SELECT *, unnest(range(lo // 16, hi // 16 + 1)) AS b FROM segs WHERE o = 'H'),
+met AS (SELECT v.g, v.pos AS x, h.pos AS y, v.lo AS vlo, v.hi AS vhi, h.lo AS hlo, h.hi AS hhi FROM segs v JOIN hs h ON v.g = h.g AND h.b = v.pos // 16 AND h.pos BETWEEN v.lo AND v.hi AND v.pos BETWEEN h.lo AND h.hi WHERE v.o = 'V'),
+pts AS (SELECT g, o, pos, lo, hi, unnest([lo, hi]) AS p FROM segs UNION SELECT g, 'V', x, vlo, vhi, y FROM met WHERE y > vlo AND y < vhi UNION SELECT g, 'H', y, hlo, hhi, x FROM met WHERE x > hlo AND x < hhi),
+pieces AS (SELECT *, lead(p) OVER (PARTITION BY g, o, pos, lo, hi ORDER BY p) AS q FROM pts)
+SELECT p.g AS group_id, p.o AS orient, p.pos, p.p AS lo, p.q AS hi, CAST(sum(s.subj) AS BIGINT) AS subj, CAST(sum(s.clip) AS BIGINT) AS clip
+FROM pieces p JOIN segs s ON s.g = p.g AND s.o = p.o AND s.pos = p.pos AND s.lo = p.lo AND s.hi = p.hi WHERE q IS NOT NULL GROUP BY ALL HAVING sum(s.subj) <> 0 OR sum(s.clip) <> 0""",
+    "winding_slabs": "WITH " + CELLS + " SELECT g AS group_id, ws, wc, CAST(count(*) AS BIGINT) AS cells FROM cells WHERE ws <> 0 OR wc <> 0 GROUP BY ALL",
+    "area_matrix": "WITH " + CELLS + " SELECT g AS group_id, " + ", ".join(f"CAST(count(*) FILTER (WHERE {_inside_sql(r, f)}) AS BIGINT) AS {f.value}_{r.value}" for f in FillRule for r in OverlayRule) + " FROM cells GROUP BY g",
+    "boundary_links": "WITH " + CELLS + _EDGE + " SELECT g AS group_id, orient, CAST(fill AS INT) AS fill, CAST(count(*) AS BIGINT) AS length FROM e WHERE (fill & 1) <> (fill & 2) // 2 OR (fill & 4) // 4 <> (fill & 8) // 8 GROUP BY ALL",
+    "perimeter": "WITH " + CELLS + _EDGE + " SELECT g AS group_id, CAST(count(*) AS BIGINT) AS perimeter FROM e WHERE ((fill & 5) <> 0) <> ((fill & 10) <> 0) GROUP BY g",
+    "node_degree": "WITH " + CELLS + """, i AS (SELECT g, x, y FROM cells WHERE (ws <> 0) <> (wc <> 0)),
+p AS (SELECT g, x, y FROM i UNION SELECT g, x + 1, y FROM i UNION SELECT g, x, y + 1 FROM i UNION SELECT g, x + 1, y + 1 FROM i),
+q AS (SELECT p.g, (a.g IS NOT NULL)::INT AS ne, (b.g IS NOT NULL)::INT AS nw, (c.g IS NOT NULL)::INT AS se, (d.g IS NOT NULL)::INT AS sw FROM p
+  LEFT JOIN i a ON a.g = p.g AND a.x = p.x AND a.y = p.y LEFT JOIN i b ON b.g = p.g AND b.x = p.x - 1 AND b.y = p.y
+  LEFT JOIN i c ON c.g = p.g AND c.x = p.x AND c.y = p.y - 1 LEFT JOIN i d ON d.g = p.g AND d.x = p.x - 1 AND d.y = p.y - 1),
+n AS (SELECT g, (ne <> nw)::INT AS n, (se <> sw)::INT AS s, (ne <> se)::INT AS e, (nw <> sw)::INT AS w FROM q)
+SELECT g AS group_id, CAST(n + s + e + w AS BIGINT) AS degree, count(*) AS n_nodes FROM n WHERE n + s > 0 AND e + w > 0 GROUP BY ALL""",
+    "shape_rings": AREA_SQL.format(where=_inside_sql(OverlayRule.UNION, FillRule.NON_ZERO)),
+    "flat_contours": AREA_SQL.format(where=_inside_sql(OverlayRule.INTERSECT, FillRule.NON_ZERO)),
+    "cw_output": "WITH " + CELLS + f" SELECT g AS group_id, CAST(-count(*) AS BIGINT) AS area FROM cells WHERE {_inside_sql(OverlayRule.INTERSECT, FillRule.NON_ZERO)} GROUP BY g",
+    "quarantined": "SELECT 'subject' AS shape_type, 'diagonal edge' AS reason, CAST(256 AS BIGINT) AS n",
+}
+for _f in FillRule:
+    QUERIES[f"fill_{_f.value}"] = lambda s, d, f=_f: _overlay(s, d).area(OverlayRule.UNION, f)
+    ORACLES[f"fill_{_f.value}"] = AREA_SQL.format(where=_inside_sql(OverlayRule.UNION, _f))
+for _r in OverlayRule:
+    QUERIES[f"rule_{_r.value}"] = lambda s, d, r=_r: _overlay(s, d).area(r, FillRule.NON_ZERO)
+    ORACLES[f"rule_{_r.value}"] = AREA_SQL.format(where=_inside_sql(_r, FillRule.NON_ZERO))
+#: workload, n, rule, area by formula
+BENCH = (
+    ("checkerboard", 64, OverlayRule.XOR, lambda n: 400 * (n * n + (n - 1) ** 2) - 200 * (n - 1) ** 2),
+    ("not_overlap", 64, OverlayRule.UNION, lambda n: 100 * (n * n + (n - 1) ** 2)),
+    ("lines_net", 64, OverlayRule.INTERSECT, lambda n: 10 * n * (10 * n - 5)),
+    ("windows", 64, OverlayRule.DIFFERENCE, lambda n: 300 * n * n),
+    ("nested", 64, OverlayRule.XOR, lambda n: 128 * n * n),
+)
+for _name, _n, _r, _area in BENCH:
+    QUERIES[f"bench_{_name}"] = lambda s, d, g=_name, n=_n, r=_r: Overlay(GENERATORS[g](s, n)).area(r).select("area")
+    ORACLES[f"bench_{_name}"] = f"SELECT CAST({_area(_n)} AS BIGINT) AS area"
