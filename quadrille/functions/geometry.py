@@ -33,21 +33,27 @@ def invert_orientation(o: Column) -> Column:
     return F.when(o == "V", "H").when(o == "H", "V")
 
 
-def _at(points: Column, i: Column) -> Column:
-    return F.element_at(points, (F.pmod(i, F.size(points)) + 1).cast("int"))
+def _next(points: Column) -> Column:
+    """The ring's points moved on by one: at each place the point after it."""
+    return F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
+
+
+def _before(points: Column) -> Column:
+    return F.concat(F.slice(points, -1, 1), F.slice(points, F.lit(1), F.size(points) - 1))
 
 
 def ring_edges(points: Column) -> Column:
-    """The edges of a closed ring as structs (p, q); none for fewer than 3 points."""
-    index = F.sequence(F.lit(0), F.size(points) - 1)
-    edges = F.transform(index, lambda i: F.struct(_at(points, i).alias("p"), _at(points, i + 1).alias("q")))
-    return F.when(F.size(points) >= 3, edges).otherwise(F.array().cast("array<struct<p:struct<x:int,y:int>,q:struct<x:int,y:int>>>"))
+    """The edges of a closed ring as structs (p, q); none for fewer than 3 points. Pass a plain column: it is read several times."""
+    edges = F.arrays_zip(points.alias("p"), _next(points).alias("q"))
+    kind = "array<struct<p:struct<x:int,y:int>,q:struct<x:int,y:int>>>"
+    return F.when(F.size(points) >= 3, edges.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def _kept(points: Column, keep) -> Column:
-    index = F.sequence(F.lit(0), F.size(points) - 1)
-    turn = lambda i: keep(_at(points, i - 1), _at(points, i), _at(points, i + 1))
-    return F.when(F.size(points) >= 3, F.transform(F.filter(index, turn), lambda i: _at(points, i))).otherwise(points)
+    triples = F.arrays_zip(_before(points).alias("a"), points.alias("b"), _next(points).alias("c"))
+    kind = "array<struct<a:struct<x:int,y:int>,b:struct<x:int,y:int>,c:struct<x:int,y:int>>>"
+    kept = F.filter(triples.cast(kind), lambda t: keep(t["a"], t["b"], t["c"]))
+    return F.when(F.size(points) >= 3, F.transform(kept, lambda t: t["b"])).otherwise(points)
 
 
 def drop_collinear(points: Column) -> Column:

@@ -9,35 +9,35 @@ from ..functions.geometry import drop_collinear, orientation, ring_edges
 from ..model import ShapeType
 
 
-def _reason(points: Column) -> Column:
-    edges = ring_edges(points)
-    moves = F.filter(edges, lambda e: e["p"] != e["q"])
-    diagonal = F.exists(moves, lambda e: (e["p"]["x"] != e["q"]["x"]) & (e["p"]["y"] != e["q"]["y"]))
+def quarantine(contours: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rings, rejected rings with a reason). A ring is rejected whole: without one of its edges its winding wouldn't close."""
+    points = F.col("points")
     missing = F.exists(points, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull())
-    return (
-        F.when(points.isNull() | (F.size(points) < 3), "fewer than 3 points")
+    moves = F.filter(ring_edges(points), lambda e: e["p"] != e["q"])
+    slanted = F.exists("_moves", lambda e: (e["p"]["x"] != e["q"]["x"]) & (e["p"]["y"] != e["q"]["y"]))
+    reason = (
+        F.when(~F.col("shape_type").isin([s.value for s in ShapeType]) | F.col("shape_type").isNull(), "unknown shape type")
+        .when(points.isNull() | (F.size(points) < 3), "fewer than 3 points")
         .when(missing, "null point")
-        .when(diagonal, "diagonal edge")
-        .when(F.size(moves) == 0, "zero length")
+        .when(slanted, "diagonal edge")
+        .when(F.size("_moves") == 0, "zero length")
     )
-
-
-def quarantine(contours: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rings, rejected rings with a reason). A ring is rejected whole: without one of its edges its winding wouldn't close."""
-    role = F.when(~F.col("shape_type").isin([s.value for s in ShapeType]) | F.col("shape_type").isNull(), "unknown shape type")
-    checked = contours.withColumn("reason", F.coalesce(role, _reason(F.col("points"))))
+    checked = contours.withColumn("_moves", moves).withColumn("reason", reason).drop("_moves")
     return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
 
 
-def edges(contours: DataFrame, simplify: bool = True) -> DataFrame:
-    """(group_id, shape_type, p, q): one row per ring edge of non-zero length."""
-    points = drop_collinear(F.col("points")) if simplify else F.col("points")
-    out = contours.select("group_id", "shape_type", F.explode(ring_edges(points)).alias("e"))
+def edges(contours: DataFrame, simplify: bool = False) -> DataFrame:
+    """(group_id, shape_type, p, q): one row per ring edge of non-zero length; simplify drops points at which a ring doesn't turn."""
+    rings = contours.withColumn("points", drop_collinear(F.col("points"))) if simplify else contours
+    out = rings.select("group_id", "shape_type", F.explode(ring_edges(F.col("points"))).alias("e"))
     return out.select("group_id", "shape_type", "e.p", "e.q").where("p <> q")
 
 
-def segments(contours: DataFrame, simplify: bool = True) -> DataFrame:
-    """(group_id, orient, pos, lo, hi, subj, clip): +1 in the ring's role when walked to larger coordinates, else -1."""
+def segments(contours: DataFrame, simplify: bool = False) -> DataFrame:
+    """(group_id, orient, pos, lo, hi, subj, clip): +1 in the ring's role when walked to larger coordinates, else -1.
+
+    Winding doesn't depend on simplify: pieces of a straight run, and the two ways of a spike, sum to the same.
+    """
     e = edges(contours, simplify).withColumn("orient", orientation(F.col("p"), F.col("q"))).where("orient is not null")
     vertical = F.col("orient") == "V"
     a, b = F.when(vertical, F.col("p.y")).otherwise(F.col("p.x")), F.when(vertical, F.col("q.y")).otherwise(F.col("q.x"))

@@ -7,39 +7,45 @@ from pyspark.sql import functions as F
 
 from .edges import merge, segments
 
+STRIP_BUCKET = 10  # log2 of the coordinates in an x-bucket; so many distinct x, and one, at most stand in one array
 
-def strip_coordinates(h: DataFrame) -> DataFrame:
-    """(group_id, x, rank, next_x): the distinct x of the group's horizontal segments, numbered."""
-    xs = h.select("group_id", F.explode(F.array("lo", "hi")).alias("x")).distinct()
-    w = Window.partitionBy("group_id").orderBy("x")
-    return xs.select("group_id", "x", F.row_number().over(w).alias("rank"), F.lead("x").over(w).alias("next_x"))
+
+def strips(contours: DataFrame) -> DataFrame:
+    """(group_id, x0, x1, y, subj, clip): the merged horizontal segments, once per strip they cross.
+
+    Horizontals alone tell the winding everywhere. They are cut at the borders of x-buckets; within a bucket, strips lie between
+    neighbouring distinct x, kept in one array per (group, bucket), bounded by the bucket's width however large the group is.
+    """
+    h = merge(segments(contours).where("orient = 'H'"))
+    at = lambda x: F.shiftright(x.cast("long"), STRIP_BUCKET)
+    border = F.shiftleft(F.col("bucket"), STRIP_BUCKET)
+    cut = h.withColumn("bucket", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - F.lit(1)))))
+    cut = cut.select(
+        "group_id", "bucket", F.col("pos").alias("y"), "subj", "clip", F.greatest(F.col("lo").cast("long"), border).cast("int").alias("lo"),
+        F.least(F.col("hi").cast("long"), border + (1 << STRIP_BUCKET)).cast("int").alias("hi"),
+    )
+    xs = cut.groupBy("group_id", "bucket").agg(F.sort_array(F.array_union(F.collect_set("lo"), F.collect_set("hi"))).alias("xs"))
+    placed = cut.join(xs, ["group_id", "bucket"])
+    first, last = F.array_position("xs", F.col("lo")).cast("int"), F.array_position("xs", F.col("hi")).cast("int")
+    placed = placed.select("group_id", "y", "subj", "clip", "xs", first.alias("a"), (last - first).alias("n"))
+    pairs = F.arrays_zip(F.slice("xs", F.col("a"), F.col("n")).alias("x0"), F.slice("xs", F.col("a") + 1, F.col("n")).alias("x1"))
+    listed = placed.select("group_id", "y", "subj", "clip", F.explode(pairs.cast("array<struct<x0:int,x1:int>>")).alias("s"))
+    return listed.select("group_id", "s.x0", "s.x1", "y", "subj", "clip")
 
 
 def slabs(contours: DataFrame) -> DataFrame:
-    """(group_id, strip, x0, x1, y0, y1, ws, wc): disjoint rectangles of constant subject and clip winding.
+    """(group_id, x0, x1, y0, y1, ws, wc): disjoint rectangles of constant subject and clip winding.
 
-    Horizontal segments alone tell the winding everywhere. Each is listed once per strip it crosses; one exchange on (group_id,
-    strip) then serves both the sum per y and the running sum.
+    One exchange on (group_id, x0) serves both the sum per y and the running sum.
     """
-    h = merge(segments(contours).where("orient = 'H'"))
-    xs = strip_coordinates(h)
-    first = xs.select("group_id", F.col("x").alias("lo"), F.col("rank").alias("r0"))
-    last = xs.select("group_id", F.col("x").alias("hi"), F.col("rank").alias("r1"))
-    ranked = h.join(first, ["group_id", "lo"]).join(last, ["group_id", "hi"])
-    listed = ranked.select("group_id", F.col("pos").alias("y"), "subj", "clip", F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)).alias("strip"))
-    per_y = listed.repartition("group_id", "strip").groupBy("group_id", "strip", "y").agg(F.sum("subj").alias("ds"), F.sum("clip").alias("dc")).where("ds <> 0 or dc <> 0")
-    w = Window.partitionBy("group_id", "strip").orderBy("y")
+    listed = strips(contours).repartition("group_id", "x0")
+    per_y = listed.groupBy("group_id", "x0", "x1", "y").agg(F.sum("subj").alias("ds"), F.sum("clip").alias("dc")).where("ds <> 0 or dc <> 0")
+    w = Window.partitionBy("group_id", "x0").orderBy("y")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    swept = per_y.select("group_id", "strip", F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), F.sum("ds").over(upto).alias("ws"), F.sum("dc").over(upto).alias("wc"))
-    named = xs.select("group_id", F.col("rank").alias("strip"), F.col("x").alias("x0"), F.col("next_x").alias("x1"))
-    return swept.where("y1 is not null").join(named, ["group_id", "strip"]).select("group_id", "strip", "x0", "x1", "y0", "y1", "ws", "wc")
+    swept = per_y.select("group_id", "x0", "x1", F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), F.sum("ds").over(upto).alias("ws"), F.sum("dc").over(upto).alias("wc"))
+    return swept.where("y1 is not null")
 
 
 def unbalanced(contours: DataFrame) -> DataFrame:
     """Strips whose winding does not return to 0 above the last segment: none for closed rings."""
-    h = merge(segments(contours).where("orient = 'H'"))
-    xs = strip_coordinates(h)
-    first = xs.select("group_id", F.col("x").alias("lo"), F.col("rank").alias("r0"))
-    last = xs.select("group_id", F.col("x").alias("hi"), F.col("rank").alias("r1"))
-    listed = h.join(first, ["group_id", "lo"]).join(last, ["group_id", "hi"]).withColumn("strip", F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)))
-    return listed.groupBy("group_id", "strip").agg(F.sum("subj").alias("ws"), F.sum("clip").alias("wc")).where("ws <> 0 or wc <> 0")
+    return strips(contours).groupBy("group_id", "x0").agg(F.sum("subj").alias("ws"), F.sum("clip").alias("wc")).where("ws <> 0 or wc <> 0")

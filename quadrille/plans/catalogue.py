@@ -54,10 +54,9 @@ def ring_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drop_collinear_points(spark: SparkSession, d: str) -> DataFrame:
-    """Rings with the middle of every edge added and a spike at a corner come back to their four corners."""
+    """Points left, and gross area, after dropping the points at which rings do not turn."""
     c = lineitem_contours(spark, d)
-    dense = F.flatten(F.transform(F.sequence(F.lit(1), F.size("points")), lambda i: F.array(F.element_at("points", i), F.element_at("points", i))))
-    kept = c.select("group_id", drop_collinear(F.array_distinct(dense)).alias("points"))
+    kept = c.select("group_id", drop_collinear(F.col("points")).alias("points"))
     return kept.groupBy("group_id").agg(F.sum(F.size("points")).cast("long").alias("n_points"), F.sum(F.abs(ring_area2(F.col("points"))) / 2).cast("long").alias("gross_area"))
 
 
