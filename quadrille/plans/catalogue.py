@@ -153,11 +153,24 @@ def quarantined(spark: SparkSession, d: str) -> DataFrame:
     return o.rejects.groupBy("shape_type", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def windows_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes and holes of a grid of framed windows: one hole to a shape."""
+    s = Overlay(GENERATORS["windows"](spark, 32)).shapes(OverlayRule.DIFFERENCE)
+    return s.agg(F.count(F.lit(1)).alias("n_shapes"), F.sum(F.size("contours") - 1).alias("n_holes"), F.max(F.size("contours")).alias("most_rings"))
+
+
+def windows_min_area(spark: SparkSession, d: str) -> DataFrame:
+    """The same with rings under 101 dropped: the holes, of area 100, go."""
+    s = Overlay(GENERATORS["windows"](spark, 32), Options(min_output_area=101)).shapes(OverlayRule.DIFFERENCE)
+    return s.agg(F.count(F.lit(1)).alias("n_shapes"), F.sum(F.size("contours")).alias("n_rings"))
+
+
 QUERIES: dict = {
     f.__name__: f
     for f in (
         ring_edges, drop_collinear_points, signed_segments, orientation_counts, merge_segments, bbox, bucket_histogram, hv_intersections, split_segments, winding_slabs,
         area_matrix, boundary_links, perimeter, node_degree, shape_rings, hole_binding, flat_contours, min_area, cw_output, quarantined,
+        windows_shapes, windows_min_area,
     )
 }
 AREA_SQL = "WITH " + CELLS + " SELECT g AS group_id, CAST(count(*) AS BIGINT) AS area FROM cells WHERE {where} GROUP BY g"
@@ -206,6 +219,8 @@ SELECT g AS group_id, CAST(n + s + e + w AS BIGINT) AS degree, count(*) AS n_nod
     "shape_rings": AREA_SQL.format(where=_inside_sql(OverlayRule.UNION, FillRule.NON_ZERO)),
     "flat_contours": AREA_SQL.format(where=_inside_sql(OverlayRule.INTERSECT, FillRule.NON_ZERO)),
     "cw_output": "WITH " + CELLS + f" SELECT g AS group_id, CAST(-count(*) AS BIGINT) AS area FROM cells WHERE {_inside_sql(OverlayRule.INTERSECT, FillRule.NON_ZERO)} GROUP BY g",
+    "windows_shapes": "SELECT CAST(1024 AS BIGINT) AS n_shapes, CAST(1024 AS BIGINT) AS n_holes, CAST(2 AS INT) AS most_rings",
+    "windows_min_area": "SELECT CAST(1024 AS BIGINT) AS n_shapes, CAST(1024 AS BIGINT) AS n_rings",
     "quarantined": "SELECT 'subject' AS shape_type, 'diagonal edge' AS reason, CAST(256 AS BIGINT) AS n",
 }
 for _f in FillRule:
