@@ -56,8 +56,11 @@ class WordEncoder:
         self.closes = np.zeros(self.lib.get_vocab_size(), bool)  # ids that end a pre-token
         for t, i in self.lib.get_vocab().items():
             self.closes[i] = bool(suffix) and t.endswith(suffix)
+        # two generations each: when the younger is full it becomes the older, so frequent entries stay
         self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
+        self.old_pretokens: dict[str, bytes] = {}
 
     @classmethod
     @functools.lru_cache(4)
@@ -95,9 +98,18 @@ class WordEncoder:
                 pre.update(parts)
             else:
                 other.append(w)
-        if len(self.pretokens) + len(pre) > CACHE_WORDS:
-            self.pretokens.clear()
-        self._learn_pretokens(sorted(p for p in pre if p not in self.pretokens))
+        if len(self.pretokens) > CACHE_WORDS:
+            self.pretokens, self.old_pretokens = {}, self.pretokens
+        learn, old = [], self.old_pretokens
+        for p in pre:
+            if p not in self.pretokens:
+                known = old.get(p)
+                if known is None:
+                    learn.append(p)
+                else:
+                    self.pretokens[p] = known
+        learn.sort()
+        self._learn_pretokens(learn)
         get = self.pretokens.__getitem__
         for w, parts in cut.items():
             self.words[w] = b"".join(map(get, parts))
@@ -109,10 +121,16 @@ class WordEncoder:
         new = set()
         for words in split:
             new.update(words)
-        fresh = [w for w in new if w not in self.words]
-        if len(self.words) + len(fresh) > CACHE_WORDS:
-            self.words.clear()
-            fresh = list(new)
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.old_words = {}, self.words
+        fresh, old = [], self.old_words
+        for w in new:
+            if w not in self.words:
+                known = old.get(w)
+                if known is None:
+                    fresh.append(w)
+                else:
+                    self.words[w] = known
         self._learn_words(fresh)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
