@@ -4,10 +4,10 @@
    Documents with equal sets become one class, represented by its smallest doc_id.
 2. Forest: each tree orders the classes by its own DEPTH min-hashes. A region is a run of classes whose longest common prefix
    reaches MIN_DEPTH; the depth adapts per region: one of over REGION classes goes down hash by hash until its parts fit, and
-   what still doesn't at full depth is cut into blocks that all hold the region's first class.
+   what still doesn't at full depth is cut into blocks, and each two blocks are searched together.
 3. Neighbours in a region whose signatures agree in LOOSE of their positions and whose sizes allow the similarity are
    candidates; each region emits only a forest of them. Their components are the units of verification; a unit of over
-   REGION classes is verified region by region instead.
+   REGION classes is cut into blocks of which each two are verified together, or verified region by region where that is less.
 4. Verification: the whole texts of the classes of a unit come to one task, where all links of the unit are found on full
    sets with an inverted index; it emits a spanning forest of links, never the pairs.
 5. Components of the links give each document the smallest doc_id it can reach.
@@ -39,6 +39,7 @@ TREES, DEPTH, MIN_DEPTH = 24, 8, 4
 REGION = 2048
 PERCENT = 85
 LOOSE = 0.70
+NEXT = 32
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.RandomState(20240229)
@@ -72,6 +73,14 @@ def _signed(words: int):
     return run
 
 
+def _tiles(rows: DataFrame, region: int) -> DataFrame:
+    """(unit, id): rows (key, size, id) of groups of over `region` ids, cut into blocks of about half of that; each two blocks
+    of a group are one unit, so any two ids of a group meet."""
+    blocks = F.ceil(2 * F.col("size") / region)
+    pairs = rows.select("key", "id", F.pmod(F.xxhash64("id"), blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
+    return pairs.where("i <> j").select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "id")
+
+
 def _regions(classes: DataFrame, region: int) -> DataFrame:
     """(unit, id): every class in the regions of the forest that hold two classes or more."""
     width = 4  # hex digits of one min-hash
@@ -81,7 +90,7 @@ def _regions(classes: DataFrame, region: int) -> DataFrame:
     while True:
         key = F.xxhash64("tree", F.substring("order", 1, width * depth))
         rows = saved(rows.withColumn("key", key), f"forest-{depth}")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sizes = saved(sizes, f"forest-sizes-{depth}")
         fit = sizes.where(F.col("size") <= region)
         done.append(rows.join(fit.select("key"), "key").select(F.col("key").alias("unit"), "id"))
@@ -90,10 +99,7 @@ def _regions(classes: DataFrame, region: int) -> DataFrame:
             break
         left = rows.join(large, "key")
         if depth == DEPTH:
-            blocks = F.ceil(F.col("size") / region)
-            block = left.select(F.xxhash64("key", F.pmod(F.xxhash64("id"), blocks)).alias("unit"), "id")
-            anchor = large.select(F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"), "key", "first").select(F.xxhash64("key", "b").alias("unit"), F.col("first").alias("id"))
-            done += [block, anchor]
+            done.append(_tiles(left, region))
             break
         depth += 1
         rows = left.select("id", "tree", "order")
@@ -117,16 +123,17 @@ def _candidates(percent: int, loose: float):
         pdf = pdf.sort_values("sig", kind="stable")  # the tree's order: equal prefixes stand together
         ids, n = pdf["id"].to_numpy(), pdf["n"].to_numpy()
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-        parent, out = np.arange(len(ids)), []
+        label, out = np.arange(len(ids)), []
         for i in range(1, len(ids)):
             fits = np.flatnonzero((100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
-            if not len(fits):
-                continue
-            for j in fits[(sig[fits] == sig[i]).mean(1) >= loose][::-1]:
-                a, b = _find(parent, i), _find(parent, j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j]))
+            for part in (fits[-NEXT:], fits[:-NEXT]):
+                part = part[label[part] != label[i]]  # a pair that is joined already adds nothing to a forest
+                if not len(part):
+                    continue
+                for j in part[(sig[part] == sig[i]).mean(1) >= loose][::-1]:
+                    if label[i] != label[j]:
+                        label[label == label[j]] = label[i]
+                        out.append((ids[i], ids[j]))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run
@@ -190,11 +197,16 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WO
     inside = regions.join(classes.select("id", "n", "sig"), "id")
     loose_edges = inside.groupBy("unit").applyInPandas(_candidates(percent, loose), "u long, v long")
     units = saved(components(loose_edges, "near-loose"), "near-units")
-    sizes = units.groupBy("root").count()
-    large = sizes.where(F.col("count") > region).select("root")
+    sizes = units.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    large = sizes.where(F.col("size") > region)
     by_component = units.join(large, "root", "left_anti").select(F.col("root").alias("unit"), F.col("node").alias("id"))
-    in_large = units.join(large, "root").select(F.col("node").alias("id"))
-    by_region = regions.join(in_large, "id").select("unit", "id")
+    in_large = units.join(large, "root").select(F.col("root").alias("key"), "size", F.col("node").alias("id"))
+    shared = regions.join(in_large, "id")
+    # the pairs to compare, either way: all of the component, or all of its regions
+    work = shared.groupBy("key", "unit").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+    dense = work.join(large, work["key"] == large["root"]).where(2.0 * F.col("size") * F.col("size") <= F.col("work")).select("key")
+    by_tile = _tiles(in_large.join(dense, "key"), region)
+    by_region = shared.join(dense, "key", "left_anti").select("unit", "id").unionByName(by_tile)
     # texts of the candidates only: a bounded bitmap thins the scan, the join is exact
     near = bitmap_of(units.select(F.xxhash64("node")))
     texts = source.where(may_hold(near, F.xxhash64("id"))).join(units.select(F.col("node").alias("id")), "id")

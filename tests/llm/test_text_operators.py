@@ -107,6 +107,22 @@ def test_near_groups(spark, rows, region):
     assert near_dedup.keep_one(table(spark, rows)).columns == table(spark, rows).columns
 
 
+def test_near_groups_of_oversized_regions(spark, rows):
+    base = [f"b{k}" for k in range(400)]
+    some = []
+    for k in range(20):  # 40 texts in one region at every depth; only the two that differ from the base in the same word are linked
+        for j in range(2):
+            some.append((1000 + 20 * j + k * 7 % 20, " ".join(base[: 9 + 20 * k] + [f"new{j}"] + base[10 + 20 * k :]), "s0"))
+    want, _ = brute_components(some, 97)
+    assert len(set(want.values())) == 20
+    got = near_dedup.near_groups(table(spark, some), percent=97, region=20).collect()
+    assert {g["doc_id"]: g["component_id"] for g in got} == want
+    some = [x for x in rows if x[0] is not None]
+    want, _ = brute_components(some, 85)
+    got = near_dedup.near_groups(table(spark, some), region=3).collect()
+    assert {g["doc_id"]: g["component_id"] for g in got} == want
+
+
 def test_shingle_hashes_follow_the_words():
     assert len(shingle_set(None)) == len(shingle_set(" \t")) == 0
     assert (shingle_set("a B\tc  d e f") == shingle_set(" A b c d\nE f ")).all()
