@@ -123,6 +123,18 @@ def test_near_groups_of_oversized_regions(spark, rows):
     assert {g["doc_id"]: g["component_id"] for g in got} == want
 
 
+def test_oversized_regions_are_searched_at_the_same_depth(spark):
+    r = np.random.default_rng(3)
+    sigs = r.integers(0, 1 << 16, (9, near_dedup.TREES * near_dedup.DEPTH), dtype=np.uint16)
+    sigs[:, : near_dedup.MIN_DEPTH] = 7  # one region of the first tree, nothing in common beyond it
+    classes = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sigs)], "id long, sig binary")
+    for region in (9, 3):
+        units = {}
+        for u in near_dedup._regions(classes, region).collect():
+            units.setdefault(u["unit"], set()).add(u["id"])
+        assert {(a, b) for m in units.values() for a in m for b in m if a < b} == {(a, b) for b in range(9) for a in range(b)}
+
+
 def test_shingle_hashes_follow_the_words():
     assert len(shingle_set(None)) == len(shingle_set(" \t")) == 0
     assert (shingle_set("a B\tc  d e f") == shingle_set(" A b c d\nE f ")).all()
