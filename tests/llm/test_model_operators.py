@@ -155,6 +155,30 @@ def test_lm_counts_and_scores(spark):
     assert per[503] > per[502]  # known words are likelier than unknown ones
 
 
+def test_lm_counts_are_exact(spark):
+    r = np.random.default_rng(8)
+    words = sorted({bytes(r.integers(97, 117, r.integers(1, 12)).astype(np.uint8)) for _ in range(3000)} | {lm.END})
+    counts = r.integers(0, 4, len(words))
+    vocabulary = spark.createDataFrame([(w, int(c), 1) for w, c in zip(words, counts)], "word binary, c long, t long")
+    shared, mixer = lm.train(vocabulary)
+    tree, tables = shared.value
+    model = lm.Model(tree, tables, mixer).within(words, counts)
+    owner, bit, keys, deep = lm.decisions(words, tree)
+    seen, place, node = Counter(), [], []
+    for w in words:
+        for k, s in enumerate([lm.EOT] if w == lm.END else [*w, lm.EOW]):
+            z = slice(tree.begin[s], tree.begin[s] + tree.size[s])
+            node += tree.nodes[z].tolist()
+            place += [[(b"^" * 4 + w)[4 + k - o : 4 + k] for o in (1, 2, 3, 4)] + [b"^" + w[:k]]] * int(tree.size[s])
+    for at, own in enumerate(owner):
+        for o in range(5):
+            seen[o, place[at][o], node[at], int(bit[at])] += int(counts[own])
+    for o, (n0, n1) in enumerate(model._counts(keys, deep)):
+        assert all((n0[at], n1[at]) == (seen[o, place[at][o], node[at], 0], seen[o, place[at][o], node[at], 1]) for at in range(len(owner)))
+    got = {bytes(g["word"]): g["logp"] for g in lm.scored_words(vocabulary, shared, mixer).collect()}
+    assert np.allclose([got[w] for w in words], model.log10(words))
+
+
 def test_lm_is_a_distribution():
     tree = lm.Tree(np.bincount(np.frombuffer(b"abcab", np.uint8), minlength=258))
     assert abs(sum(0.5 ** s for s in tree.size.tolist()) - 1) < 1e-12
