@@ -33,7 +33,7 @@ def invert_orientation(o: Column) -> Column:
     return F.when(o == "V", "H").when(o == "H", "V")
 
 
-def _next(points: Column) -> Column:
+def following(points: Column) -> Column:
     """The ring's points moved on by one: at each place the point after it."""
     return F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
 
@@ -44,13 +44,13 @@ def _before(points: Column) -> Column:
 
 def ring_edges(points: Column) -> Column:
     """The edges of a closed ring as structs (p, q); none for fewer than 3 points. Pass a plain column: it is read several times."""
-    edges = F.arrays_zip(points.alias("p"), _next(points).alias("q"))
+    edges = F.arrays_zip(points.alias("p"), following(points).alias("q"))
     kind = "array<struct<p:struct<x:int,y:int>,q:struct<x:int,y:int>>>"
     return F.when(F.size(points) >= 3, edges.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def _kept(points: Column, keep) -> Column:
-    triples = F.arrays_zip(_before(points).alias("a"), points.alias("b"), _next(points).alias("c"))
+    triples = F.arrays_zip(_before(points).alias("a"), points.alias("b"), following(points).alias("c"))
     kind = "array<struct<a:struct<x:int,y:int>,b:struct<x:int,y:int>,c:struct<x:int,y:int>>>"
     kept = F.filter(triples.cast(kind), lambda t: keep(t["a"], t["b"], t["c"]))
     return F.when(F.size(points) >= 3, F.transform(kept, lambda t: t["b"])).otherwise(points)

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import drop_collinear, orientation, ring_edges
+from ..functions.geometry import drop_collinear, following, orientation, ring_edges
 from ..model import ShapeType
 
 
 def quarantine(contours: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rings, rejected rings with a reason). A ring is rejected whole: without one of its edges its winding wouldn't close."""
+    # an explode of one value: predicates above it read the ready array instead of a copy of the expressions that make it
+    ready = contours.select(*[c for c in contours.columns if c != "points"], F.explode(F.array("points")).alias("points"))
     points = F.col("points")
-    missing = F.exists(points, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull())
-    moves = F.filter(ring_edges(points), lambda e: e["p"] != e["q"])
-    slanted = F.exists("_moves", lambda e: (e["p"]["x"] != e["q"]["x"]) & (e["p"]["y"] != e["q"]["y"]))
-    reason = (
-        F.when(~F.col("shape_type").isin([s.value for s in ShapeType]) | F.col("shape_type").isNull(), "unknown shape type")
+
+    def step(p, q):
+        """3 where a point is null, 2 on a diagonal, 1 along an axis, 0 on the spot."""
+        across, up = F.when(p["x"] != q["x"], 1).otherwise(0), F.when(p["y"] != q["y"], 1).otherwise(0)
+        return F.when(p.isNull() | p["x"].isNull() | p["y"].isNull(), 3).otherwise(across + up)
+
+    worst = F.array_max(F.zip_with(points, following(points), step))
+    known = F.coalesce(F.col("shape_type").isin([s.value for s in ShapeType]), F.lit(False))
+    fault = (
+        F.when(~known, "unknown shape type")
         .when(points.isNull() | (F.size(points) < 3), "fewer than 3 points")
-        .when(missing, "null point")
-        .when(slanted, "diagonal edge")
-        .when(F.size("_moves") == 0, "zero length")
+        .otherwise(F.element_at(F.array(F.lit("zero length"), F.lit(None), F.lit("diagonal edge"), F.lit("null point")), worst + 1))
     )
-    checked = contours.withColumn("_moves", moves).withColumn("reason", reason).drop("_moves")
-    return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
+    checked = ready.select("*", F.explode(F.array(fault)).alias("reason"))
+    return checked.where("reason is null").select(*contours.columns), checked.where("reason is not null").select(*contours.columns, "reason")
 
 
 def edges(contours: DataFrame, simplify: bool = False) -> DataFrame:
@@ -43,10 +48,10 @@ def segments(contours: DataFrame, simplify: bool = False) -> DataFrame:
     a, b = F.when(vertical, F.col("p.y")).otherwise(F.col("p.x")), F.when(vertical, F.col("q.y")).otherwise(F.col("q.x"))
     sign = F.when(b > a, 1).otherwise(-1).cast("long")
     role = lambda s: F.when(F.col("shape_type") == s.value, sign).otherwise(F.lit(0).cast("long"))
-    return e.select(
-        "group_id", "orient", F.when(vertical, F.col("p.x")).otherwise(F.col("p.y")).alias("pos"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"),
-        role(ShapeType.SUBJECT).alias("subj"), role(ShapeType.CLIP).alias("clip"),
-    )
+    # known not to be null: else each join below adds null filters of its own, and what is shared is computed anew for every join
+    sure = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    pos = F.when(vertical, F.col("p.x")).otherwise(F.col("p.y"))
+    return e.select("group_id", F.coalesce("orient", F.lit("")).alias("orient"), sure(pos, "pos"), sure(F.least(a, b), "lo"), sure(F.greatest(a, b), "hi"), role(ShapeType.SUBJECT).alias("subj"), role(ShapeType.CLIP).alias("clip"))
 
 
 def merge(segs: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Intersections of horizontal with vertical segments, by x-buckets, and the segments cut at them."""
+"""Intersections of horizontal with vertical segments, by cells of the plane, and the segments cut at them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import ceil_log2
 from .edges import merge
 
 
@@ -21,16 +22,33 @@ def bucketed(segs: DataFrame, power: int) -> DataFrame:
     return segs.withColumn("bucket", F.explode(F.sequence(first, last)))
 
 
-def intersections(segs: DataFrame, power: int = 4) -> DataFrame:
-    """(group_id, x, y, v_lo, v_hi, h_lo, h_hi): meeting pairs, ends included. Equal keys (group_id, bucket) carry the range join."""
-    at = bucketed(segs, power)
-    v = at.where("orient = 'V'").select("group_id", "bucket", F.col("pos").alias("x"), F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"))
-    h = at.where("orient = 'H'").select("group_id", "bucket", F.col("pos").alias("y"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
+def _cell_powers(segs: DataFrame, power: int) -> DataFrame:
+    """(group_id, px, py): log2 of a cell's width and height, at least `power` and no less than a group's mean horizontal and vertical."""
+    mean = lambda o: F.coalesce(F.avg(F.when(F.col("orient") == o, F.col("hi").cast("long") - F.col("lo"))), F.lit(1.0))
+    fit = lambda c: F.greatest(F.lit(power), ceil_log2(F.ceil(c)))
+    return segs.groupBy("group_id").agg(mean("H").alias("h"), mean("V").alias("v")).select("group_id", fit(F.col("h")).alias("px"), fit(F.col("v")).alias("py"))
+
+
+def intersections(segs: DataFrame, power: int = 3) -> DataFrame:
+    """(group_id, x, y, v_lo, v_hi, h_lo, h_hi): meeting pairs, ends included.
+
+    The plane is cut into cells that follow the segments' lengths; a vertical is listed per cell it reaches upwards, a horizontal
+    per cell it reaches sideways, and a pair meets in the one cell that holds (x, y). Equal keys (group_id, cell) carry the join, so only
+    segments close to each other are ever compared.
+    """
+    at = segs.join(_cell_powers(segs, power), "group_id")
+    cell = lambda c, p: F.call_function("shiftright", F.col(c).cast("long"), F.col(p))
+    v = at.where("orient = 'V'").select(
+        "group_id", F.col("pos").alias("x"), F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"), cell("pos", "px").alias("cx"), F.explode(F.sequence(cell("lo", "py"), cell("hi", "py"))).alias("cy")
+    )
+    h = at.where("orient = 'H'").select(
+        "group_id", F.col("pos").alias("y"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"), cell("pos", "py").alias("cy"), F.explode(F.sequence(cell("lo", "px"), cell("hi", "px"))).alias("cx")
+    )
     meet = F.col("y").between(F.col("v_lo"), F.col("v_hi")) & F.col("x").between(F.col("h_lo"), F.col("h_hi"))
-    return v.join(h, ["group_id", "bucket"]).where(meet).drop("bucket")
+    return v.join(h, ["group_id", "cx", "cy"]).where(meet).drop("cx", "cy")
 
 
-def split(segs: DataFrame, power: int = 4) -> DataFrame:
+def split(segs: DataFrame, power: int = 3) -> DataFrame:
     """segs (merged) cut wherever a perpendicular segment meets their inside; coincident pieces merged again."""
     met = intersections(segs, power)
     v_cut = met.where("y > v_lo and y < v_hi").select("group_id", F.lit("V").alias("orient"), F.col("x").alias("pos"), F.col("v_lo").alias("lo"), F.col("v_hi").alias("hi"), F.col("y").alias("cut"))

@@ -7,45 +7,53 @@ from pyspark.sql import functions as F
 
 from .edges import merge, segments
 
-STRIP_BUCKET = 10  # log2 of the coordinates in an x-bucket; so many distinct x, and one, at most stand in one array
+COARSE = 12  # log2 of the coordinates in a coarse bucket of the ranking: so many rows at most in one of its windows
 
 
-def strips(contours: DataFrame) -> DataFrame:
-    """(group_id, x0, x1, y, subj, clip): the merged horizontal segments, once per strip they cross.
+def ranked(h: DataFrame) -> DataFrame:
+    """(group_id, x, x1, r): the distinct ends of horizontals, each with its successor and its rank within the group, from 0.
 
-    Horizontals alone tell the winding everywhere. They are cut at the borders of x-buckets; within a bucket, strips lie between
-    neighbouring distinct x, kept in one array per (group, bucket), bounded by the bucket's width however large the group is.
+    Ranks follow the data, not the width of the coordinates. No window holds a whole group: one ranks the at most 2**COARSE
+    coordinates of a coarse bucket, another sums over the at most 2**(32 - COARSE) buckets of a group.
     """
-    h = merge(segments(contours).where("orient = 'H'"))
-    at = lambda x: F.shiftright(x.cast("long"), STRIP_BUCKET)
-    border = F.shiftleft(F.col("bucket"), STRIP_BUCKET)
-    cut = h.withColumn("bucket", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - F.lit(1)))))
-    cut = cut.select(
-        "group_id", "bucket", F.col("pos").alias("y"), "subj", "clip", F.greatest(F.col("lo").cast("long"), border).cast("int").alias("lo"),
-        F.least(F.col("hi").cast("long"), border + (1 << STRIP_BUCKET)).cast("int").alias("hi"),
-    )
-    xs = cut.groupBy("group_id", "bucket").agg(F.sort_array(F.array_union(F.collect_set("lo"), F.collect_set("hi"))).alias("xs"))
-    placed = cut.join(xs, ["group_id", "bucket"])
-    first, last = F.array_position("xs", F.col("lo")).cast("int"), F.array_position("xs", F.col("hi")).cast("int")
-    placed = placed.select("group_id", "y", "subj", "clip", "xs", first.alias("a"), (last - first).alias("n"))
-    pairs = F.arrays_zip(F.slice("xs", F.col("a"), F.col("n")).alias("x0"), F.slice("xs", F.col("a") + 1, F.col("n")).alias("x1"))
-    listed = placed.select("group_id", "y", "subj", "clip", F.explode(pairs.cast("array<struct<x0:int,x1:int>>")).alias("s"))
-    return listed.select("group_id", "s.x0", "s.x1", "y", "subj", "clip")
+    xs = h.select("group_id", F.explode(F.array("lo", "hi")).alias("x")).distinct().withColumn("c", F.shiftright(F.col("x"), COARSE))
+    inside = Window.partitionBy("group_id", "c").orderBy("x")
+    fine = xs.select("group_id", "c", "x", (F.row_number().over(inside) - 1).alias("k"), F.lead("x").over(inside).alias("after"))
+    over = Window.partitionBy("group_id").orderBy("c")
+    coarse = xs.groupBy("group_id", "c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"))
+    coarse = coarse.select("group_id", "c", (F.sum("n").over(over) - F.col("n")).alias("first"), F.lead("least").over(over).alias("beyond"))
+    return fine.join(coarse, ["group_id", "c"]).select("group_id", "x", F.coalesce("after", "beyond").alias("x1"), (F.col("first") + F.col("k")).alias("r"))
+
+
+def _listed(h: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(group_id, r, y, subj, clip): merged horizontals, once per strip they cross, by the strip's rank."""
+    first = ranks.select("group_id", F.col("x").alias("lo"), F.col("r").alias("r0"))
+    last = ranks.select("group_id", F.col("x").alias("hi"), F.col("r").alias("r1"))
+    placed = h.select("group_id", F.col("pos").alias("y"), "lo", "hi", "subj", "clip").join(first, ["group_id", "lo"]).join(last, ["group_id", "hi"])
+    return placed.select("group_id", "y", "subj", "clip", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("r"))
+
+
+def _horizontals(contours: DataFrame) -> DataFrame:
+    return merge(segments(contours).where("orient = 'H'"))
 
 
 def slabs(contours: DataFrame) -> DataFrame:
     """(group_id, x0, x1, y0, y1, ws, wc): disjoint rectangles of constant subject and clip winding.
 
-    One exchange on (group_id, x0) serves both the sum per y and the running sum.
+    Horizontals alone tell the winding everywhere. One exchange on (group_id, strip) serves the sum per y, the running sum and
+    the strip's coordinates, which only join once the sweep is done.
     """
-    listed = strips(contours).repartition("group_id", "x0")
-    per_y = listed.groupBy("group_id", "x0", "x1", "y").agg(F.sum("subj").alias("ds"), F.sum("clip").alias("dc")).where("ds <> 0 or dc <> 0")
-    w = Window.partitionBy("group_id", "x0").orderBy("y")
+    h = _horizontals(contours)
+    ranks = ranked(h)
+    per_y = _listed(h, ranks).repartition("group_id", "r").groupBy("group_id", "r", "y").agg(F.sum("subj").alias("ds"), F.sum("clip").alias("dc")).where("ds <> 0 or dc <> 0")
+    w = Window.partitionBy("group_id", "r").orderBy("y")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    swept = per_y.select("group_id", "x0", "x1", F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), F.sum("ds").over(upto).alias("ws"), F.sum("dc").over(upto).alias("wc"))
-    return swept.where("y1 is not null")
+    swept = per_y.select("group_id", "r", F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), F.sum("ds").over(upto).alias("ws"), F.sum("dc").over(upto).alias("wc"))
+    strip = ranks.select("group_id", "r", F.col("x").alias("x0"), "x1")
+    return swept.where("y1 is not null").join(strip, ["group_id", "r"]).select("group_id", "x0", "x1", "y0", "y1", "ws", "wc")
 
 
 def unbalanced(contours: DataFrame) -> DataFrame:
     """Strips whose winding does not return to 0 above the last segment: none for closed rings."""
-    return strips(contours).groupBy("group_id", "x0").agg(F.sum("subj").alias("ws"), F.sum("clip").alias("wc")).where("ws <> 0 or wc <> 0")
+    h = _horizontals(contours)
+    return _listed(h, ranked(h)).groupBy("group_id", "r").agg(F.sum("subj").alias("ws"), F.sum("clip").alias("wc")).where("ws <> 0 or wc <> 0")

@@ -194,7 +194,7 @@ SELECT g AS group_id, CASE WHEN clip = 1 THEN 'clip' ELSE 'subject' END AS shape
     "orientation_counts": "WITH " + SEGS + " SELECT o AS orient, count(*) AS n, CAST(sum(hi - lo) AS BIGINT) AS length FROM raw GROUP BY o",
     "merge_segments": "WITH " + SEGS + " SELECT g AS group_id, o AS orient, pos, lo, hi, subj, clip FROM segs",
     "bbox": "WITH " + RECTS + " SELECT g AS group_id, min(x0) AS min_x, max(x1) AS max_x, min(y0) AS min_y, max(y1) AS max_y, CAST(4 * count(*) AS BIGINT) AS n_points FROM rects GROUP BY g",
-    "bucket_histogram": "WITH " + SEGS + """, b AS (SELECT g, o, CASE WHEN o = 'V' THEN pos ELSE lo END // 16 AS b0, CASE WHEN o = 'V' THEN pos ELSE hi END // 16 AS b1 FROM segs),
+    "bucket_histogram": "WITH " + SEGS + """, b AS (SELECT g, o, CASE WHEN o = 'V' THEN pos ELSE lo END // 8 AS b0, CASE WHEN o = 'V' THEN pos ELSE hi END // 8 AS b1 FROM segs),
 u AS (SELECT g, o, unnest(range(b0, b1 + 1)) AS bucket FROM b) SELECT g AS group_id, CAST(bucket AS BIGINT) AS bucket, o AS orient, count(*) AS n FROM u GROUP BY ALL""",
     "hv_intersections": "WITH " + SEGS + """, hs AS (SELECT *, unnest(range(lo // 16, hi // 16 + 1)) AS b FROM segs WHERE o = 'H')
 SELECT v.g AS group_id, count(*) AS meetings, count(*) FILTER (WHERE h.pos > v.lo AND h.pos < v.hi AND v.pos > h.lo AND v.pos < h.hi) AS crossings
