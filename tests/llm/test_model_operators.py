@@ -155,36 +155,92 @@ def test_lm_counts_and_scores(spark):
     assert per[503] > per[502]  # known words are likelier than unknown ones
 
 
-def test_lm_counts_are_exact(spark):
+def slow_chance(mixer, pairs):
+    """One decision's probability of 1, by scalars alone."""
+    x = [max(-12.0, min(12.0, math.log((b + 0.2) / (a + 0.2)))) for a, b in pairs] + [0.3]
+    top, low = sum(pairs[-1]), sum(pairs[-2])
+    g = min(int(math.log2(top + 1)), lm.LEVELS - 1) * lm.LOW_LEVELS + min(int(math.log2(low + 1)) // 3, lm.LOW_LEVELS - 1)
+    s = max(-16.0, min(16.0, sum(u * w for u, w in zip(x, mixer.w[g]))))
+    where = (max(-lm.SPAN, min(lm.SPAN, s)) + lm.SPAN) / (2 * lm.SPAN) * (lm.CELLS - 1)
+    at = min(int(where), lm.CELLS - 2)
+
+    def cell(k):
+        z = -lm.SPAN + 2 * lm.SPAN * k / (lm.CELLS - 1)
+        return (mixer.hits[1, g, k] + 8 / (1 + math.exp(-z))) / (mixer.hits[0, g, k] + mixer.hits[1, g, k] + 8)
+
+    p = (1 / (1 + math.exp(-s)) + cell(at) * (1 - where + at) + cell(at + 1) * (where - at)) / 2
+    return max(1e-7, min(1 - 1e-7, p))
+
+
+def test_lm_dictionary_against_brute_force(monkeypatch):
+    r = np.random.default_rng(3)
+    cells = r.integers(0, 30, (9, lm.CLASSES)) * (r.random((9, lm.CLASSES)) < 0.4)
+    held = []
+    monkeypatch.setattr(lm, "Mixer", lambda real=lm.Mixer: held.append(real()) or held[-1])
+    table = lm.dictionary_table(cells)
+    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)  # a distribution in every class
+    tree, mixer = lm.Tree(cells.sum(1)), held[0]
+    assert (mixer.hits.sum(), len(tree.sons)) == (sum(cells[s].sum() * n for s, n in enumerate(tree.paths()[0])), 8)
+
+    def leaves(node):
+        return [node] if node < 9 else [x for son in tree.sons[node - 9] for x in leaves(int(son))]
+
+    for symbol in range(9):
+        for k in range(0, lm.CLASSES, 7):
+            want, node = 0.0, 9 + len(tree.sons) - 1
+            while node >= 9:
+                sons = [leaves(int(x)) for x in tree.sons[node - 9]]
+                word = [c for c in range(lm.CLASSES) if c // 2 == k // 2]
+                flag = [c for c in range(lm.CLASSES) if c % 2 == k % 2]
+                pairs = [tuple(float(cells[np.ix_(son, cs)].sum()) for son in sons) for cs in (list(range(lm.CLASSES)), flag, word, [k])]
+                p = slow_chance(mixer, pairs)
+                bit = int(symbol in sons[1])
+                want += math.log10(p if bit else 1 - p)
+                node = int(tree.sons[node - 9][bit])
+            assert abs(table[k, symbol] - want) < 1e-4
+
+
+def test_lm_speller_is_a_distribution():
     r = np.random.default_rng(8)
-    words = sorted({bytes(r.integers(97, 117, r.integers(1, 12)).astype(np.uint8)) for _ in range(3000)} | {lm.END})
-    counts = r.integers(0, 4, len(words))
-    vocabulary = spark.createDataFrame([(w, int(c), 1) for w, c in zip(words, counts)], "word binary, c long, t long")
-    shared, mixer = lm.train(vocabulary)
-    tree, tables = shared.value
-    model = lm.Model(tree, tables, mixer).within(words, counts)
-    owner, bit, keys, deep = lm.decisions(words, tree)
-    seen, place, node = Counter(), [], []
+    words = sorted({bytes(r.integers(97, 103, r.integers(1, 9)).astype(np.uint8)) for _ in range(2000)} | {"é日".encode(), b"\0", b"x" * 300})
+    owner, keys = lm.grams_of(words)
+    slow = []
     for w in words:
-        for k, s in enumerate([lm.EOT] if w == lm.END else [*w, lm.EOW]):
-            z = slice(tree.begin[s], tree.begin[s] + tree.size[s])
-            node += tree.nodes[z].tolist()
-            place += [[(b"^" * 4 + w)[4 + k - o : 4 + k] for o in (1, 2, 3, 4)] + [b"^" + w[:k]]] * int(tree.size[s])
-    for at, own in enumerate(owner):
-        for o in range(5):
-            seen[o, place[at][o], node[at], int(bit[at])] += int(counts[own])
-    for o, (n0, n1) in enumerate(model._counts(keys, deep)):
-        assert all((n0[at], n1[at]) == (seen[o, place[at][o], node[at], 0], seen[o, place[at][o], node[at], 1]) for at in range(len(owner)))
-    got = {bytes(g["word"]): g["logp"] for g in lm.scored_words(vocabulary, shared, mixer).collect()}
-    assert np.allclose([got[w] for w in words], model.log10(words))
-
-
-def test_lm_is_a_distribution():
-    tree = lm.Tree(np.bincount(np.frombuffer(b"abcab", np.uint8), minlength=258))
-    assert abs(sum(0.5 ** s for s in tree.size.tolist()) - 1) < 1e-12
-    model = lm.Model(tree, [np.zeros((1 << b, 2), np.float32) for b in lm.SLOT_BITS], lm.Mixer())
-    mass = sum(10 ** x for x in model.log10([b"", lm.END] + [bytes([c]) for c in range(1, 255) if c not in (9, 10, 11, 12, 13, 32)]))
-    assert 0 < mass < 1
+        symbols = [0] * 4 + [c + 1 for c in w] + [lm.EOW]
+        slow += [sum(s << (9 * (4 - j)) for j, s in enumerate(symbols[k - 4 : k + 1])) for k in range(4, len(symbols))]
+    assert keys.tolist() == slow and owner.tolist() == [k for k, w in enumerate(words) for _ in range(len(w) + 1)]
+    grams, n = np.unique(keys, return_counts=True)
+    speller = lm.Speller(grams, n)
+    for context in (0, grams[5] >> 9, (98 << 27) | (99 << 18) | (300 << 9) | 5):
+        assert abs((10.0 ** speller._log10((np.int64(context) << 9) | np.arange(lm.EOW + 1))).sum() - 1) < 1e-9
+    logs = speller.log10(words)
+    assert np.allclose(logs, [speller._log10(lm.grams_of([w])[1]).sum() for w in words])
+    assert speller.log10([b"abc"])[0] > speller.log10([b"qzj"])[0]
+    assert lm.Speller(grams[:0], n[:0]).log10([b"ab"])[0] < 0
+
+
+def test_lm_classes():
+    # ids: function words below FUNCTION; the token before tells, else the one that told last; a text begins anew
+    ids = np.array([40, 2, 50, 51, 3, 3, 60, 60], np.uint16)
+    closing = np.zeros(70, bool)
+    closing[51] = True
+    f = lm.FUNCTION
+    assert lm.classes_of(ids, np.array([0, 6]), closing).tolist() == [2 * f + 1, 2 * f, 4, 4, 5, 6, 2 * f + 1, 2 * f]
+
+
+def test_lm_beats_the_base_and_uses_other_words(spark):
+    r = np.random.default_rng(2)
+    tongues = [["".join(r.choice(list(letters), 4)) for _ in range(150)] for letters in ("abcde", "vwxyz")]
+    rows = [(k, " ".join([("the", "der")[k % 2] if j % 4 == 0 else str(r.choice(tongues[k % 2])) for j in range(120)]) + ".") for k in range(300)]
+    mixed = [(1000 + k, " ".join(w for pair in zip(rows[k][1].split(), rows[k + 1][1].split()) for w in pair)) for k in range(2)]
+    mixed = [(i, t) for i, t in mixed]
+    got = lm.score(spark.createDataFrame(rows + [(10**6 + 1, "the " * 40_000)] + mixed, "doc_id long, text string")).collect()
+    for held in (True, False):
+        part = [g for g in got if g["held_out"] == held and g["doc_id"] < 1000]
+        assert sum(g["score"] for g in part) > sum(g["base_score"] for g in part)
+    per = {g["doc_id"]: g["score"] / g["n_tokens"] for g in got}
+    assert per[1000] < min(per[0], per[1])  # the same words, where others stand before them
+    assert {g["doc_id"]: g["n_tokens"] for g in got}[10**6 + 1] == 40_001
 
 
 def test_empty_tables(spark):
