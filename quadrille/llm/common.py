@@ -17,10 +17,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where unset one of our own, if all executors are this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="quadrille-"))
     return _own_dir[0]
@@ -48,6 +50,17 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside those of docs, whatever docs calls its columns."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_of(docs: DataFrame) -> Column:
     """The text, with null as empty."""
     return F.coalesce(docs["text"], F.lit(""))
@@ -95,17 +108,19 @@ def running_sums(df: DataFrame, order: list[str], sums: list[str], name: str) ->
     return out
 
 
-BITMAP_BITS = 18
+BITMAP_BITS = (18, 26)  # least and most
 
 
-def bitmap_of(hashes: DataFrame, bits: int = BITMAP_BITS) -> bytes:
-    """A bitmap of 2**bits bits with one bit set per value of the only (long) column: at most 2**(bits-6) rows reach the driver."""
+def bitmap_of(hashes: DataFrame) -> bytes:
+    """A bitmap with one bit set per value of the only (long) column, of 32 bits a value, so that it lets the same share of others through
+    at every size; 8 MB at most, which at most 2**20 rows bring to the driver. Beyond 2 million values it lets more through."""
     hashes = hashes.toDF("h")
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], (32 * hashes.count()).bit_length()))
     h = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     words = hashes.select(F.shiftright(h, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
     out = np.zeros(1 << (bits - 6), np.uint64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
     return out.astype("<u8").tobytes()
 
 

@@ -2,8 +2,8 @@
 
 Texts are equal when identical after every run of white space became one space. A document enters by the SHA-256 of that text:
 * memtable: each task fills a table digest -> document ids, bounded by MEMTABLE_ROWS, and flushes it as a run sorted by
-  digest, with a Bloom filter per digest shard. A group of copies is one entry per run, so no hot digest reaches a shuffle.
-* compaction: per digest shard, FAN_IN runs at a time are merged into one with a new filter, tier by tier, keeping the
+  digest. A group of copies is one entry per run, so a hot digest brings as many rows to a shuffle as there are runs, not copies.
+* compaction: per digest shard, FAN_IN runs at a time are merged into one with a filter of its own, tier by tier, keeping the
   smallest id and the sum of the copies. Entries that no other run's filter holds move without a merge.
 * lookup: runs find their entries' group in the last tier, and their documents' ids are listed again.
 * byte verification: of the groups of two and more, the texts themselves are compared with that of the document that stays.
@@ -191,11 +191,11 @@ def _window(by, order):
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the copies: of equal texts the row with the smallest doc_id, with all of docs' columns."""
-    kept = group_documents(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(normal_text(docs), 256)).withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
-    kept = kept.withColumn("_key", F.coalesce(F.col("_id"), F.lit(NO_ID))).drop("_id").dropDuplicates(["_key", "_sha"])
-    return keyed.join(kept, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).select(*docs.columns)
+    """docs without the copies: of equal texts the row with the smallest doc_id, with all of docs' columns, whatever their names."""
+    key = lambda c: F.coalesce(c, F.lit(NO_ID)).alias("key")
+    kept = group_documents(docs).where("kept").select(key(F.col("doc_id")), F.col("text_sha256").alias("sha")).distinct()
+    rows = docs.select(key(docs["doc_id"]), F.sha2(normal_text(docs), 256).alias("sha"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(kept, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"]).select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from .common import forget, saved
 
 
 def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+    """Equal marks: the same edges, but for a chance of 2**-64. Sums of hashes would leave a long's range on large graphs."""
+    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     return (r[0], r[1])
 
 

@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
-SAMPLE_WINDOWS, WINDOWS_PER_DOC, LANGUAGES = 12_000, 3, 1024
+SAMPLE_WINDOWS, WINDOWS_PER_DOC = 12_000, 3  # windows in all, a window of every language at least; windows of a document
 EPOCHS, BATCH, RATE, SEED = 8, 64, 3e-3, 11
 MIN_SCORE = 0.3
 _LETTER = regex.compile(r"\p{L}")
@@ -142,7 +144,7 @@ class ByteCNN:
 def train(docs: DataFrame, mod: int = 5, windows: int = SAMPLE_WINDOWS, seed: int = SEED) -> ByteCNN | None:
     """A network fitted on a bounded sample of the labelled documents that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     each = max(1, windows // len(counts))
@@ -161,7 +163,7 @@ def train(docs: DataFrame, mod: int = 5, windows: int = SAMPLE_WINDOWS, seed: in
                     rows.append((i, lang, raw[at : at + WINDOW].tobytes()))
             yield pa.RecordBatch.from_pydict({k: [x[j] for x in rows] for j, k in enumerate(("doc_id", "lang", "window"))}, schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("window", pa.binary())]))
 
-    got = sorted(map(tuple, drawn.mapInArrow(cut, "doc_id long, lang string, window binary").collect()))
+    got = sorted(map(tuple, drawn.mapInArrow(cut, "doc_id long, lang string, window binary").distinct().collect()))
     labels = sorted(counts)
     r = np.random.default_rng(seed)
     per: dict[str, list[bytes]] = {k: [] for k in labels}
@@ -175,13 +177,13 @@ def train(docs: DataFrame, mod: int = 5, windows: int = SAMPLE_WINDOWS, seed: in
     return ByteCNN(labels, seed).fit(x, np.array([k for _, k in data]))
 
 
-def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
-    """docs with lang_pred and score beside their own columns."""
+def identify(docs: DataFrame, model: ByteCNN | None, pred_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with the prediction and its score beside their own columns; columns of docs by these two names give way."""
     from pyspark.sql import types as T
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in (pred_name, score_name)]
     at = docs.columns.index("text")
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(pred_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
 
     def run(batches):
         for b in batches:
@@ -196,14 +198,15 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
                         best = int(p.argmax())
                         pred[k], score[k] = model.labels[best], float(min(1.0, max(0.0, p[best])))
                 cols = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, pred_name, score_name])
 
     return docs.select(*docs.columns).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs whose language the network recognises: not `und`, and with a score of min_score or more."""
-    known = identify(docs, train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    pred, score = fresh(docs, "lang_pred", "score")
+    known = identify(docs, train(docs), pred, score).where((F.col(pred) != "und") & (F.col(score) >= min_score))
     return known.select(*docs.columns)
 
 
