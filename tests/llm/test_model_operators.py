@@ -13,7 +13,7 @@ import pytest
 from quadrille.llm import language, lm, nearest, sentencepiece, token_store
 
 TEXTS = [
-    None, "", "a", " ", "  x  y\n\n\tz ", "The quick brown fox, isn't it?", "日本語 テスト x", "🙂 ok\r\n", "<s> <|endoftext|>x</s>", "ﬁ É é ½ İstanbul ΟΔΥΣΣΕΥΣ", "\x01 a\x1cb a\x85b\xa0c !\x1c!",
+    None, "", "a", " ", "  x  y\n\n\tz ", "The quick brown fox, isn't it?", "日本語 テスト x", "🙂 ok\r\n", "<s> <|endoftext|>x</s>", "<|ENDOFTEXT|> <|EndOfText|> a<|STARTOFTEXT|>B <|startoftext|><|x|> <| A|B|>", "ﬁ É é ½ İstanbul ΟΔΥΣΣΕΥΣ", "\x01 a\x1cb a\x85b\xa0c !\x1c!",
     "it's don't 'sa ''s x's'd 12a3", "def f(x):\n        return x + 1", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa ---------------", "long words and " * 3000,
 ]
 

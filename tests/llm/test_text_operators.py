@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_dedup, mixing, near_dedup, sharding, warc
+from quadrille.llm import exact_dedup, graph, language, mixing, near_dedup, sharding, warc
 from quadrille.llm.shingles import shingle_set
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep long, digest string, size string"
@@ -230,3 +231,34 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.audit(warc.archive(pages), warc.archive(pages)).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_clashing_columns_and_ties(spark):
+    names = ["score", "lang_pred", "_sha", "_key", "_id", "copies", "row", "n", "at", "time", "order", "key", "k0", "_n", "_copies"]
+    texts = ["alpha beta gamma delta epsilon zeta", "alpha  beta gamma delta epsilon zeta", None, "", "one two three", "one two three", "x " * 50_000]
+    rows = [(k if k != 4 else None, t, "en", "ab"[k % 2], *[f"{k}-{c}" for c in names]) for k, t in enumerate(texts)]
+    rows += [rows[0], rows[0]]  # repeated rows
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    whole = {tuple(r) for r in rows}
+    for out in (exact_dedup.keep_first(d), near_dedup.keep_one(d), mixing.mixed_rows(d), language.keep_identified(d, 0.0)):
+        assert out.columns == d.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and set(got) <= whole
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in exact_dedup.keep_first(d).collect()) == [(False, k) for k in (0, 2, 5, 6)]
+    per = Counter(tuple(r) for r in mixing.mixed_rows(d).collect())
+    size = lambda t: len((t or "").split())
+    taken = Counter()
+    for r in mixing.mix(d).collect():
+        taken[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    want = Counter()
+    for r, k in per.items():
+        want[r[0], r[3], size(r[1])] += k
+    assert want == +taken
+    none = d.where("false")
+    for out in (exact_dedup.keep_first(none), near_dedup.keep_one(none), mixing.mixed_rows(none), language.keep_identified(none)):
+        assert out.count() == 0 and out.columns == d.columns
+
+
+def test_marks_of_large_graphs(spark):
+    many = spark.range(40_000_000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert graph._mark(many) == graph._mark(many) and graph._mark(many)[0] == 40_000_000
