@@ -15,6 +15,7 @@ random draws depend only on seed, source, chunk and the ordered rows, so reruns
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -133,23 +134,25 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """docs as mixed: each row as often as it is taken, with all of docs' columns.
+    """docs as mixed: each row as often as it is taken, with all of docs' columns, whatever their names.
 
-    Rows are matched by (doc_id, source, size). Rows that agree in all three have their copies dealt in a stable order of their
-    texts' hashes; a row of 0 words is taken as often as its source's ratio says, in whole copies.
+    Rows are matched by (doc_id, source, size). Rows that agree in all three have their copies dealt in the order of their texts' hashes, then
+    of all their columns' (rows that agree there too are the same); a row of 0 words is taken as often as its source's ratio says, in whole
+    copies. The texts are shuffled once, by a merge join at every size: what is taken grows with the documents and is never broadcast.
     """
     key = ["doc_id", "source", "size"]
-    taken = mix_sized(_sized(docs), **how).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = saved(taken.select(*[F.col(c).alias(f"_{c}") for c in key], "_copies", "_rows"), "mix-taken")
-    sized = docs.withColumn("_n", word_count(text_of(docs)))
-    same = sized["doc_id"].eqNullSafe(taken["_doc_id"]) & sized["source"].eqNullSafe(taken["_source"]) & (sized["_n"] == taken["_size"])
-    both = sized.join(taken, same)
-    one = both.where("_rows = 1").withColumn("_k", F.lit(0).cast("long"))
-    if taken.where("_rows > 1").limit(1).count():
-        order = Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
-        one = one.unionByName(both.where("_rows > 1").withColumn("_k", (F.row_number().over(order) - 1).cast("long")))
-    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_k") < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    return one.withColumn("_t", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    taken = saved(mix_sized(_sized(docs), **how).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")), "mix-taken")
+    plain = [docs[c] for c in docs.columns if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
+    mine = {"k0": docs["doc_id"], "k1": docs["source"], "k2": word_count(text_of(docs)), "order": F.struct(F.xxhash64(docs["text"]), F.xxhash64(*plain))}
+    rows = docs.select(*[c.alias(n) for n, c in mine.items()], F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    same = rows["k0"].eqNullSafe(taken["doc_id"]) & rows["k1"].eqNullSafe(taken["source"]) & (rows["k2"] == taken["size"])
+    both = rows.join(taken.hint("merge"), same).drop(*key)
+    one = both.where("n = 1").withColumn("at", F.lit(0).cast("long"))
+    if taken.where("n > 1").limit(1).count():
+        order = Window.partitionBy("k0", "k1", "k2").orderBy("order")
+        one = one.unionByName(both.where("n > 1").withColumn("at", (F.row_number().over(order) - 1).cast("long")))
+    times = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("at") < F.col("copies") % F.col("n"), 1).otherwise(0)
+    return one.withColumn("time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, forget, may_hold, saved
+from .common import bitmap_of, forget, fresh, may_hold, saved
 from .graph import components
 from .shingles import SHINGLE_WORDS, shingle_set
 
@@ -89,7 +89,9 @@ def _regions(classes: DataFrame, region: int) -> DataFrame:
     sizes = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "forest-sizes")
     fit = rows.join(sizes.where(F.col("size") <= region).select("key"), "key").select(F.col("key").alias("unit"), "id")
     large = rows.join(sizes.where(F.col("size") > region), "key")
-    return fit.unionByName(_tiles(large, region)).distinct()
+    out = saved(fit.unionByName(_tiles(large, region)).distinct(), "near-regions")
+    forget(rows, sizes)
+    return out
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -176,10 +178,10 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WO
     signed = saved(source.mapInArrow(_signed(words), "id long, n long, digest binary, sig binary"), "near-signed")
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("sig").alias("sig"))
     classes = saved(classes, "near-classes")
-    regions = saved(_regions(classes, region), "near-regions")
+    regions = _regions(classes, region)
     inside = regions.join(classes.select("id", "n", "sig"), "id")
     loose_edges = inside.groupBy("unit").applyInPandas(_candidates(percent, loose), "u long, v long")
-    units = saved(components(loose_edges, "near-loose"), "near-units")
+    units = saved(components(loose_edges, "near-loose"), "near-units")  # long lived: the scans below read it
     sizes = units.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     large = sizes.where(F.col("size") > region)
     by_component = units.join(large, "root", "left_anti").select(F.col("root").alias("unit"), F.col("node").alias("id"))
@@ -208,8 +210,9 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WO
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id; all of docs' columns."""
-    drop = near_groups(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_id"]), "left_anti")
+    (own,) = fresh(docs, "_id")
+    drop = near_groups(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(drop, docs["doc_id"].eqNullSafe(drop[own]), "left_anti")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
