@@ -1,8 +1,8 @@
 """Token-id files coded by a static range asymmetric numeral system (rANS).
 
 Encoding uses the tokenizers library. Its vocabulary's pre-tokens never hold white space, so a text is cut at ASCII white space, distinct words
-are cut into pre-tokens by the tokenizer's own pattern, and each distinct pre-token is encoded by the library once per
-worker; words with characters for which that shortcut isn't provably the same are encoded by the library as they stand.
+are cut into pre-tokens by the tokenizer's own pattern, and each distinct pre-token is encoded by the library once for as long as a worker's cache
+holds it; words with characters for which that shortcut isn't provably the same, or with `<|`, are encoded by the library as they stand.
 
 File format, all little-endian. `table.rans`: magic, scale bits, vocabulary size, one frequency per id (they sum to 2**scale bits), crc32; it is shared by all
 files. `part-NNNNN.rans`: magic, number of documents and of blocks, doc_ids, ids per document, then blocks. A block codes up to BLOCK ids on its
@@ -33,13 +33,14 @@ from .common import forget, saved, scratch_path
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SCALE, LANES, BLOCK, CHECKPOINT = 20, 1024, 1 << 20, 256
 FILE_IDS = 8 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_BYTES = 400_000, 8 << 20  # a generation of the cache: entries, and bytes of the words learnt in it
 _LOW = np.uint64(1 << 31)
 _MAGIC, _TABLE_MAGIC = b"RANSIDS1", b"RANSTAB1"
 NO_ID = (1 << 63) - 1
 
 # --- text to ids -----------------------------------------------------------------------------------------------
 
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = regex.compile(r"[!-/0-9:-@A-Z\[-`a-z{-~À-ÿŒœ]+")
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the vocabulary file's own split pattern
 
@@ -56,11 +57,11 @@ class WordEncoder:
         self.closes = np.zeros(self.lib.get_vocab_size(), bool)  # ids that end a pre-token
         for t, i in self.lib.get_vocab().items():
             self.closes[i] = bool(suffix) and t.endswith(suffix)
-        # two generations each: when the younger is full it becomes the older, so frequent entries stay
+        # ids by word or pre-token (a pre-token on its own is a word with itself as its one pre-token); two generations: when the
+        # younger is full, by entries or by bytes, it becomes the older, so frequent entries stay
         self.words: dict[bytes, bytes] = {}
         self.old_words: dict[bytes, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
-        self.old_pretokens: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     @functools.lru_cache(4)
@@ -70,68 +71,68 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pretokens(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2000):
-            chunk = new[at : at + 2000]
-            e = self.lib.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0]
+    def _learn_pretokens(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), 96):  # the library's time a word grows with the text's length
+            chunk = new[at : at + 96]
+            e = self.lib.encode_batch_fast([b" ".join(chunk).decode()], add_special_tokens=False)[0]
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(chunk) and ends[-1] == len(ids):
-                cuts = [0, *ends.tolist()]
-                for k, p in enumerate(chunk):
-                    self.pretokens[p] = ids[cuts[k] : cuts[k + 1]].tobytes()
+                raw, stops = ids.tobytes(), (4 * ends).tolist()
+                self.words.update(zip(chunk, [raw[i:j] for i, j in zip([0, *stops[:-1]], stops)]))
             else:
-                for p, ids_ in zip(chunk, self._whole(chunk)):
-                    self.pretokens[p] = ids_
+                self.words.update(zip(chunk, self._whole([p.decode() for p in chunk])))
+
+    def _known(self, w: bytes) -> bool:
+        """Whether w's ids are held; those of the older generation move to the younger."""
+        if w in self.words:
+            return True
+        ids = self.old_words.get(w)
+        if ids is not None:
+            self.words[w] = ids
+        return ids is not None
 
     def _learn_words(self, new: list[bytes]) -> None:
-        cut, other, pre = {}, [], set()
+        """new: words in lower case (A-Z), but as they stand where they hold a special token's first characters: those match raw text."""
+        need, ended, cut, other = set(), [], {}, []
         for w in new:
-            stem = w.rstrip(b".,!?;:")
-            if stem.isalpha():  # A-Z, a-z only: a run of letters, perhaps a run of marks
-                parts = cut[w] = (stem.decode(), w[len(stem) :].decode()) if len(stem) < len(w) else (w.decode(),)
-                pre.update(parts)
+            if w.isalpha():  # a-z only: one pre-token
+                need.add(w)
+                continue
+            stem = w.rstrip(_MARKS)
+            if stem.isalpha():  # a run of letters and a run of marks
+                ended.append((w, stem, w[len(stem) :]))
                 continue
             t = w.decode("utf-8", "surrogatepass")
             if _PLAIN.fullmatch(t) and "<|" not in t:
-                parts = cut[w] = _PRETOKEN.findall(t.lower())
-                pre.update(parts)
+                cut[w] = [p.encode() for p in _PRETOKEN.findall(t.lower())]
             else:
                 other.append(w)
-        if len(self.pretokens) > CACHE_WORDS:
-            self.pretokens, self.old_pretokens = {}, self.pretokens
-        learn, old = [], self.old_pretokens
-        for p in pre:
-            if p not in self.pretokens:
-                known = old.get(p)
-                if known is None:
-                    learn.append(p)
-                else:
-                    self.pretokens[p] = known
-        learn.sort()
-        self._learn_pretokens(learn)
-        get = self.pretokens.__getitem__
-        for w, parts in cut.items():
-            self.words[w] = b"".join(map(get, parts))
+        parts = {p for _, *pair in ended for p in pair}
+        parts.update(*cut.values())
+        need.update(p for p in parts if not self._known(p))
+        self._learn_pretokens(sorted(need))
+        words = self.words
+        for w, stem, marks in ended:
+            words[w] = words[stem] + words[marks]
+        for w, pieces in cut.items():
+            words[w] = b"".join([words[p] for p in pieces])
         for w, ids in zip(other, self._whole([w.decode("utf-8", "replace") for w in other])):
-            self.words[w] = ids
+            words[w] = ids
+        self.held += sum(map(len, new))
+
+    @staticmethod
+    def _split(text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" in raw:
+            return [w if b"<|" in w else w.lower() for w in raw.split()]
+        return raw.lower().split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.old_words = {}, self.words
-        fresh, old = [], self.old_words
-        for w in new:
-            if w not in self.words:
-                known = old.get(w)
-                if known is None:
-                    fresh.append(w)
-                else:
-                    self.words[w] = known
-        self._learn_words(fresh)
+        split = [self._split(t) for t in texts]
+        if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.words, self.old_words, self.held = {}, self.words, 0
+        self._learn_words([w for w in set().union(*split) if not self._known(w)])
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
