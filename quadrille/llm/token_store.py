@@ -1,8 +1,8 @@
 """Token-id files coded by a static range asymmetric numeral system (rANS).
 
-Encoding uses the tokenizers library. Its vocabulary's pre-tokens never hold white space, so a text is cut at ASCII white space, distinct words
-are cut into pre-tokens by the tokenizer's own pattern, and each distinct pre-token is encoded by the library once for as long as a worker's cache
-holds it; words with characters for which that shortcut isn't provably the same, or with `<|`, are encoded by the library as they stand.
+Encoding uses the tokenizers library. Its vocabulary's pre-tokens never hold white space, so a text is cut at ASCII white space, a batch's distinct
+words are cut into pre-tokens by the tokenizer's own pattern, and each distinct pre-token is encoded by the library once for as long as a worker's
+cache holds it; words with characters for which that shortcut isn't provably the same, or with `<|`, are encoded by the library as they stand.
 
 File format, all little-endian. `table.rans`: magic, scale bits, vocabulary size, one frequency per id (they sum to 2**scale bits), crc32; it is shared by all
 files. `part-NNNNN.rans`: magic, number of documents and of blocks, doc_ids, ids per document, then blocks. A block codes up to BLOCK ids on its
@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from .common import forget, saved, scratch_path
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SCALE, LANES, BLOCK, CHECKPOINT = 20, 1024, 1 << 20, 256
 FILE_IDS = 8 << 20
+PART_ROWS, PART_BYTES = 2048, 64 << 20  # of the texts encoded at once
 CACHE_WORDS, CACHE_BYTES = 400_000, 8 << 20  # a generation of the cache: entries, and bytes of the words learnt in it
 _LOW = np.uint64(1 << 31)
 _MAGIC, _TABLE_MAGIC = b"RANSIDS1", b"RANSTAB1"
@@ -41,12 +43,13 @@ NO_ID = (1 << 63) - 1
 # --- text to ids -----------------------------------------------------------------------------------------------
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = regex.compile(r"[!-/0-9:-@A-Z\[-`a-z{-~À-ÿŒœ]+")
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the vocabulary file's own split pattern
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, with distinct words encoded once."""
+    """Ids of whole texts by the tokenizers library, with distinct pre-tokens encoded once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,10 +60,10 @@ class WordEncoder:
         self.closes = np.zeros(self.lib.get_vocab_size(), bool)  # ids that end a pre-token
         for t, i in self.lib.get_vocab().items():
             self.closes[i] = bool(suffix) and t.endswith(suffix)
-        # ids by word or pre-token (a pre-token on its own is a word with itself as its one pre-token); two generations: when the
-        # younger is full, by entries or by bytes, it becomes the older, so frequent entries stay
-        self.words: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
+        # ids by pre-token, or by word where a word isn't letters and marks alone; two generations: when the younger is full, by
+        # entries or by bytes, it becomes the older, so frequent entries stay
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
     @classmethod
@@ -71,7 +74,15 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pretokens(self, new: list[bytes]) -> None:
+    def _missing(self, entries) -> set[bytes]:
+        """Those of entries whose ids aren't held; ids of the older generation move to the younger."""
+        missing = set(entries).difference(self.known)
+        moved = {w: self.older[w] for w in missing.intersection(self.older)}
+        self.known.update(moved)
+        return missing.difference(moved)
+
+    def _ids_of_pretokens(self, pretokens: list[bytes]) -> list[bytes]:
+        new = sorted(self._missing(pretokens))
         for at in range(0, len(new), 96):  # the library's time a word grows with the text's length
             chunk = new[at : at + 96]
             e = self.lib.encode_batch_fast([b" ".join(chunk).decode()], add_special_tokens=False)[0]
@@ -79,62 +90,78 @@ class WordEncoder:
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(chunk) and ends[-1] == len(ids):
                 raw, stops = ids.tobytes(), (4 * ends).tolist()
-                self.words.update(zip(chunk, [raw[i:j] for i, j in zip([0, *stops[:-1]], stops)]))
+                self.known.update(zip(chunk, [raw[i:j] for i, j in zip([0, *stops[:-1]], stops)]))
             else:
-                self.words.update(zip(chunk, self._whole([p.decode() for p in chunk])))
-
-    def _known(self, w: bytes) -> bool:
-        """Whether w's ids are held; those of the older generation move to the younger."""
-        if w in self.words:
-            return True
-        ids = self.old_words.get(w)
-        if ids is not None:
-            self.words[w] = ids
-        return ids is not None
-
-    def _learn_words(self, new: list[bytes]) -> None:
-        """new: words in lower case (A-Z), but as they stand where they hold a special token's first characters: those match raw text."""
-        need, ended, cut, other = set(), [], {}, []
+                self.known.update(zip(chunk, self._whole([p.decode() for p in chunk])))
+        self.held += sum(map(len, new))
+        return list(map(self.known.__getitem__, pretokens))
+
+    def _ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        """Of words of any kind, in lower case (A-Z) but for those with a special token's first characters: these match raw text."""
+        cut, other = {}, []
+        new = self._missing(words)
         for w in new:
-            if w.isalpha():  # a-z only: one pre-token
-                need.add(w)
-                continue
-            stem = w.rstrip(_MARKS)
-            if stem.isalpha():  # a run of letters and a run of marks
-                ended.append((w, stem, w[len(stem) :]))
-                continue
-            t = w.decode("utf-8", "surrogatepass")
+            t = w.decode("utf-8", "replace")
             if _PLAIN.fullmatch(t) and "<|" not in t:
                 cut[w] = [p.encode() for p in _PRETOKEN.findall(t.lower())]
             else:
-                other.append(w)
-        parts = {p for _, *pair in ended for p in pair}
-        parts.update(*cut.values())
-        need.update(p for p in parts if not self._known(p))
-        self._learn_pretokens(sorted(need))
-        words = self.words
-        for w, stem, marks in ended:
-            words[w] = words[stem] + words[marks]
-        for w, pieces in cut.items():
-            words[w] = b"".join([words[p] for p in pieces])
-        for w, ids in zip(other, self._whole([w.decode("utf-8", "replace") for w in other])):
-            words[w] = ids
+                other.append((w, t))
+        pieces = list(set().union(*cut.values()))
+        ids = dict(zip(pieces, self._ids_of_pretokens(pieces)))
+        self.known.update((w, b"".join([ids[p] for p in of])) for w, of in cut.items())
+        self.known.update(zip([w for w, _ in other], self._whole([t for _, t in other])))
         self.held += sum(map(len, new))
-
-    @staticmethod
-    def _split(text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" in raw:
-            return [w if b"<|" in w else w.lower() for w in raw.split()]
-        return raw.lower().split()
+        return list(map(self.known.__getitem__, words))
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """texts: strings. The ids of all texts in a row, and the place where each text's end."""
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        raw = pc.any(pc.match_substring(texts, "<|")).as_py()
+        split = pc.ascii_split_whitespace(texts.fill_null("") if raw else pc.ascii_lower(texts.fill_null("")))
+        words = split.flatten()
+        if raw:
+            words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+        coded = words.dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
+        # most words are a run of letters and a run of marks, both maybe empty
+        stem = pc.ascii_rtrim(distinct, _MARKS.decode())
+        simple = pc.and_(pc.ascii_is_alpha(stem), pc.invert(pc.match_substring(distinct, "<|")))
+        stems = stem.filter(simple).dictionary_encode()
+        tails = pc.ascii_ltrim(distinct.filter(simple), _LETTERS).dictionary_encode()
+        listed = lambda a: a.cast(pa.binary()).to_pylist()
+        marks = [t for t in listed(tails.dictionary) if t]
+        ids = dict(zip(marks, self._ids_of_pretokens(marks)))
+        parts = self._ids_of_pretokens(listed(stems.dictionary))
+        n_stems = len(parts)
+        parts += [ids.get(t, b"") for t in listed(tails.dictionary)]
+        n_tails = len(parts)
+        parts += self._ids_of_words(listed(distinct.filter(pc.invert(simple))))
+        parts.append(b"")
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        pair = np.full((len(distinct), 2), len(parts) - 1, np.int64)
+        pair[is_simple, 0] = stems.indices.to_numpy()
+        pair[is_simple, 1] = tails.indices.to_numpy() + n_stems
+        pair[~is_simple, 0] = np.arange(n_tails, len(parts) - 1)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        by_word, ends = _picked(np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size, size, pair.ravel())
+        ends = ends[1::2]
+        size = np.diff(ends, prepend=0)
+        flat, ends = _picked(by_word, ends - size, size, at)
+        stops = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+        return flat, np.concatenate(([0], ends))[stops]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.words, self.old_words, self.held = {}, self.words, 0
-        self._learn_words([w for w in set().union(*split) if not self._known(w)])
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        raw = pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.binary())
+        flat, ends = self.encode_flat(raw.view(pa.string()))
+        return [x.tobytes() for x in np.split(flat, ends[:-1])] if len(ends) else []
+
+
+def _picked(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `pick` of flat, one behind the other, and the place where each ends; run k is flat[begin[k] : begin[k] + size[k]]."""
+    sizes = size[pick]
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[pick] - (ends - sizes), sizes)], ends
 
 
 # --- rANS ------------------------------------------------------------------------------------------------------
@@ -297,20 +324,19 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         enc = WordEncoder.load(path)
         size = max(enc.lib.get_vocab_size(), end_id + 1)
         kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        counts, end = np.zeros(size, np.int64), np.array([end_id], kind).tobytes()
+        counts = np.zeros(size, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                coded = [np.frombuffer(x, "<u4") for x in enc.encode(part.column(1).to_pylist())]
-                for c in coded:
-                    counts += np.bincount(c, minlength=size) if len(c) > 4 * size else 0
-                small = [c for c in coded if len(c) <= 4 * size]
-                if small:
-                    counts += np.bincount(np.concatenate(small), minlength=size)
-                counts[end_id] += len(coded)
-                ids = [c.astype(kind).tobytes() + end for c in coded]
-                n = pa.array([len(c) + 1 for c in coded], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).fill_null(NO_ID), n, pa.array(ids, pa.binary()), pa.array([None] * len(ids), pa.int64())], names=["doc_id", "n", "ids", "id"])
+            rows = max(1, min(PART_ROWS, PART_BYTES * b.num_rows // max(1, b.nbytes)))
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                flat, ends = enc.encode_flat(part.column(1))
+                counts += np.bincount(flat, minlength=size)
+                counts[end_id] += len(ends)
+                n = np.diff(ends, prepend=0) + 1
+                raw = np.insert(flat.astype(kind), ends, end_id)
+                stops = np.concatenate(([0], np.cumsum(n))) * kind.itemsize
+                ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).fill_null(NO_ID), pa.array(n), ids, pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "ids", "id"])
         seen = np.flatnonzero(counts)
         none = pa.nulls(len(seen), pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.array(counts[seen]), pa.nulls(len(seen), pa.binary()), pa.array(seen)], names=["doc_id", "n", "ids", "id"])

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -63,6 +64,20 @@ def test_token_store(spark, tmp_path):
     assert len([f for f in os.listdir(uri) if f.endswith(".rans")]) > 2
 
 
+def test_encoder_equals_the_library_on_odd_words():
+    encoder = token_store.WordEncoder(token_store.tokenizer_path())
+    bits = ["a", "B", "Bar's", "'s", "DON'T", "x1", "12", "é", "É", "ß", "İ", "ſ", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "ABC<|", "|>", "...", "!?", "`a`", "漢字"]
+    bits += [" ", " ", "\x0b", "\x1c", "\x85", "\t", "\n", "", "\u0301", "🙂", "a_b", "'LL", "\u200b", "ﬁ", "À", "Œ", "^", "x~y", "\u2028"]
+    rng = np.random.RandomState(5)
+    texts = ["".join(rng.choice(bits, rng.randint(15))) for _ in range(4000)] + [None, "", " ", "a" * 5000, "!" * 3000]
+    for at in range(0, len(texts), 777):
+        some = texts[at : at + 777]
+        assert encoder.encode(some) == [np.array(encoder.lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    flat, ends = encoder.encode_flat(pa.array(texts).slice(3, 9))
+    assert flat.tobytes() == b"".join(encoder.encode(texts[3:12])) and len(ends) == 9
+    assert encoder.encode([]) == []
+
+
 def test_rans_blocks():
     r = np.random.default_rng(0)
     ids = np.minimum(r.zipf(1.3, 70_001), 999).astype(np.uint32)
