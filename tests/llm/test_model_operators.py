@@ -258,6 +258,42 @@ def test_lm_beats_the_base_and_uses_other_words(spark):
     assert {g["doc_id"]: g["n_tokens"] for g in got}[10**6 + 1] == 40_001
 
 
+def test_lm_words_outside_the_dictionary_use_their_contexts(spark):
+    # the dictionary holds the end and two function words alone; all other words are told by the word before them
+    r = np.random.default_rng(4)
+    tongues = [["".join(r.choice(list("abcdefgh"), 5)) for _ in range(60)] for _ in range(2)]
+    rows = [(k, " ".join(f"{('the', 'der')[k % 2]} {r.choice(tongues[k % 2])}" for _ in range(100))) for k in range(200)]
+    swap = {"the": "der", "der": "the"}
+    swapped = [(1000 + k, " ".join(swap.get(w, w) for w in t.split())) for k, t in rows[:8]]
+    table = spark.createDataFrame(rows + swapped, "doc_id long, text string")
+    got = {shelf: {g["doc_id"]: g for g in lm.score(table, hot=3, shelf=shelf).collect()} for shelf in (1 << 20, 3000)}
+    for per in got.values():
+        for k in range(8):
+            assert per[1000 + k]["score"] < per[k]["score"] - 15  # of 100 words outside; 0.3 each in log10 tells the two halves apart
+    again = {g["doc_id"]: g["score"] for g in lm.score(table.repartition(5), hot=3, shelf=3000).collect()}
+    assert all(abs(again[k] - g["score"]) < 1e-6 for k, g in got[3000].items())
+
+
+def test_lm_shelf_is_a_distribution():
+    r = np.random.default_rng(6)
+    words, n = [b"w%d" % k for k in range(40)], 3000
+    code, cls = r.integers(0, 50, n), r.integers(0, lm.CLASSES, n)
+    train, times = (code < 40) & (r.random(n) < 0.8), r.integers(1, 4, n)
+    names = [words[k] if k < 40 else b"new%d" % k for k in code]
+    spelled = lambda ws: np.array([-float(w[3:]) for w in ws])
+    c, fresh, logs = lm.shelved(pa.array(names, pa.binary()), cls * 2 + train, times, spelled)
+    cells = np.zeros((40, lm.CLASSES))
+    np.add.at(cells, (code[train], cls[train]), times[train])
+    assert (cells.sum(1) > 0).all() and c.tolist() == [cells[k].sum() if k < 40 else 0 for k in code]
+    assert fresh.tolist() == (code >= 40).tolist() and logs[fresh].tolist() == (-code[fresh]).tolist()
+    order = sorted(range(40), key=words.__getitem__)
+    table = lm.dictionary_table(cells[order])
+    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
+    assert np.allclose(logs[~fresh], [table[u, order.index(k)] for k, u in zip(code[~fresh], cls[~fresh])])
+    mixed_up = r.permutation(n)
+    assert np.array_equal(lm.shelved(pa.array([names[k] for k in mixed_up], pa.binary()), (cls * 2 + train)[mixed_up], times[mixed_up], spelled)[2], logs[mixed_up])
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert sentencepiece.digests(none).count() == 0
