@@ -22,12 +22,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PAIRS = 200_000, 1 << 18  # a worker keeps these from task to task
+SLICE_ROWS, SLICE_SIZE = 2048, 1 << 19  # of a batch at a time: rows, and bytes of text or ids
 MODEL = "piece_bpe_32k.model"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -58,6 +60,7 @@ class Pieces:
                 node = node.setdefault(c, {})
             node[""] = i
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     @functools.lru_cache(4)
@@ -123,7 +126,7 @@ class Pieces:
                 bound, left = rank[left], in_left[1]
             else:
                 bound, right = rank[right] + 0.5, in_right[0]
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
@@ -190,16 +193,17 @@ class Pieces:
         """Ids of each whole text, as little-endian unsigned 32-bit integers."""
         cut = re.compile(r" +[^ \n]*|\n|[^ \n]+" if self.cut_lines else r" +[^ ]*")
         split = [cut.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        words, new = self.words, set()
-        for units in split:
-            new.update(units)
-        if len(words) + len(new) > CACHE_WORDS:
-            fresh = sorted(w for w in new if w not in words)
-            if len(words) + len(fresh) > CACHE_WORDS:
-                words.clear()
-                fresh = sorted(new)
-        else:
-            fresh = sorted(w for w in new if w not in words)
+        new = set().union(*split)
+        if len(self.words) + len(new - self.words.keys()) > CACHE_WORDS // 2:  # words in use come back from the older half
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        fresh = []
+        for w in new - words.keys():
+            if w in older:
+                words[w] = older[w]
+            else:
+                fresh.append(w)
+        fresh.sort()
         for w, ids in zip(fresh, self.encode_words(fresh)):
             words[w] = ids
         get = words.__getitem__
@@ -228,10 +232,18 @@ def _with_column(b: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), values], names=[*(b.schema.names[k] for k in keep), name])
 
 
-def _slices(batches, rows: int = 2048):
+def _slices(batches, column: str):
+    """The batches in slices, so that what is made of a slice stays small however long its texts are; a longer text is a slice of its own."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        c = b.column(b.schema.get_field_index(column))
+        n = pc.list_value_length(c) if pa.types.is_list(c.type) or pa.types.is_large_list(c.type) else pc.binary_length(c)
+        ends = np.cumsum(n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_SIZE, "right"))
+            to = min(at + SLICE_ROWS, max(at + 1, fit))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -240,7 +252,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches):
         sp = Pieces.load(path)
-        for b in _slices(batches):
+        for b in _slices(batches, "text"):
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in sp.encode(b.column(b.schema.get_field_index("text")).to_pylist())]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
@@ -255,7 +267,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches):
         sp = Pieces.load(path)
-        for b in _slices(batches):
+        for b in _slices(batches, "ids"):
             ids = b.column(b.schema.get_field_index("ids"))
             texts = [sp.decode(np.asarray(x.values)).decode("utf-8", "replace") if x.is_valid else "" for x in ids]
             yield _with_column(b, "decoded", pa.array(texts, pa.string()))
@@ -271,7 +283,7 @@ def digests(docs: DataFrame, model: str | None = None, with_ids: bool = False) -
 
     def run(batches):
         sp = Pieces.load(path)
-        for b in _slices(batches):
+        for b in _slices(batches, "text"):
             texts = b.column(1).to_pylist()
             cols: list[list] = [[] for _ in names[1:6]]
             coded = sp.encode(texts)

@@ -3,6 +3,7 @@
 import math
 import os
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -34,6 +35,48 @@ def test_sentencepiece_equals_the_library(spark):
     assert all(r["round_trip"] for r in d) and len(d) == len(TEXTS)
 
 
+def test_pieces_of_a_batch_take_little_memory(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    class Caught:  # digests() of it is the function that a worker runs
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    r = np.random.default_rng(3)
+    vocabulary = np.array(["".join(map(chr, r.integers(97, 123, 5))) for _ in range(3000)])
+    texts = [" ".join(vocabulary[r.integers(0, 3000, 600)]) for _ in range(2000)]
+    texts[7:9] = [None, " ".join(vocabulary[r.integers(0, 3000, 120_000)])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    sentencepiece.Pieces.load(sentencepiece.model_path())
+    run = sentencepiece.digests(Caught())
+    tracemalloc.start()
+    rows = [x for out in run(iter([batch])) for x in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert [x["doc_id"] for x in rows] == list(range(len(texts))) and all(x["round_trip"] for x in rows)
+    sp = SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece.MODEL))
+    for k in (0, 7, 8, 9, 1999):
+        ids = sp.encode(texts[k] or "")
+        assert rows[k]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes()) and rows[k]["n_pieces"] == len(ids)
+
+
+def test_piece_cache_is_bounded_and_keeps_words_in_use(monkeypatch):
+    monkeypatch.setattr(sentencepiece, "CACHE_WORDS", 400)
+    sp = sentencepiece.Pieces([("<unk>", 0.0, 2)] + [(p, -1.0, 1) for p in ("▁", *"abcdefghij")], sentencepiece.UNIGRAM)
+    coded, encode = [], sp.encode_words
+    monkeypatch.setattr(sp, "encode_words", lambda words: coded.extend(words) or encode(words))
+    for k in range(100):
+        text = " ".join(["abc", *("".join("abcdefghij"[int(c)] for c in str(1000 + 50 * k + j)) for j in range(50))])
+        (ids,) = sp.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == [1 if c == " " else 2 + ord(c) - 97 for c in " " + text]
+        assert len(sp.words) + len(sp.older) <= 400
+    assert coded.count(" abc") == 1
+
+
 def test_unigram_forward_pass_is_viterbi():
     r = np.random.default_rng(1)
     pieces = [("<unk>", 0.0, 2)] + [(p, float(-r.integers(1, 90)), 1) for p in ("a", "b", "c", "ab", "bc", "abc", "ca", "▁", "▁a", "▁ab")]

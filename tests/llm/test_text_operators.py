@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm import exact_dedup, graph, language, mixing, near_dedup, sharding, warc
+from quadrille.llm.common import running_sums
 from quadrille.llm.shingles import shingle_set
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep long, digest string, size string"
@@ -175,6 +176,18 @@ def test_mixing(spark, rows):
     assert mixed.columns == table(spark, rows).columns
 
 
+def test_running_sums_start_no_other_python_workers(spark):
+    d = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), F.when(F.col("id") % 9 > 0, F.col("id")).alias("n")).repartition(5)
+    out = running_sums(d, ["x"], ["n"], "sums")
+    assert "ExistingRDD" not in out._jdf.queryExecution().toString()  # rows of Python, by way of a daemon and workers of their own
+    total = 0
+    for r in out.orderBy("x").collect():
+        assert r["n_before"] == total
+        total += r["n"] or 0
+    assert running_sums(d.where("false"), ["x"], ["n"], "sums").columns == ["x", "n", "n_before"]
+    assert running_sums(d.where("false"), ["x"], ["n"], "sums").count() == 0
+
+
 def test_pivot_keeps_expectations():
     sizes = np.array([5.0, 3.0, 8.0, 2.0, 7.0])
     total = np.zeros(5)
