@@ -1,5 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB oracles."""
 
+from .divergence import OP13_SQL, op13_divergence
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language import op9_language
 from .lm import op4_lm_score
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op13_divergence": op13_divergence,
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_sharding": OP7_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_sharding": OP7_SQL, "op13_divergence": OP13_SQL}
