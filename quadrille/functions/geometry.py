@@ -38,7 +38,8 @@ def following(points: Column) -> Column:
     return F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
 
 
-def _before(points: Column) -> Column:
+def preceding(points: Column) -> Column:
+    """The ring's points moved back by one: at each place the point before it."""
     return F.concat(F.slice(points, -1, 1), F.slice(points, F.lit(1), F.size(points) - 1))
 
 
@@ -50,7 +51,7 @@ def ring_edges(points: Column) -> Column:
 
 
 def _kept(points: Column, keep) -> Column:
-    triples = F.arrays_zip(_before(points).alias("a"), points.alias("b"), following(points).alias("c"))
+    triples = F.arrays_zip(preceding(points).alias("a"), points.alias("b"), following(points).alias("c"))
     kind = "array<struct<a:struct<x:int,y:int>,b:struct<x:int,y:int>,c:struct<x:int,y:int>>>"
     kept = F.filter(triples.cast(kind), lambda t: keep(t["a"], t["b"], t["c"]))
     return F.when(F.size(points) >= 3, F.transform(kept, lambda t: t["b"])).otherwise(points)

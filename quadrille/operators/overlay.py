@@ -13,7 +13,8 @@ from . import boundary, edges, rings, sweep
 class Overlay:
     """Contours (subject and clip, by group_id) made ready once; every rule and fill reads the same slabs.
 
-    Invalid rings are set aside in `rejects` with a reason. Nothing runs until a result is acted upon.
+    Invalid rings are set aside in `rejects` with a reason. Nothing runs until a result is acted upon, but for shapes() and flat_contours(),
+    which write intermediate tables to the shared folder when called.
     """
 
     def __init__(self, contours: DataFrame, options: Options = Options()):

@@ -1,174 +1,181 @@
-"""Closed rings out of boundary links, and holes given to their shapes: one call per group."""
+"""Closed rings out of boundary links, and holes given to their shapes: joins, windows and pointer doubling, no group in one task.
 
-from __future__ import annotations
+1. Pieces of links in a row become edges; an edge runs with the result on its left. Edges are numbered in ascending order of their ends.
+2. Successor map: at every node each edge that arrives is given one that leaves. Where two corners of the result touch there are two of each,
+   and two ways to pair them: turning left keeps the two filled quadrants apart, turning right the two empty ones.
+3. Cycles of the map that turns left are ranked by pointer doubling. A cycle is a hole if the result is above or left of its least edge.
+   Cycles that meet at touching corners form clusters; in a cluster that has a hole, all touching corners turn right instead, so
+   that holes come apart at them and an island that touches the wall becomes part of it. Only its cycles are ranked again.
+4. A hole belongs to the owner of the nearest edge below its smallest point that has the result above: an as-of window per strip. If a
+   hole owns that edge, it belongs to the same shape as that hole: pointer jumping.
+
+Intermediate tables are written to the shared folder while a call builds its result.
+"""
 
-from bisect import bisect_left
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import ring_area2, rotated_to_smallest
 from ..functions.rules import included, top_inside
-from ..model import SHAPES, ContourDirection, Options, OverlayRule
-
-Point = tuple[int, int]
-
-
-def _turns(ring: list[Point]) -> list[Point]:
-    """The ring without the points at which it runs straight on."""
-    out = ring
-    while True:
-        n = len(out)
-        kept = [b for a, b, c in ((out[i - 1], out[i], out[(i + 1) % n]) for i in range(n)) if (a[0] - b[0]) * (c[1] - b[1]) != (a[1] - b[1]) * (c[0] - b[0])]
-        if len(kept) == n or len(kept) < 3:
-            return kept if len(kept) >= 3 else []
-        out = kept
-
-
-def _area(ring: list[Point]) -> int:
-    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])) // 2
-
-
-def _from_smallest(ring: list[Point]) -> list[Point]:
-    at = ring.index(min(ring))
-    return ring[at:] + ring[:at]
-
-
-class _Walk:
-    """Links directed so that the result lies on their left; every node has as many ways in as out."""
-
-    def __init__(self, links: list[tuple[Point, Point, bool]]):
-        self.links = links
-        self.out: dict[Point, list[int]] = {}
-        for k, (a, b, top) in enumerate(links):
-            # along +x the left is above; along +y the left is the smaller x, which counts as the top of a vertical
-            self.out.setdefault(a if top else b, []).append(k)
-        self.seen = [False] * len(links)
-
-    def ends(self, k: int) -> tuple[Point, Point]:
-        a, b, top = self.links[k]
-        return (a, b) if top else (b, a)
-
-    def ring(self, start: int, hole: bool) -> list[tuple[int, Point]]:
-        """Links and their first points, from `start` to the first return to where it begins."""
-        out, k = [], start
-        first, at = self.ends(start)
-        self.seen[start] = True
-        out.append((start, first))
-        heading = (at[0] - first[0], at[1] - first[1])
-        while at != first:
-            ways = [w for w in self.out[at] if not self.seen[w]]
-            if len(ways) > 1:
-                # at a touching corner an outer ring turns left, round the filled quadrant, a hole right, round the empty one
-                def side(w: int) -> int:
-                    p, q = self.ends(w)
-                    return heading[0] * (q[1] - p[1]) - heading[1] * (q[0] - p[0])
-
-                k = (min if hole else max)(ways, key=side)
-            else:
-                k = ways[0]
-            p, q = self.ends(k)
-            self.seen[k] = True
-            out.append((k, p))
-            heading, at = (q[0] - p[0], q[1] - p[1]), q
-        return out
-
-
-def trace(links: list[tuple[Point, Point, bool]], options: Options, corners: set[Point] | None = None):
-    """links: (a, b, inside above or left), a before b, in any order. Returns (outers, holes, owners): rings, and per hole its outer.
-
-    Rings begin in ascending order of links; the first link at a node is the steepest one left. A ring is a hole if the result is above or
-    left of it. A hole belongs to the owner of the nearest link below its smallest point that has the result above; if a hole owns
-    that link, to the same shape as that hole. Rings smaller than min_output_area are dropped, shapes with their holes.
-    """
-    links = sorted(links)
-    walk, kinds, rings, owner = _Walk(links), [], [], [0] * len(links)
-    leaving: dict[Point, list[int]] = {}
-    for k, (a, _, _) in enumerate(links):
-        leaving.setdefault(a, []).append(k)
-    for k, (a, _, _) in enumerate(links):
-        if walk.seen[k]:
-            continue
-        free = [w for w in leaving[a] if not walk.seen[w]]
-        start = next((w for w in free if links[w][1][0] == a[0]), free[0])
-        hole = links[start][2]
-        steps = walk.ring(start, hole)
-        for w, _ in steps:
-            owner[w] = len(rings)
-        rings.append([p for _, p in steps])
-        kinds.append(hole)
-    above: dict[int, tuple[list[int], list[int]]] = {}
-    for k, (a, b, top) in enumerate(links):
-        if top and a[1] == b[1]:
-            ys, ks = above.setdefault(a[0], ([], []))
-            ys.append(a[1])
-            ks.append(k)  # sorted: links are in (x, y) order
-    parent: dict[int, int] = {}
-    for r in sorted((r for r, h in enumerate(kinds) if h), key=lambda r: min(rings[r])):
-        x, y = min(rings[r])
-        ys, ks = above.get(x, ([], []))
-        at = bisect_left(ys, y) - 1
-        if at < 0:
-            raise ValueError(f"no shape below the hole at {(x, y)}")
-        below = owner[ks[at]]
-        parent[r] = parent[below] if kinds[below] else below
-    shown, order = {}, []
-    for r, ring in enumerate(rings):
-        keep = _turns(ring)
-        if options.preserve_output_collinear and corners is not None:
-            turning = set(keep)
-            keep = [p for p in ring if p in turning or p in corners]
-        if len(keep) < 3 or abs(_area(keep)) < options.min_output_area:
-            continue
-        if options.output_direction is ContourDirection.CLOCKWISE:
-            keep = keep[::-1]
-        shown[r] = _from_smallest(keep)
-        order.append(r)
-    outers = [r for r in order if not kinds[r]]
-    number = {r: k for k, r in enumerate(outers)}
-    holes = [r for r in order if kinds[r] and parent[r] in number]
-    return [shown[r] for r in outers], [shown[r] for r in holes], [number[parent[r]] for r in holes]
-
-
-def _traced(options: Options):
-    def run(pdf: pd.DataFrame):
-        links = [((ax, ay), (bx, by), top) for ax, ay, bx, by, top, inc in zip(*(pdf[c].tolist() for c in ("ax", "ay", "bx", "by", "top", "inc"))) if inc]
-        corners = None
-        if options.preserve_output_collinear:
-            corners = {p for o, ax, ay, bx, by in zip(*(pdf[c].tolist() for c in ("orient", "ax", "ay", "bx", "by"))) if o == "V" for p in ((ax, ay), (bx, by))}
-        return trace(links, options, corners)
-
-    return run
-
-
-def _marked(masked: DataFrame, rule: OverlayRule, options: Options) -> DataFrame:
-    out = masked.withColumn("inc", included(F.col("fill"), rule)).withColumn("top", top_inside(F.col("fill"), rule))
-    return out if options.preserve_output_collinear else out.where("inc")
+from ..model import ContourDirection, Options, OverlayRule
+from ..tables import saved
+from .graph import components, cycles, numbered, ordered_ids
 
+_POINTS = "array<struct<x:int,y:int>>"
 
-def shapes(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
-    """(group_id, shape_id, contours): contour 0 is the outer ring, the rest are its holes; each begun at its smallest point."""
-    traced = _traced(options)
 
-    def run(key, pdf):
-        outers, holes, owners = traced(pdf)
-        contours = [[ring] for ring in outers]
-        for ring, k in zip(holes, owners):
-            contours[k].append(ring)
-        points = [[[{"x": x, "y": y} for x, y in ring] for ring in s] for s in contours]
-        return pd.DataFrame({"group_id": [key[0]] * len(points), "shape_id": range(len(points)), "contours": points})
+def pieces(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
+    """(group_id, orient, pos, lo, hi, top, start): links of a rule; start is where the straight run of links begins that a link is part of.
 
-    return _marked(masked, rule, options).groupBy("group_id").applyInPandas(run, SHAPES)
+    A run goes on through points where only links of its own direction meet. With preserve_output_collinear it ends wherever a
+    vertical of the graph ends, be that in the result or not.
+    """
+    marked = masked.withColumn("inc", included(F.col("fill"), rule)).withColumn("top", top_inside(F.col("fill"), rule))
+    if not options.preserve_output_collinear:
+        marked = marked.where("inc")
+    point = lambda x, y, first: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(first).alias("first"))
+    ends = marked.select("*", F.explode(F.array(point("ax", "ay", True), point("bx", "by", False))).alias("end")).select(*marked.columns, "end.*")
+    node = Window.partitionBy("group_id", "x", "y")
+    meets = lambda o, only: F.max((F.col("orient") == o) & only).over(node)
+    corner = meets("H", F.col("inc")) & meets("V", F.col("inc"))
+    if options.preserve_output_collinear:
+        corner = corner | meets("V", F.lit(True))
+    level = F.col("orient") == "H"
+    along = ends.select("*", corner.alias("corner")).where("first and inc").select(
+        "group_id", "orient", F.when(level, F.col("ay")).otherwise(F.col("ax")).alias("pos"), F.when(level, F.col("ax")).otherwise(F.col("ay")).alias("lo"),
+        F.when(level, F.col("bx")).otherwise(F.col("by")).alias("hi"), "top", "corner",
+    )
+    line = Window.partitionBy("group_id", "orient", "pos").orderBy("lo")
+    goes_on = (F.lag("hi").over(line) == F.col("lo")) & (F.lag("top").over(line) == F.col("top")) & ~F.col("corner")
+    begun = along.withColumn("begin", F.when(F.coalesce(goes_on, F.lit(False)), F.lit(None)).otherwise(F.col("lo")))
+    return begun.withColumn("start", F.last("begin", ignorenulls=True).over(line)).drop("begin", "corner")
+
+
+def edges_of(piece_table: DataFrame) -> DataFrame:
+    """(id, group_id, orient, ax, ay, bx, by, top): runs of pieces, a before b; ids ascend with (group_id, a, b)."""
+    runs = piece_table.groupBy("group_id", "orient", "pos", "start").agg(F.max("hi").alias("hi"), F.first("top").alias("top"))
+    level = F.col("orient") == "H"
+    pick = lambda h, v, name: F.when(level, F.col(h)).otherwise(F.col(v)).alias(name)
+    ends = runs.select("group_id", "orient", pick("start", "pos", "ax"), pick("pos", "start", "ay"), pick("hi", "pos", "bx"), pick("pos", "hi", "by"), "top")
+    return ordered_ids(ends, ["group_id", "ax", "ay", "bx", "by"], "ring-edges")
+
+
+def heading() -> Column:
+    """0, 1, 2, 3: to the right, up, to the left, down. To the right the left side is above; upwards it is the smaller x, a vertical's top."""
+    return F.when(F.col("orient") == "H", F.when(F.col("top"), 0).otherwise(2)).otherwise(F.when(F.col("top"), 1).otherwise(3))
+
+
+def successors(edge_table: DataFrame) -> DataFrame:
+    """(id, left, right, other): the edge that follows each edge. `left` is the only one that leaves the node where id arrives or, where two corners
+    touch, the one on the left; there `right` is the one on the right, and `other` the second edge that arrives. Each of left
+    and right is a permutation of the ids."""
+    end = lambda leaves, x, y: F.struct(F.lit(leaves).alias("leaves"), F.col(x).alias("x"), F.col(y).alias("y"))
+    forward, backward = (F.array(end(first, "ax", "ay"), end(not first, "bx", "by")) for first in (True, False))
+    ends = edge_table.select("group_id", "id", heading().alias("heading"), F.explode(F.when(F.col("top"), forward).otherwise(backward)).alias("e")).select("group_id", "id", "heading", "e.*")
+    at = lambda leaves: F.collect_list(F.when(F.col("leaves") == leaves, F.struct("id", "heading")))
+    nodes = ends.groupBy("group_id", "x", "y").agg(at(False).alias("ins"), at(True).alias("outs"))  # two of each at most
+    ways = nodes.select("ins", "outs", F.explode("ins").alias("way"))
+    turned = lambda by: F.element_at(F.filter("outs", lambda o: o["heading"] == (F.col("way.heading") + by) % 4), 1)["id"]
+    touch = F.size("outs") > 1
+    return ways.select(
+        F.col("way.id").alias("id"), F.when(touch, turned(1)).otherwise(F.col("outs")[0]["id"]).alias("left"), F.when(touch, turned(3)).alias("right"),
+        F.when(touch, F.element_at(F.filter("ins", lambda i: i["id"] != F.col("way.id")), 1)["id"]).alias("other"),
+    )
+
+
+def ranked_rings(edge_table: DataFrame) -> DataFrame:
+    """(id, ring, ahead): every edge's ring, by the ring's least edge, and how many steps ahead that edge is."""
+    after = saved(successors(edge_table), "ring-successors")
+    left = saved(cycles(after.select("id", F.col("left").alias("next")), "ring-left"), "ring-cycles")
+    touching = after.where("right is not null")
+    if not touching.take(1):
+        return left
+    own = left.select("id", F.col("ring").alias("ra"))
+    met = touching.select("id", "other").join(own, "id").join(left.select(F.col("id").alias("other"), F.col("ring").alias("rb")), "other")
+    met = saved(met.select("id", "ra", "rb"), "ring-touches")
+    roots = components(met.where("ra <> rb").select(F.col("ra").alias("u"), F.col("rb").alias("v")), "ring-clusters")
+    kind = edge_table.select(F.col("id").alias("ra"), F.col("top").alias("hole"))
+    members = met.select("ra").distinct().join(roots, F.col("ra") == F.col("node"), "left").select("ra", F.coalesce("root", "ra").alias("root")).join(kind, "ra")
+    holed = members.groupBy("root").agg(F.max("hole").alias("hole")).where("hole").select("root")
+    changed = saved(members.join(holed, "root").select("ra"), "ring-changed")
+    if not changed.take(1):
+        return left
+    apart = left.join(changed.select(F.col("ra").alias("ring")), "ring", "left_semi").select("id").join(after, "id")
+    again = cycles(apart.select("id", F.coalesce("right", "left").alias("next")), "ring-right")
+    return left.join(changed.select(F.col("ra").alias("ring")), "ring", "left_anti").select("id", "ring", "ahead").unionByName(again)
+
+
+def owners(piece_table: DataFrame, edge_table: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(hole, owner): every hole's outer ring."""
+    heads = edge_table.join(ranks.where("ahead = 0").select("id"), "id").select("id", "group_id", "ax", "ay", "top")
+    anchors = heads.where("top").select("group_id", F.col("ax").alias("x"), F.col("ay").alias("y"), F.lit(0).alias("kind"), F.col("id").alias("hole"), F.lit(None).cast("int").alias("start"))
+    floors = piece_table.where("orient = 'H' and top").select("group_id", F.col("lo").alias("x"), F.col("pos").alias("y"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("hole"), "start")
+    # every link across the x of a hole's smallest point is cut there; one as high as the point comes after it
+    below = Window.partitionBy("group_id", "x").orderBy("y", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    floor = F.last(F.when(F.col("kind") == 1, F.struct("y", "start")), ignorenulls=True).over(below)
+    found = anchors.unionByName(floors).withColumn("floor", floor).where("kind = 0").select("group_id", "hole", "x", "y", "floor")
+    sure = F.when(F.col("floor").isNull(), F.raise_error(F.concat(F.lit("no shape below the hole at "), F.to_json(F.struct("x", "y"))))).otherwise(F.col("floor.y"))
+    found = found.select("group_id", "hole", sure.alias("ay"), F.col("floor.start").alias("ax"))
+    edge = edge_table.where("orient = 'H'").select("group_id", "ax", "ay", "id")
+    ups = found.join(edge, ["group_id", "ax", "ay"]).select("hole", "id").join(ranks.select("id", "ring"), "id")
+    ups = ups.join(heads.select(F.col("id").alias("ring"), F.col("top").alias("open")), "ring").select("hole", F.col("ring").alias("owner"), "open")
+    ups, turn = saved(ups, "ring-owners"), 0
+    while ups.where("open").take(1):
+        over = ups.select(F.col("hole").alias("owner"), F.col("owner").alias("next"), F.col("open").alias("still"))
+        far = ups.where("open").join(over, "owner").select("hole", F.col("next").alias("owner"), F.col("still").alias("open"))
+        ups, turn = saved(ups.where("not open").unionByName(far), f"ring-owners-{turn}"), turn + 1
+    return ups.select("hole", "owner")
+
+
+def _rings(edge_table: DataFrame, ranks: DataFrame, options: Options) -> DataFrame:
+    """(id, group_id, hole, points) of the rings that are shown, each begun at its smallest point; id is that of its least edge."""
+    x, y = F.when(F.col("top"), F.col("ax")).otherwise(F.col("bx")), F.when(F.col("top"), F.col("ay")).otherwise(F.col("by"))
+    steps = edge_table.join(ranks, "id").select("ring", "group_id", F.struct(F.when(F.col("ahead") > 0, -F.col("ahead")).otherwise(F.lit(-(1 << 62))).alias("k"), x.alias("x"), y.alias("y")).alias("p"), F.when(F.col("ahead") == 0, F.col("top")).alias("hole"))
+    whole = steps.groupBy("ring", "group_id").agg(F.max("hole").alias("hole"), F.sort_array(F.collect_list("p")).alias("p"))
+    points = F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).cast(_POINTS)
+    if ContourDirection(options.output_direction) is ContourDirection.CLOCKWISE:
+        points = F.reverse(points)
+    out = whole.select(F.col("ring").alias("id"), "group_id", "hole", F.explode(F.array(points)).alias("points"))
+    out = out.select("id", "group_id", "hole", rotated_to_smallest(F.col("points")).alias("points"))
+    if options.min_output_area:
+        out = out.where(F.abs(ring_area2(F.col("points"))) >= 2 * options.min_output_area)
+    return out
+
+
+def _traced(masked: DataFrame, rule: OverlayRule, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    piece_table = saved(pieces(masked, rule, options), "ring-pieces")
+    edge_table = edges_of(piece_table)
+    ranks = saved(ranked_rings(edge_table), "ring-ranks")
+    return piece_table, edge_table, ranks, saved(_rings(edge_table, ranks, options), "rings")
+
+
+def _bound(traced: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """(id, group_id, hole, points, owner): rings with the outer ring of their shape; without the holes of outer rings that aren't shown."""
+    piece_table, edge_table, ranks, shown = traced
+    outer = shown.where("not hole").withColumn("owner", F.col("id"))
+    parents = owners(piece_table, edge_table, ranks).select(F.col("hole").alias("id"), "owner")
+    inner = shown.where("hole").join(parents, "id").join(outer.select(F.col("id").alias("owner")), "owner", "left_semi")
+    return outer.unionByName(inner.select(*outer.columns))
 
 
-def flat_contours(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
-    """(group_id, contour_id, is_hole, points): rings alone, without giving holes to shapes."""
-    traced = _traced(options)
+def shapes(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
+    """(group_id, shape_id, contours): contour 0 is the outer ring, the rest are its holes; each begun at its smallest point. Shapes
+    count from 0 within a group, in ascending order of the least edge of their outer ring, as the holes of a shape."""
+    bound = _bound(_traced(masked, rule, options))
+    order = numbered(bound.where("not hole").select("id", "group_id"), "group_id", "shape_id")
+    contour = F.sort_array(F.collect_list(F.struct("hole", "id", "points")))
+    whole = bound.groupBy("owner").agg(contour.alias("c")).select(F.col("owner").alias("id"), F.transform("c", lambda c: c["points"]).alias("contours"))
+    return order.join(whole, "id").select("group_id", F.col("shape_id").cast("int").alias("shape_id"), "contours")
 
-    def run(key, pdf):
-        outers, holes, _ = traced(pdf)
-        rings = [(False, r) for r in outers] + [(True, r) for r in holes]
-        points = [[{"x": x, "y": y} for x, y in r] for _, r in rings]
-        return pd.DataFrame({"group_id": [key[0]] * len(rings), "contour_id": range(len(rings)), "is_hole": [h for h, _ in rings], "points": points})
 
-    return _marked(masked, rule, options).groupBy("group_id").applyInPandas(run, "group_id long, contour_id int, is_hole boolean, points array<struct<x:int,y:int>>")
+def flat_contours(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
+    """(group_id, contour_id, is_hole, points): rings alone. Outer rings count from 0 within a group, in ascending order of their least edge;
+    holes follow them."""
+    traced = _traced(masked, rule, options)
+    shown = _bound(traced) if options.min_output_area else traced[3]  # the holes of dropped outer rings go with them
+    each = [numbered(shown.where(F.col("hole") == h).select("id", "group_id", "points"), "group_id", "k").withColumn("is_hole", F.lit(h)) for h in (False, True)]
+    outers = shown.where("not hole").groupBy("group_id").agg(F.count(F.lit(1)).alias("outers"))
+    holes = each[1].join(outers, "group_id").withColumn("k", F.col("k") + F.col("outers")).drop("outers")
+    return each[0].unionByName(holes.select(*each[0].columns)).select("group_id", F.col("k").cast("int").alias("contour_id"), "is_hole", "points")

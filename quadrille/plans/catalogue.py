@@ -1,6 +1,7 @@
 """Named queries over the lineitem-derived rectangles and the generated workloads, and their SQL oracles.
 
-The oracles count unit cells, so they share nothing with the strip sweep but the input rectangles.
+The oracles count unit cells, and label connected runs of them, so they share nothing with the strip sweep and the tracing of rings but
+the input rectangles.
 """
 
 from __future__ import annotations
@@ -8,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import drop_collinear, ring_area2
+from ..functions.geometry import cross, drop_collinear, following, preceding, ring_area2
 from ..model import ContourDirection, FillRule, Options, OverlayRule
-from ..operators import boundary, edges, split
+from ..operators import boundary, edges, rings, split
 from ..operators.overlay import Overlay
 from ..sources.contours import lineitem_contours
 from ..sources.generators import GENERATORS
@@ -133,6 +134,33 @@ def hole_binding(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_shapes"), F.sum(F.size("contours") - 1).alias("n_holes"))
 
 
+def shape_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every shape: its number, the point it begins at, its holes, its net area."""
+    s = _overlay(spark, d).shapes(OverlayRule.SUBJECT)
+    net = F.aggregate(F.transform("contours", lambda r: ring_area2(r)), F.lit(0).cast("long"), lambda a, b: a + b)
+    first = F.col("contours")[0][0]
+    return s.select("group_id", F.col("shape_id").cast("long").alias("shape_id"), first["x"].alias("x"), first["y"].alias("y"), (F.size("contours") - 1).cast("long").alias("n_holes"), (net / 2).cast("long").alias("area"))
+
+
+def ring_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """Every point of every ring, and how often a ring turns left or right there."""
+    c = _overlay(spark, d).flat_contours(OverlayRule.SUBJECT)
+    around = F.arrays_zip(preceding(F.col("points")).alias("a"), F.col("points").alias("b"), following(F.col("points")).alias("c"))
+    at = c.select("group_id", "is_hole", F.explode(around).alias("p")).select("group_id", "is_hole", F.col("p.b.x").alias("x"), F.col("p.b.y").alias("y"), cross(F.col("p.a"), F.col("p.b"), F.col("p.c")).alias("k"))
+    return at.groupBy("group_id", "is_hole", "x", "y").agg(F.count(F.when(F.col("k") < 0, 1)).alias("n_left"), F.count(F.when(F.col("k") > 0, 1)).alias("n_right"))
+
+
+def ring_successors(spark: SparkSession, d: str) -> DataFrame:
+    """The successor map: at every corner each edge that arrives, the one that follows it on the left and, where two corners touch, on the right."""
+    links = _overlay(spark, d).masked_segments(FillRule.NON_ZERO)
+    e = rings.edges_of(rings.pieces(links, OverlayRule.XOR))
+    head = lambda x: F.when(F.col("top"), F.col(f"b{x}")).otherwise(F.col(f"a{x}")).alias(x)
+    known = e.select("group_id", "id", head("x"), head("y"), rings.heading().alias("heading"))
+    way = lambda name: known.select(F.col("id").alias(name), F.col("heading").alias(f"{name}_heading"))
+    s = rings.successors(e).join(known, "id").join(way("left"), "left").join(way("right"), "right", "left")
+    return s.select("group_id", "x", "y", F.col("heading").alias("arrives"), F.col("left_heading").alias("leaves"), F.col("right_heading").alias("leaves_right"))
+
+
 def flat_contours(spark: SparkSession, d: str) -> DataFrame:
     c = _overlay(spark, d).flat_contours(OverlayRule.INTERSECT)
     return c.groupBy("group_id").agg((F.sum(ring_area2(F.col("points"))) / 2).cast("long").alias("area"))
@@ -169,10 +197,74 @@ QUERIES: dict = {
     f.__name__: f
     for f in (
         ring_edges, drop_collinear_points, signed_segments, orientation_counts, merge_segments, bbox, bucket_histogram, hv_intersections, split_segments, winding_slabs,
-        area_matrix, boundary_links, perimeter, node_degree, shape_rings, hole_binding, flat_contours, min_area, cw_output, quarantined,
+        area_matrix, boundary_links, perimeter, node_degree, ring_successors, shape_rings, shape_table, ring_vertices, hole_binding, flat_contours, min_area, cw_output, quarantined,
         windows_shapes, windows_min_area,
     )
 }
+#: runs of cells of a column, filled (f) or not; `joint` are neighbours of one kind that share a side or, side being false, a corner (x, y) alone.
+#: Filled runs hang together by their sides, empty ones by corners as well; `lab` is each run's component.
+_RUNS = """,
+filled AS (SELECT g, x, y FROM cells WHERE {where}),
+box AS (SELECT g, min(x) - 1 AS xa, max(x) + 1 AS xb, min(y) - 1 AS ya, max(y) + 2 AS yb FROM filled GROUP BY g),
+frun AS (SELECT g, x, min(y) AS y0, max(y) + 1 AS y1 FROM (SELECT g, x, y, y - row_number() OVER (PARTITION BY g, x ORDER BY y) AS k FROM filled) GROUP BY g, x, k),
+stops AS (SELECT g, x, y0 AS e, y1 AS s FROM frun UNION ALL SELECT g, x, yb, NULL FROM (SELECT g, yb, unnest(range(xa, xb + 1)) AS x FROM box)),
+gaps AS (SELECT c.g, x, coalesce(lag(s) OVER (PARTITION BY c.g, x ORDER BY e), ya) AS y0, e AS y1 FROM stops c JOIN box ON box.g = c.g),
+run AS MATERIALIZED (SELECT row_number() OVER (ORDER BY g, x, y0) AS id, * FROM (SELECT g, x, y0, y1, TRUE AS f FROM frun UNION ALL SELECT g, x, y0, y1, FALSE FROM gaps WHERE y0 < y1)),
+joint AS MATERIALIZED (
+  SELECT a.id AS u, b.id AS v, a.f, a.y0 < b.y1 AND b.y0 < a.y1 AS side, a.g, b.x, CASE WHEN a.y1 = b.y0 THEN a.y1 ELSE a.y0 END AS y
+  FROM run a JOIN run b ON b.g = a.g AND b.x = a.x + 1 AND b.f = a.f AND a.y0 <= b.y1 AND b.y0 <= a.y1)"""
+#: labels `name` over the pairs `near` by hooking and shortcuts
+_LABELS = """,
+{name}_both AS MATERIALIZED (SELECT u, v FROM {near} UNION ALL SELECT v, u FROM {near}),
+{name}(id, c) USING KEY (id) AS (
+  SELECT id, id FROM run UNION
+  SELECT id, min(n.c) FROM (
+    SELECT e.v AS id, l.c FROM {name} l JOIN {name}_both e ON e.u = l.id JOIN recurring.{name} o ON o.id = e.v WHERE l.c < o.c
+    UNION ALL SELECT o.c, l.c FROM {name} l JOIN {name}_both e ON e.u = l.id JOIN recurring.{name} o ON o.id = e.v WHERE l.c < o.c
+    UNION ALL SELECT p.id, l.c FROM {name} l JOIN recurring.{name} p ON p.c = l.id WHERE l.c < p.c) n JOIN recurring.{name} q USING (id) GROUP BY id HAVING min(n.c) < min(q.c))"""
+#: touch: corners (x, y) that two filled components a, b (maybe one) share across the empty component k. wall: the component w that
+#: encloses k. reach: the wall and the islands that hang on it by corners; those are part of the wall's shape. top: a component's shape.
+_SHAPES = _RUNS + _LABELS.format(name="lab", near="(SELECT u, v FROM joint WHERE side OR NOT f)") + """,
+part AS MATERIALIZED (SELECT r.*, l.c FROM run r JOIN lab l USING (id)),
+touch AS MATERIALIZED (
+  SELECT i.g, i.x, i.y, a.c AS a, b.c AS b, k.c AS k FROM joint i JOIN lab a ON a.id = i.u JOIN lab b ON b.id = i.v JOIN joint j ON j.g = i.g AND j.x = i.x AND j.y = i.y AND NOT j.side AND NOT j.f JOIN lab k ON k.id = j.u
+  WHERE i.f AND NOT i.side),
+hollow AS (SELECT c AS k, g, min(struct_pack(x := x, y := y0)) AS m FROM part WHERE NOT f GROUP BY c, g),
+wall AS (SELECT h.k, p.c AS w, h.g FROM hollow h JOIN part p ON p.f AND p.g = h.g AND p.x = h.m.x - 1 AND p.y0 <= h.m.y AND h.m.y < p.y1),
+steps AS (SELECT k, a, b FROM touch UNION SELECT k, b, a FROM touch),
+reach AS (SELECT k, w AS c FROM wall UNION SELECT s.k, s.b FROM reach r JOIN steps s ON s.k = r.k AND s.a = r.c),
+absorbed AS (SELECT r.c, w.w FROM reach r JOIN wall w ON w.k = r.k WHERE r.c <> w.w),
+top AS (SELECT DISTINCT c, c AS root FROM part WHERE f AND c NOT IN (SELECT c FROM absorbed) UNION SELECT a.c, t.root FROM absorbed a JOIN top t ON t.c = a.w),
+outline AS (SELECT t.root, p.g, CAST(sum(p.y1 - p.y0) AS BIGINT) AS area FROM part p JOIN top t ON t.c = p.c WHERE p.f GROUP BY ALL),
+start AS (SELECT c AS root, min(struct_pack(x := x, y := y0)) AS m FROM part WHERE f GROUP BY c),
+spots AS (SELECT t.k, count(*) AS n FROM touch t JOIN reach r ON r.k = t.k AND r.c = t.a GROUP BY t.k),
+islands AS (SELECT k, count(*) - 1 AS n FROM reach GROUP BY k),
+holes AS (SELECT t.root, CAST(sum(1 + coalesce(s.n, 0) - i.n) AS BIGINT) AS n FROM wall w JOIN top t ON t.c = w.w JOIN islands i ON i.k = w.k LEFT JOIN spots s ON s.k = w.k GROUP BY t.root),
+shape AS (SELECT o.g, row_number() OVER (PARTITION BY o.g ORDER BY s.m) - 1 AS shape_id, o.root, s.m.x AS x, s.m.y AS y, coalesce(h.n, 0) AS n_holes, o.area
+  FROM outline o JOIN start s ON s.root = o.root LEFT JOIN holes h ON h.root = o.root)"""
+#: hollow2: the empty components that rings enclose, which come apart at the corners of a shape with itself
+_HOLES = _SHAPES + """,
+apart AS (SELECT t.g, t.x, t.y FROM touch t JOIN reach r ON r.k = t.k AND r.c = t.a)""" + _LABELS.format(
+    name="own", near="(SELECT u, v FROM joint WHERE NOT f AND (side OR (g, x, y) NOT IN (SELECT g, x, y FROM apart)))"
+) + """,
+room AS MATERIALIZED (SELECT p.g, p.x, p.y0, p.y1, p.c AS k, o.c AS room, w.w FROM part p JOIN own o USING (id) JOIN wall w ON w.k = p.c WHERE NOT p.f),
+sides AS (
+  SELECT m.room, m.w, CASE WHEN p.x < m.x THEN -m.x ELSE p.x END * (least(m.y1, p.y1) - greatest(m.y0, p.y0)) AS s
+  FROM room m JOIN part p ON p.f AND p.g = m.g AND (p.x = m.x - 1 OR p.x = m.x + 1) AND p.y0 < m.y1 AND m.y0 < p.y1 JOIN reach r ON r.k = m.k AND r.c = p.c),
+hole AS (SELECT room, t.root, CAST(sum(s) AS BIGINT) AS area FROM sides JOIN top t ON t.c = sides.w GROUP BY ALL)"""
+
+
+def _traced_sql(tables: str, rule: OverlayRule) -> str:
+    return "WITH RECURSIVE " + CELLS + tables.format(where=_inside_sql(rule, FillRule.NON_ZERO))
+
+
+_CORNERS = """,
+i AS (SELECT g, x, y FROM cells WHERE {where}),
+p AS (SELECT g, x, y FROM i UNION SELECT g, x + 1, y FROM i UNION SELECT g, x, y + 1 FROM i UNION SELECT g, x + 1, y + 1 FROM i),
+q AS (SELECT p.*, a.g IS NOT NULL AS ne, b.g IS NOT NULL AS nw, c.g IS NOT NULL AS se, d.g IS NOT NULL AS sw FROM p
+  LEFT JOIN i a ON a.g = p.g AND a.x = p.x AND a.y = p.y LEFT JOIN i b ON b.g = p.g AND b.x = p.x - 1 AND b.y = p.y
+  LEFT JOIN i c ON c.g = p.g AND c.x = p.x AND c.y = p.y - 1 LEFT JOIN i d ON d.g = p.g AND d.x = p.x - 1 AND d.y = p.y - 1),
+corner AS (SELECT *, ne::INT + nw::INT + se::INT + sw::INT AS n FROM q WHERE (ne::INT + nw::INT + se::INT + sw::INT) % 2 = 1 OR (ne = sw AND ne <> nw))"""
 AREA_SQL = "WITH " + CELLS + " SELECT g AS group_id, CAST(count(*) AS BIGINT) AS area FROM cells WHERE {where} GROUP BY g"
 _EDGE = """,
 known AS (SELECT g, x, y, {s} AS s, {c} AS c FROM cells),
@@ -216,6 +308,25 @@ q AS (SELECT p.g, (a.g IS NOT NULL)::INT AS ne, (b.g IS NOT NULL)::INT AS nw, (c
   LEFT JOIN i c ON c.g = p.g AND c.x = p.x AND c.y = p.y - 1 LEFT JOIN i d ON d.g = p.g AND d.x = p.x - 1 AND d.y = p.y - 1),
 n AS (SELECT g, (ne <> nw)::INT AS n, (se <> sw)::INT AS s, (ne <> se)::INT AS e, (nw <> sw)::INT AS w FROM q)
 SELECT g AS group_id, CAST(n + s + e + w AS BIGINT) AS degree, count(*) AS n_nodes FROM n WHERE n + s > 0 AND e + w > 0 GROUP BY ALL""",
+    "ring_successors": "WITH " + CELLS + _CORNERS.format(where=_inside_sql(OverlayRule.XOR, FillRule.NON_ZERO)) + """,
+ways AS (
+  SELECT g, x, y, n, CASE WHEN ne AND NOT se THEN 0 ELSE 2 END AS h, ne AND NOT se AS leaves FROM corner WHERE ne <> se UNION ALL SELECT g, x, y, n, CASE WHEN nw AND NOT ne THEN 1 ELSE 3 END, nw AND NOT ne FROM corner WHERE ne <> nw
+  UNION ALL SELECT g, x, y, n, CASE WHEN nw THEN 0 ELSE 2 END, sw FROM corner WHERE nw <> sw UNION ALL SELECT g, x, y, n, CASE WHEN sw THEN 1 ELSE 3 END, se FROM corner WHERE sw <> se)
+SELECT a.g AS group_id, a.x, a.y, CAST(a.h AS INT) AS arrives, CAST(b.h AS INT) AS leaves, CASE WHEN a.n = 2 THEN CAST((a.h + 3) % 4 AS INT) END AS leaves_right
+FROM ways a JOIN ways b ON b.g = a.g AND b.x = a.x AND b.y = a.y AND NOT a.leaves AND b.leaves WHERE a.n <> 2 OR b.h = (a.h + 1) % 4""",
+    "shape_table": _traced_sql(_SHAPES, OverlayRule.SUBJECT) + " SELECT g AS group_id, shape_id, x, y, n_holes, area FROM shape",
+    "hole_binding": _traced_sql(_SHAPES, OverlayRule.SUBJECT) + " SELECT g AS group_id, count(*) AS n_shapes, CAST(sum(n_holes) AS BIGINT) AS n_holes FROM shape GROUP BY g",
+    "ring_vertices": _traced_sql(_SHAPES + _CORNERS, OverlayRule.SUBJECT) + """,
+sized AS (SELECT c.*, CASE WHEN n < 3 THEN CASE WHEN ne THEN 0 WHEN nw THEN 1 WHEN sw THEN 2 ELSE 3 END ELSE CASE WHEN NOT ne THEN 2 WHEN NOT nw THEN 3 WHEN NOT sw THEN 0 ELSE 1 END END AS full_,
+  CASE WHEN NOT ne THEN 0 WHEN NOT nw THEN 1 WHEN NOT sw THEN 2 ELSE 3 END AS void_ FROM corner c),
+cell AS (SELECT *, x - (full_ IN (1, 2))::INT AS fx, y - (full_ IN (2, 3))::INT AS fy, x - (void_ IN (1, 2))::INT AS vx, y - (void_ IN (2, 3))::INT AS vy FROM sized),
+placed AS (SELECT s.g, s.x, s.y, s.n, a.c, b.c AS k FROM cell s
+  JOIN part a ON a.f AND a.g = s.g AND a.x = s.fx AND a.y0 <= s.fy AND s.fy < a.y1 JOIN part b ON NOT b.f AND b.g = s.g AND b.x = s.vx AND b.y0 <= s.vy AND s.vy < b.y1),
+known AS (SELECT p.*, r.k IS NOT NULL AS is_hole FROM placed p LEFT JOIN reach r ON r.k = p.k AND r.c = p.c)
+SELECT g AS group_id, is_hole, x, y, CAST(CASE WHEN n = 1 THEN 1 WHEN n = 2 AND NOT is_hole THEN 2 ELSE 0 END AS BIGINT) AS n_left, CAST(CASE WHEN n = 3 THEN 1 WHEN n = 2 AND is_hole THEN 2 ELSE 0 END AS BIGINT) AS n_right FROM known""",
+    "min_area": _traced_sql(_HOLES, OverlayRule.XOR) + """,
+whole AS (SELECT s.g, s.root, s.area + coalesce(h.area, 0) AS area, coalesce(h.n, 0) AS n FROM shape s LEFT JOIN (SELECT root, sum(area) AS area, count(*) FILTER (WHERE area >= 40) AS n FROM hole GROUP BY root) h ON h.root = s.root)
+SELECT g AS group_id, count(*) AS n_shapes, CAST(sum(1 + n) AS BIGINT) AS n_rings FROM whole WHERE area >= 40 GROUP BY g""",
     "shape_rings": AREA_SQL.format(where=_inside_sql(OverlayRule.UNION, FillRule.NON_ZERO)),
     "flat_contours": AREA_SQL.format(where=_inside_sql(OverlayRule.INTERSECT, FillRule.NON_ZERO)),
     "cw_output": "WITH " + CELLS + f" SELECT g AS group_id, CAST(-count(*) AS BIGINT) AS area FROM cells WHERE {_inside_sql(OverlayRule.INTERSECT, FillRule.NON_ZERO)} GROUP BY g",

@@ -34,6 +34,7 @@ def subject(spark, rects, group=0):
 
 
 def rings_of(rows):
+    rows = sorted(rows, key=lambda r: r["shape_id"])
     return {r["group_id"]: [[[(p["x"], p["y"]) for p in ring] for ring in s["contours"]] for s in rows if s["group_id"] == r["group_id"]] for r in rows}
 
 
