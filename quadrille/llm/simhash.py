@@ -30,7 +30,7 @@ from .common import bitmap_of, may_hold, saved
 from .graph import components
 
 WORDS, SEED, BITS = 3, 42, 2
-LEAF, STEP = 8192, 4
+LEAF, STEP = 8192, 2
 WALK = 1 << 18
 HOT, SALT = 4096, 64
 NO_ID = (1 << 63) - 1
@@ -189,10 +189,8 @@ def _joined(bits: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first, second = pdf["a"].iat[0], pdf["b"].iat[0]
-        side = pdf["side"].to_numpy()
-        v = pdf["print"].to_numpy().astype(np.int64).view(np.uint64)
-        a = np.sort(v[side == 0])
-        b = a if first == second else np.sort(v[side == 1])
+        held = {s: np.sort(np.asarray(v, np.int64).view(np.uint64)) for s, v in zip(pdf["side"], pdf["prints"])}
+        a, b = held[0], held[0 if first == second else 1]
         depth = min(int(first).bit_length(), int(second).bit_length()) - 1
         parent = np.arange(len(a) + (0 if first == second else len(b)))
         shift = 0 if first == second else len(a)
@@ -224,8 +222,9 @@ def links(prints: DataFrame, bits: int = BITS, leaf: int = LEAF, step: int = STE
     leaves, children = trie(prints, leaf, step)
     pairs = leaf_pairs(children, bits)
     sides = F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("leaf"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("leaf"), F.lit(0).alias("side")), F.struct(F.col("b").alias("leaf"), F.lit(1).alias("side")))))
-    members = pairs.select("a", "b", sides.alias("s")).select("a", "b", "s.leaf", "s.side").join(leaves, "leaf")
-    return members.select("a", "b", "side", "print").groupBy("a", "b").applyInPandas(_joined(bits), "u long, v long")
+    whole = leaves.groupBy("leaf").agg(F.collect_list("print").alias("prints"))  # one row a leaf, of `leaf` fingerprints at most
+    members = pairs.select("a", "b", sides.alias("s")).select("a", "b", "s.leaf", "s.side").join(whole, "leaf")
+    return members.select("a", "b", "side", "prints").groupBy("a", "b").applyInPandas(_joined(bits), "u long, v long")
 
 
 def near_groups(docs: DataFrame, bits: int = BITS, words: int = WORDS, **how) -> DataFrame:
