@@ -1,33 +1,12 @@
-"""Word shingles of whole texts as 64-bit hashes, computed on byte arrays for a batch of documents at once."""
+"""Word shingles of whole texts as 64-bit hashes."""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 SHINGLE_WORDS = 5
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP = _powers(1 << 16, _BASE)
-_DOWN = _powers(1 << 16, _INVERSE)
-
-
-def _grown(n: int) -> None:
-    global _UP, _DOWN
-    if n > len(_UP):
-        _UP, _DOWN = _powers(2 * n, _BASE), _powers(2 * n, _INVERSE)
+_LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -38,27 +17,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles: of `words` words each, of all words where there are fewer, none without a word.
+def shingle_hashes(text: bytes, words: int, seed: int = 0) -> np.ndarray:
+    """XXH64 of a text's shingles in order, repeats included: of `words` words each, of all words where there are fewer, none without a word.
 
-    A shingle's hash is that of its words, lower-cased in A-Z, joined by single spaces: a polynomial over all its bytes, mixed.
+    A shingle is its words, lower-cased in A-Z, joined by single spaces; bytes.split() parts words at 0x20 and 0x09-0x0D.
     """
-    raw = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-    blank = _BLANK[raw]
-    keep = np.flatnonzero(~(blank & np.concatenate(([True], blank[:-1])))) if len(raw) else np.zeros(0, np.int64)
-    if not len(keep):
-        return np.zeros(0, np.uint64)
-    raw, blank = raw[keep].astype(np.uint64), blank[keep]
-    raw[blank] = 32
-    if blank[-1]:
-        raw, blank = raw[:-1], blank[:-1]
-    n = len(raw)
-    if not n:
+    w = text.translate(_LOWER).split()
+    if not w:
         return np.zeros(0, np.uint64)
-    _grown(n + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * _UP[:n])))
-    gaps = np.flatnonzero(blank)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [n]))
-    k = min(words, len(starts))
-    s, e = starts[: len(starts) - k + 1], ends[k - 1 :]
-    return np.unique(mix64((sums[e] - sums[s]) * _DOWN[s]))
+    joined, k = b" ".join(w), min(words, len(w))
+    ends = np.cumsum([len(x) + 1 for x in w]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(w) - k + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts))
+
+
+def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), words))

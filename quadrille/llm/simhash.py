@@ -22,34 +22,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, may_hold, saved
 from .graph import components
+from .shingles import shingle_hashes
 
 WORDS, SEED, BITS = 3, 42, 2
 LEAF, STEP = 8192, 2
 WALK = 1 << 18
 HOT, SALT = 4096, 64
 NO_ID = (1 << 63) - 1
-_LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 _TOP = np.uint64(63)
 
 
-def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
-    """XXH64 of every shingle in order, repeats included; bytes.split() parts words at 0x20 and 0x09-0x0D."""
-    w = text.translate(_LOWER).split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    joined, k = b" ".join(w), min(words, len(w))
-    ends = np.cumsum([len(x) + 1 for x in w]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(w) - k + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64)
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     """As an unsigned number; zero for no hashes."""
     ones = np.zeros(64, np.int64)
@@ -62,7 +49,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 def _printed(words: int):
     def run(batches):
         for b in batches:
-            prints = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column(1)], np.uint64)
+            prints = np.array([fingerprint(shingle_hashes(t.as_py(), words, SEED)) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["id", "print"])
 
     return run
