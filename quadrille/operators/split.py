@@ -1,4 +1,4 @@
-"""Intersections of horizontal with vertical segments, by cells of the plane, and the segments cut at them."""
+"""Intersections of horizontal with vertical segments, by a hierarchy of grids, and the segments cut at them."""
 
 from __future__ import annotations
 
@@ -22,30 +22,36 @@ def bucketed(segs: DataFrame, power: int) -> DataFrame:
     return segs.withColumn("bucket", F.explode(F.sequence(first, last)))
 
 
-def _cell_powers(segs: DataFrame, power: int) -> DataFrame:
-    """(group_id, px, py): log2 of a cell's width and height, at least `power` and no less than a group's mean horizontal and vertical."""
-    mean = lambda o: F.coalesce(F.avg(F.when(F.col("orient") == o, F.col("hi").cast("long") - F.col("lo"))), F.lit(1.0))
-    fit = lambda c: F.greatest(F.lit(power), ceil_log2(F.ceil(c)))
-    return segs.groupBy("group_id").agg(mean("H").alias("h"), mean("V").alias("v")).select("group_id", fit(F.col("h")).alias("px"), fit(F.col("v")).alias("py"))
+def levels(segs: DataFrame, power: int) -> DataFrame:
+    """(group_id, h_levels, v_levels): the levels at which a group has horizontals and verticals; at most 33 of each."""
+    at = segs.select("group_id", "orient", level(F.col("hi").cast("long") - F.col("lo"), power).alias("level"))
+    of = lambda o: F.collect_set(F.when(F.col("orient") == o, F.col("level")))
+    return at.groupBy("group_id").agg(of("H").alias("h_levels"), of("V").alias("v_levels"))
+
+
+def level(length: Column, power: int) -> Column:
+    """A segment's level: log2 of a cell that is no shorter than the segment, `power` at least. It reaches two such cells at most."""
+    return F.greatest(F.lit(power), ceil_log2(length))
 
 
 def intersections(segs: DataFrame, power: int = 3) -> DataFrame:
     """(group_id, x, y, v_lo, v_hi, h_lo, h_hi): meeting pairs, ends included.
 
-    The plane is cut into cells that follow the segments' lengths; a vertical is listed per cell it reaches upwards, a horizontal
-    per cell it reaches sideways, and a pair meets in the one cell that holds (x, y). Equal keys (group_id, cell) carry the join, so only
-    segments close to each other are ever compared.
+    A hierarchy of grids: a segment lives at the level of its own length. A horizontal of level i and a vertical of level j meet in the grid
+    of cells 2**i wide and 2**j high, which each of them crosses in at most two cells; there the other's place is the one ancestor
+    cell that holds it. So each segment is listed at most twice for every level that the others use in its group, whatever its length, and
+    only segments that are both long for the cell they share are ever compared. Equal keys (group_id, levels, cell) carry the join.
     """
-    at = segs.join(_cell_powers(segs, power), "group_id")
+    length = F.col("hi").cast("long") - F.col("lo")
+    at = segs.join(levels(segs, power), "group_id").withColumn("level", level(length, power))
     cell = lambda c, p: F.call_function("shiftright", F.col(c).cast("long"), F.col(p))
-    v = at.where("orient = 'V'").select(
-        "group_id", F.col("pos").alias("x"), F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"), cell("pos", "px").alias("cx"), F.explode(F.sequence(cell("lo", "py"), cell("hi", "py"))).alias("cy")
-    )
-    h = at.where("orient = 'H'").select(
-        "group_id", F.col("pos").alias("y"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"), cell("pos", "py").alias("cy"), F.explode(F.sequence(cell("lo", "px"), cell("hi", "px"))).alias("cx")
-    )
+    reach = F.explode(F.sequence(cell("lo", "level"), cell("hi", "level")))
+    v = at.where("orient = 'V'").select("group_id", F.col("pos").alias("x"), F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"), F.col("level").alias("high"), "h_levels", reach.alias("cy"))
+    v = v.select("*", F.explode("h_levels").alias("wide")).select("group_id", "x", "v_lo", "v_hi", "wide", "high", cell("x", "wide").alias("cx"), "cy")
+    h = at.where("orient = 'H'").select("group_id", F.col("pos").alias("y"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"), F.col("level").alias("wide"), "v_levels", reach.alias("cx"))
+    h = h.select("*", F.explode("v_levels").alias("high")).select("group_id", "y", "h_lo", "h_hi", "wide", "high", "cx", cell("y", "high").alias("cy"))
     meet = F.col("y").between(F.col("v_lo"), F.col("v_hi")) & F.col("x").between(F.col("h_lo"), F.col("h_hi"))
-    return v.join(h, ["group_id", "cx", "cy"]).where(meet).drop("cx", "cy")
+    return v.join(h, ["group_id", "wide", "high", "cx", "cy"]).where(meet).drop("wide", "high", "cx", "cy")
 
 
 def split(segs: DataFrame, power: int = 3) -> DataFrame:

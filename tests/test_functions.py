@@ -1,6 +1,7 @@
 """Masks, geometry functions, splitting, sources and the entry module."""
 
 import os
+import random
 import subprocess
 import sys
 
@@ -47,6 +48,25 @@ def test_split_does_not_depend_on_bucket_width(spark):
     assert split.intersections(segs, 3).count() == split.intersections(segs, 12).count()
 
 
+def test_intersections_of_all_lengths(spark):
+    """Against all pairs, with lengths from 1 to nearly 2**32; short segments are listed once or twice for each level, however long others are."""
+    r = random.Random(6)
+    segs = []
+    for g in range(3):
+        for _ in range(150):
+            lo = r.randrange(-60, 60) if r.random() < 0.8 else r.randrange(-(2**31), 0)
+            length = r.choice([1, 2, 3, 8, 9, 31, 100, 2**20, 2**31])
+            segs.append((g, r.choice("HV"), r.randrange(-60, 60), lo, min(2**31 - 1, lo + length), 1, 0))
+    segs = sorted(set(segs))
+    table = spark.createDataFrame(segs, "group_id long, orient string, pos int, lo int, hi int, subj long, clip long")
+    want = sorted((v[0], v[2], h[2], v[3], v[4], h[3], h[4]) for v in segs if v[1] == "V" for h in segs if h[1] == "H" and h[0] == v[0] and v[3] <= h[2] <= v[4] and h[3] <= v[2] <= h[4])
+    for power in (0, 3, 12):
+        got = split.intersections(table, power).select("group_id", "x", "y", "v_lo", "v_hi", "h_lo", "h_hi").collect()
+        assert sorted(map(tuple, got)) == want
+    known = {r["group_id"]: r for r in split.levels(table, 3).collect()}
+    assert all(len(known[g][k]) <= 9 for g in range(3) for k in ("h_levels", "v_levels"))
+
+
 def test_sources_round_trip(spark, tmp_path):
     table = from_rects(spark, [(0, "subject", 0, 0, 2, 2, False), (1, "clip", 0, 0, 3, 3, True)])
     for kind in ("parquet", "json", "orc"):
