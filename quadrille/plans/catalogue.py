@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cross, drop_collinear, following, preceding, ring_area2
+from ..functions.geometry import cross, drop_collinear, drop_opposite_collinear, following, invert_orientation, preceding, ring_area2
 from ..model import ContourDirection, FillRule, Options, OverlayRule
 from ..operators import boundary, edges, rings, split
 from ..operators.overlay import Overlay
-from ..sources.contours import lineitem_contours
-from ..sources.generators import GENERATORS
+from ..sources.contours import lineitem_contours, lineitem_rects
+from ..sources.generators import table_checkerboard, table_lines_net, table_nested, table_not_overlap, table_windmill, table_windows
 
 RECTS = """
 rects AS (
@@ -55,10 +55,15 @@ def ring_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drop_collinear_points(spark: SparkSession, d: str) -> DataFrame:
-    """Points left, and gross area, after dropping the points at which rings do not turn."""
-    c = lineitem_contours(spark, d)
-    kept = c.select("group_id", drop_collinear(F.col("points")).alias("points"))
-    return kept.groupBy("group_id").agg(F.sum(F.size("points")).cast("long").alias("n_points"), F.sum(F.abs(ring_area2(F.col("points"))) / 2).cast("long").alias("gross_area"))
+    """Points left of rings with points along their lower side and a spike beyond their upper right corner, without all points at which they
+    don't turn and without spikes alone; and the area of what is left."""
+    p = lambda x, y: F.struct(F.expr(x).cast("int").alias("x"), F.expr(y).cast("int").alias("y"))
+    along = F.transform(F.expr("sequence(x0, x1)"), lambda x: F.struct(x.cast("int").alias("x"), F.col("y0").alias("y")))
+    ring = F.concat(along, F.array(p("x1", "y1 + 2"), p("x1", "y1"), p("x0", "y1")))
+    c = lineitem_rects(spark, d).select("group_id", F.explode(F.array(ring)).alias("points"))
+    c = c.select("group_id", F.size("points").alias("before"), F.explode(F.array(drop_collinear(F.col("points")))).alias("kept"), F.size(drop_opposite_collinear(F.col("points"))).alias("no_spikes"))
+    total = lambda x, name: F.sum(x).cast("long").alias(name)
+    return c.groupBy("group_id").agg(total("before", "n_before"), total(F.size("kept"), "n_points"), total("no_spikes", "n_without_spikes"), total(F.abs(ring_area2(F.col("kept"))) / 2, "gross_area"))
 
 
 def signed_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +73,7 @@ def signed_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def orientation_counts(spark: SparkSession, d: str) -> DataFrame:
     s = edges.segments(lineitem_contours(spark, d))
-    return s.groupBy("orient").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hi").cast("long") - F.col("lo")).alias("length"))
+    return s.groupBy("orient", invert_orientation(F.col("orient")).alias("across")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hi").cast("long") - F.col("lo")).alias("length"))
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
@@ -177,20 +182,20 @@ def cw_output(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quarantined(spark: SparkSession, d: str) -> DataFrame:
-    o = Overlay(GENERATORS["windmill"](spark, 8))
-    return o.rejects.groupBy("shape_type", "reason").agg(F.count(F.lit(1)).alias("n"))
+    """Rings set aside, of a windmill with four triangles for every line item."""
+    return Overlay(table_windmill(spark, d)).rejects.groupBy("group_id", "shape_type", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def windows_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """Shapes and holes of a grid of framed windows: one hole to a shape."""
-    s = Overlay(GENERATORS["windows"](spark, 32)).shapes(OverlayRule.DIFFERENCE)
-    return s.agg(F.count(F.lit(1)).alias("n_shapes"), F.sum(F.size("contours") - 1).alias("n_holes"), F.max(F.size("contours")).alias("most_rings"))
+    """Shapes and holes of framed windows, one for every cell that a line item falls into: one hole to a shape."""
+    s = Overlay(table_windows(spark, d)).shapes(OverlayRule.DIFFERENCE)
+    return s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_shapes"), F.sum(F.size("contours") - 1).alias("n_holes"), F.max(F.size("contours")).alias("most_rings"))
 
 
 def windows_min_area(spark: SparkSession, d: str) -> DataFrame:
     """The same with rings under 101 dropped: the holes, of area 100, go."""
-    s = Overlay(GENERATORS["windows"](spark, 32), Options(min_output_area=101)).shapes(OverlayRule.DIFFERENCE)
-    return s.agg(F.count(F.lit(1)).alias("n_shapes"), F.sum(F.size("contours")).alias("n_rings"))
+    s = Overlay(table_windows(spark, d), Options(min_output_area=101)).shapes(OverlayRule.DIFFERENCE)
+    return s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_shapes"), F.sum(F.size("contours")).alias("n_rings"))
 
 
 QUERIES: dict = {
@@ -265,6 +270,7 @@ q AS (SELECT p.*, a.g IS NOT NULL AS ne, b.g IS NOT NULL AS nw, c.g IS NOT NULL
   LEFT JOIN i a ON a.g = p.g AND a.x = p.x AND a.y = p.y LEFT JOIN i b ON b.g = p.g AND b.x = p.x - 1 AND b.y = p.y
   LEFT JOIN i c ON c.g = p.g AND c.x = p.x AND c.y = p.y - 1 LEFT JOIN i d ON d.g = p.g AND d.x = p.x - 1 AND d.y = p.y - 1),
 corner AS (SELECT *, ne::INT + nw::INT + se::INT + sw::INT AS n FROM q WHERE (ne::INT + nw::INT + se::INT + sw::INT) % 2 = 1 OR (ne = sw AND ne <> nw))"""
+CELL_SQL = "WITH spots AS (SELECT DISTINCT CAST(l_suppkey % 16 AS BIGINT) AS g, CAST(l_partkey % 20011 AS INT) AS i, CAST(l_orderkey % 50021 AS INT) AS j FROM lineitem) "
 AREA_SQL = "WITH " + CELLS + " SELECT g AS group_id, CAST(count(*) AS BIGINT) AS area FROM cells WHERE {where} GROUP BY g"
 _EDGE = """,
 known AS (SELECT g, x, y, {s} AS s, {c} AS c FROM cells),
@@ -280,10 +286,10 @@ ORACLES: dict = {
   SELECT g, clip, unnest([struct_pack(px := x0, qy := CASE WHEN w > 0 THEN y0 ELSE y1 END), struct_pack(px := CASE WHEN w > 0 THEN x1 ELSE x0 END, qy := CASE WHEN w > 0 THEN y1 ELSE y1 END),
          struct_pack(px := x1, qy := CASE WHEN w > 0 THEN y1 ELSE y0 END), struct_pack(px := CASE WHEN w > 0 THEN x0 ELSE x1 END, qy := y0)]) AS e FROM rects)
 SELECT g AS group_id, CASE WHEN clip = 1 THEN 'clip' ELSE 'subject' END AS shape_type, count(*) AS n_edges, CAST(sum(CAST(e.px AS BIGINT) * 3 + e.qy) AS BIGINT) AS checksum FROM corners GROUP BY ALL""",
-    "drop_collinear_points": "WITH " + RECTS + " SELECT g AS group_id, CAST(count(*) * 4 AS BIGINT) AS n_points, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS gross_area FROM rects GROUP BY g",
+    "drop_collinear_points": "WITH " + RECTS + " SELECT g AS group_id, CAST(sum(x1 - x0 + 4) AS BIGINT) AS n_before, CAST(count(*) * 4 AS BIGINT) AS n_points, CAST(sum(x1 - x0 + 3) AS BIGINT) AS n_without_spikes, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS gross_area FROM rects GROUP BY g",
     "signed_segments": "WITH " + SEGS + """ SELECT g AS group_id, o AS orient, count(*) AS n, CAST(sum(w * (1 - clip)) AS BIGINT) AS subj, CAST(sum(w * clip) AS BIGINT) AS clip,
   CAST(sum(CAST(hi - lo AS BIGINT) * (w * (1 - raw.clip) + 2 * w * raw.clip) * pos) AS BIGINT) AS moment FROM raw GROUP BY g, o""",
-    "orientation_counts": "WITH " + SEGS + " SELECT o AS orient, count(*) AS n, CAST(sum(hi - lo) AS BIGINT) AS length FROM raw GROUP BY o",
+    "orientation_counts": "WITH " + SEGS + " SELECT o AS orient, CASE WHEN o = 'H' THEN 'V' ELSE 'H' END AS across, count(*) AS n, CAST(sum(hi - lo) AS BIGINT) AS length FROM raw GROUP BY o",
     "merge_segments": "WITH " + SEGS + " SELECT g AS group_id, o AS orient, pos, lo, hi, subj, clip FROM segs",
     "bbox": "WITH " + RECTS + " SELECT g AS group_id, min(x0) AS min_x, max(x1) AS max_x, min(y0) AS min_y, max(y1) AS max_y, CAST(4 * count(*) AS BIGINT) AS n_points FROM rects GROUP BY g",
     "bucket_histogram": "WITH " + SEGS + """, b AS (SELECT g, o, CASE WHEN o = 'V' THEN pos ELSE lo END // 8 AS b0, CASE WHEN o = 'V' THEN pos ELSE hi END // 8 AS b1 FROM segs),
@@ -330,9 +336,9 @@ SELECT g AS group_id, count(*) AS n_shapes, CAST(sum(1 + n) AS BIGINT) AS n_ring
     "shape_rings": AREA_SQL.format(where=_inside_sql(OverlayRule.UNION, FillRule.NON_ZERO)),
     "flat_contours": AREA_SQL.format(where=_inside_sql(OverlayRule.INTERSECT, FillRule.NON_ZERO)),
     "cw_output": "WITH " + CELLS + f" SELECT g AS group_id, CAST(-count(*) AS BIGINT) AS area FROM cells WHERE {_inside_sql(OverlayRule.INTERSECT, FillRule.NON_ZERO)} GROUP BY g",
-    "windows_shapes": "SELECT CAST(1024 AS BIGINT) AS n_shapes, CAST(1024 AS BIGINT) AS n_holes, CAST(2 AS INT) AS most_rings",
-    "windows_min_area": "SELECT CAST(1024 AS BIGINT) AS n_shapes, CAST(1024 AS BIGINT) AS n_rings",
-    "quarantined": "SELECT 'subject' AS shape_type, 'diagonal edge' AS reason, CAST(256 AS BIGINT) AS n",
+    "windows_shapes": CELL_SQL + "SELECT g AS group_id, count(*) AS n_shapes, count(*) AS n_holes, CAST(2 AS INT) AS most_rings FROM spots GROUP BY g",
+    "windows_min_area": CELL_SQL + "SELECT g AS group_id, count(*) AS n_shapes, count(*) AS n_rings FROM spots GROUP BY g",
+    "quarantined": "SELECT CAST(l_suppkey % 16 AS BIGINT) AS group_id, 'subject' AS shape_type, 'diagonal edge' AS reason, 4 * count(*) AS n FROM lineitem GROUP BY 1",
 }
 for _f in FillRule:
     QUERIES[f"fill_{_f.value}"] = lambda s, d, f=_f: _overlay(s, d).area(OverlayRule.UNION, f)
@@ -340,14 +346,16 @@ for _f in FillRule:
 for _r in OverlayRule:
     QUERIES[f"rule_{_r.value}"] = lambda s, d, r=_r: _overlay(s, d).area(r, FillRule.NON_ZERO)
     ORACLES[f"rule_{_r.value}"] = AREA_SQL.format(where=_inside_sql(_r, FillRule.NON_ZERO))
-#: workload, n, rule, area by formula
+#: workload, rule, area per group by formula over the cells that line items fall into
 BENCH = (
-    ("checkerboard", 64, OverlayRule.XOR, lambda n: 400 * (n * n + (n - 1) ** 2) - 200 * (n - 1) ** 2),
-    ("not_overlap", 64, OverlayRule.UNION, lambda n: 100 * (n * n + (n - 1) ** 2)),
-    ("lines_net", 64, OverlayRule.INTERSECT, lambda n: 10 * n * (10 * n - 5)),
-    ("windows", 64, OverlayRule.DIFFERENCE, lambda n: 300 * n * n),
-    ("nested", 64, OverlayRule.XOR, lambda n: 128 * n * n),
+    # a clip overlaps the subjects of its own cell and of those to the right and above by 25 each
+    ("checkerboard", table_checkerboard, OverlayRule.XOR, """SELECT g AS group_id, CAST(sum(800 - 50 * n) AS BIGINT) AS area FROM (SELECT c.g, c.i, c.j, count(s.g) AS n
+      FROM (SELECT *, unnest([0, 1, 0, 1]) AS di, unnest([0, 0, 1, 1]) AS dj FROM spots) c LEFT JOIN spots s ON s.g = c.g AND s.i = c.i + c.di AND s.j = c.j + c.dj GROUP BY ALL) GROUP BY g"""),
+    ("not_overlap", table_not_overlap, OverlayRule.UNION, "SELECT g AS group_id, CAST(200 * count(*) AS BIGINT) AS area FROM spots GROUP BY g"),
+    ("lines_net", table_lines_net, OverlayRule.INTERSECT, "SELECT g AS group_id, CAST(100 * count(DISTINCT i % 509) * count(DISTINCT j % 503) AS BIGINT) AS area FROM spots GROUP BY g"),
+    ("windows", table_windows, OverlayRule.DIFFERENCE, "SELECT g AS group_id, CAST(300 * count(*) AS BIGINT) AS area FROM spots GROUP BY g"),
+    ("nested", table_nested, OverlayRule.XOR, "SELECT g AS group_id, CAST(sum(256 * (k + 1) - 128) AS BIGINT) AS area FROM (SELECT DISTINCT g, i % 101 AS k FROM spots) GROUP BY g"),
 )
-for _name, _n, _r, _area in BENCH:
-    QUERIES[f"bench_{_name}"] = lambda s, d, g=_name, n=_n, r=_r: Overlay(GENERATORS[g](s, n)).area(r).select("area")
-    ORACLES[f"bench_{_name}"] = f"SELECT CAST({_area(_n)} AS BIGINT) AS area"
+for _name, _table, _r, _sql in BENCH:
+    QUERIES[f"bench_{_name}"] = lambda s, d, t=_table, r=_r: Overlay(t(s, d)).area(r)
+    ORACLES[f"bench_{_name}"] = CELL_SQL + _sql
