@@ -37,12 +37,15 @@ class Overlay:
         return self._slabs
 
     def region(self, rule: OverlayRule, fill: FillRule = FillRule.NON_ZERO) -> DataFrame:
-        """The result as disjoint rectangles: group_id, x0, x1, y0, y1."""
+        """The result as disjoint rectangles, joined sideways where they are of one height: group_id, x0, x1, y0, y1."""
+        return sweep.merged(self._kept(rule, fill))
+
+    def _kept(self, rule: OverlayRule, fill: FillRule) -> DataFrame:
         keep = inside(filled(F.col("ws"), fill), filled(F.col("wc"), fill), rule)
         return self.slabs.where(keep).select("group_id", "x0", "x1", "y0", "y1")
 
     def area(self, rule: OverlayRule, fill: FillRule = FillRule.NON_ZERO) -> DataFrame:
-        return self.region(rule, fill).groupBy("group_id").agg(F.sum(_size()).alias("area"))
+        return self._kept(rule, fill).groupBy("group_id").agg(F.sum(_size()).alias("area"))
 
     def area_matrix(self) -> DataFrame:
         """Areas of all rules under all fills in one sweep: group_id and a column <fill>_<rule> each."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .edges import merge, segments
 
+BLOCK = 5  # log2 of the strips in a block
 COARSE = 12  # log2 of the coordinates in a coarse bucket of the ranking: so many rows at most in one of its windows
 
 
@@ -25,12 +26,18 @@ def ranked(h: DataFrame) -> DataFrame:
     return fine.join(coarse, ["group_id", "c"]).select("group_id", "x", F.coalesce("after", "beyond").alias("x1"), (F.col("first") + F.col("k")).alias("r"))
 
 
-def _listed(h: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(group_id, r, y, subj, clip): merged horizontals, once per strip they cross, by the strip's rank."""
+def _placed(h: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(group_id, y, subj, clip, r0, r1): merged horizontals with the ranks of the strips from r0 up to r1, without it, that they cross."""
     first = ranks.select("group_id", F.col("x").alias("lo"), F.col("r").alias("r0"))
     last = ranks.select("group_id", F.col("x").alias("hi"), F.col("r").alias("r1"))
-    placed = h.select("group_id", F.col("pos").alias("y"), "lo", "hi", "subj", "clip").join(first, ["group_id", "lo"]).join(last, ["group_id", "hi"])
-    return placed.select("group_id", "y", "subj", "clip", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("r"))
+    return h.select("group_id", F.col("pos").alias("y"), "lo", "hi", "subj", "clip").join(first, ["group_id", "lo"]).join(last, ["group_id", "hi"])
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (group_id, r0, r1, ...), once per block of 2**BLOCK strips that they cross: `block`, r0 and r1 cut to it."""
+    at = rows.select("*", F.explode(F.sequence(F.shiftright("r0", BLOCK), F.shiftright(F.col("r1") - 1, BLOCK))).alias("block"))
+    low = F.col("block") * (1 << BLOCK)
+    return at.withColumns({"r0": F.greatest("r0", low), "r1": F.least("r1", low + (1 << BLOCK))})
 
 
 def _horizontals(contours: DataFrame) -> DataFrame:
@@ -40,20 +47,42 @@ def _horizontals(contours: DataFrame) -> DataFrame:
 def slabs(contours: DataFrame) -> DataFrame:
     """(group_id, x0, x1, y0, y1, ws, wc): disjoint rectangles of constant subject and clip winding.
 
-    Horizontals alone tell the winding everywhere. One exchange on (group_id, strip) serves the sum per y, the running sum and
-    the strip's coordinates, which only join once the sweep is done.
+    Horizontals alone tell the winding everywhere. A horizontal is sent once to every block of strips that it crosses, and spread over the
+    strips of a block where the block is. That one exchange on (group_id, block) serves the sum per y, the running sum and the strips'
+    coordinates, which come as a row of their own before the strip's first y.
     """
     h = _horizontals(contours)
     ranks = ranked(h)
-    per_y = _listed(h, ranks).repartition("group_id", "r").groupBy("group_id", "r", "y").agg(F.sum("subj").alias("ds"), F.sum("clip").alias("dc")).where("ds <> 0 or dc <> 0")
-    w = Window.partitionBy("group_id", "r").orderBy("y")
+    none = lambda name: F.lit(None).cast("int").alias(name)
+    edges = _placed(h, ranks).select("group_id", "r0", "r1", "y", "subj", "clip", none("x0"), none("x1"))
+    zero = F.lit(0).cast("long")
+    strips = ranks.where("x1 is not null").select("group_id", F.col("r").alias("r0"), (F.col("r") + 1).alias("r1"), none("y"), zero.alias("subj"), zero.alias("clip"), F.col("x").alias("x0"), "x1")
+    sent = _in_blocks(edges.unionByName(strips)).repartition("group_id", "block")
+    spread = sent.select("group_id", "block", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("r"), "y", "subj", "clip", "x0", "x1")
+    per_y = spread.groupBy("group_id", "block", "r", "y").agg(F.sum("subj").alias("ds"), F.sum("clip").alias("dc"), F.max("x0").alias("x0"), F.max("x1").alias("x1")).where("ds <> 0 or dc <> 0 or y is null")
+    w = Window.partitionBy("group_id", "block", "r").orderBy(F.col("y").asc_nulls_first())
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    swept = per_y.select("group_id", "r", F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), F.sum("ds").over(upto).alias("ws"), F.sum("dc").over(upto).alias("wc"))
-    strip = ranks.select("group_id", "r", F.col("x").alias("x0"), "x1")
-    return swept.where("y1 is not null").join(strip, ["group_id", "r"]).select("group_id", "x0", "x1", "y0", "y1", "ws", "wc")
+    swept = per_y.select(
+        "group_id", F.max("x0").over(upto).alias("x0"), F.max("x1").over(upto).alias("x1"), F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), F.sum("ds").over(upto).alias("ws"), F.sum("dc").over(upto).alias("wc")
+    )
+    return swept.where("y0 is not null and y1 is not null")
+
+
+def merged(slab_table: DataFrame) -> DataFrame:
+    """Slabs of any further columns beside x0 and x1, with neighbours that agree in all of these joined: as wide as their state lasts.
+
+    A run of slabs of one height is found by a window over (group_id, y0, y1), which a strip has once; no window holds a strip.
+    """
+    state = [c for c in slab_table.columns if c not in ("x0", "x1")]
+    w = Window.partitionBy(*state).orderBy("x0")
+    begun = slab_table.withColumn("begin", F.when(F.coalesce(F.lag("x1").over(w) == F.col("x0"), F.lit(False)), F.lit(None)).otherwise(F.col("x0")))
+    runs = begun.withColumn("run", F.last("begin", ignorenulls=True).over(w))
+    return runs.groupBy(*state, "run").agg(F.max("x1").alias("x1")).withColumnRenamed("run", "x0").select(*slab_table.columns)
 
 
 def unbalanced(contours: DataFrame) -> DataFrame:
     """Strips whose winding does not return to 0 above the last segment: none for closed rings."""
     h = _horizontals(contours)
-    return _listed(h, ranked(h)).groupBy("group_id", "r").agg(F.sum("subj").alias("ws"), F.sum("clip").alias("wc")).where("ws <> 0 or wc <> 0")
+    sent = _in_blocks(_placed(h, ranked(h))).repartition("group_id", "block")
+    each = sent.select("group_id", "block", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("r"), "subj", "clip")
+    return each.groupBy("group_id", "block", "r").agg(F.sum("subj").alias("ws"), F.sum("clip").alias("wc")).where("ws <> 0 or wc <> 0").drop("block")

@@ -86,6 +86,36 @@ def test_stream(spark, tmp_path):
     assert len(got) == 1 and len(got[0]["contours"][0]) == 4
 
 
+def test_a_group_gathers_over_batches(spark, tmp_path):
+    """Group 1 arrives in three batches, group 2 in one; group 3 is never closed."""
+    from quadrille.model import FillRule
+    from quadrille.streaming.microbatch import gathered, overlay_stream
+
+    ring = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n)]
+    batches = [
+        [(1, "subject", 0, ring(0, 0, 4)), (3, "subject", 0, ring(0, 0, 1))], [(1, "clip", 0, ring(1, 1, 2)), (2, "subject", 0, ring(5, 5, 3)), (2, "end", None, None)],
+        [(1, "subject", 1, ring(10, 0, 1)), (1, "end", None, None)],
+    ]
+    got = []
+    (tmp_path / "in").mkdir()
+    stream = gathered(spark.readStream.schema(CONTOURS).parquet(str(tmp_path / "in")))
+    for rows in batches:
+        spark.createDataFrame(rows, CONTOURS).write.mode("append").parquet(str(tmp_path / "in"))
+        q = overlay_stream(stream, OverlayRule.DIFFERENCE, FillRule.NON_ZERO, lambda df, k: got.extend(df.collect()), checkpointLocation=str(tmp_path / "cp"))
+        q.processAllAvailable()
+        q.stop()
+        if rows is batches[0]:
+            assert not got
+    assert sorted((r["group_id"], r["shape_id"], len(r["contours"])) for r in got) == [(1, 0, 2), (1, 1, 1), (2, 0, 1)]
+
+
+def test_entry_stands_without_the_subpackage(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['quadrille.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'rule_union' in q and not any(k.startswith('op') for k in q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+
+
 def test_entry_imports_in_a_fresh_process():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q), set(o) - set(q); print(len(q))"], cwd=root, capture_output=True, text=True)

@@ -125,6 +125,21 @@ def test_random_rectangles_against_raster(spark, n, p):
         assert (cells == RULES[r](FILLS[f](s), FILLS[f](c))).all(), (f, r)
 
 
+def test_long_edges_are_sent_once_per_block_and_regions_are_wide(spark):
+    counts = []
+    for n in (16, 32):
+        o = Overlay(GENERATORS["nested"](spark, n))
+        h = sweep._horizontals(o.contours)
+        placed = sweep._placed(h, sweep.ranked(h))
+        strips, edges = sweep.ranked(h).count() - 1, h.count()
+        assert sweep._in_blocks(placed).count() <= edges * (strips / 2**sweep.BLOCK + 2)
+        rects = o.region(OverlayRule.UNION)
+        assert rects.selectExpr("sum((x1 - x0) * (y1 - y0)) a").first()["a"] == o.area(OverlayRule.UNION).first()["area"]
+        counts.append((rects.count(), o._kept(OverlayRule.UNION, FillRule.NON_ZERO).count()))
+    # a frame is a few rectangles however many strips it crosses; slabs grow with the square of n
+    assert counts[1][0] <= 2.5 * counts[0][0] and counts[1][1] > 3 * counts[0][1]
+
+
 def test_links_have_even_degree_and_strips_close(spark):
     o = Overlay(from_rects(spark, random_groups(5, 20, 12, 4)))
     degrees = {r["degree"] for r in boundary.nodes(o.links(OverlayRule.XOR)).collect()}
