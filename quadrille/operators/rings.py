@@ -116,8 +116,11 @@ def owners(piece_table: DataFrame, edge_table: DataFrame, ranks: DataFrame) -> D
     below = Window.partitionBy("group_id", "x").orderBy("y", "kind").rowsBetween(Window.unboundedPreceding, -1)
     floor = F.last(F.when(F.col("kind") == 1, F.struct("y", "start")), ignorenulls=True).over(below)
     found = anchors.unionByName(floors).withColumn("floor", floor).where("kind = 0").select("group_id", "hole", "x", "y", "floor")
-    sure = F.when(F.col("floor").isNull(), F.raise_error(F.concat(F.lit("no shape below the hole at "), F.to_json(F.struct("x", "y"))))).otherwise(F.col("floor.y"))
-    found = found.select("group_id", "hole", sure.alias("ay"), F.col("floor.start").alias("ax"))
+    found = saved(found, "ring-floors")
+    lost = found.where("floor is null").first()
+    if lost is not None:
+        raise ValueError(f"no shape below the hole at {(lost['x'], lost['y'])}")
+    found = found.select("group_id", "hole", F.col("floor.y").alias("ay"), F.col("floor.start").alias("ax"))
     edge = edge_table.where("orient = 'H'").select("group_id", "ax", "ay", "id")
     ups = found.join(edge, ["group_id", "ax", "ay"]).select("hole", "id").join(ranks.select("id", "ring"), "id")
     ups = ups.join(heads.select(F.col("id").alias("ring"), F.col("top").alias("open")), "ring").select("hole", F.col("ring").alias("owner"), "open")
