@@ -2,18 +2,19 @@
 
 1. One scan turns every whole text into its set of word shingles and a signature of TREES * DEPTH min-hashes.
    Documents with equal sets become one class, represented by its smallest doc_id.
-2. Forest: each tree orders the classes by its own DEPTH min-hashes. A region is a run of classes whose longest common prefix
-   reaches MIN_DEPTH. One of over REGION classes is cut into blocks, and each two blocks are searched together, so a region is
-   searched whole whatever its size; the deeper hashes sharpen the estimate and order the classes of a region.
-3. Neighbours in a region whose signatures agree in LOOSE of their positions and whose sizes allow the similarity are
-   candidates; each region emits only a forest of them. Their components are the units of verification; a unit of over
-   REGION classes is cut into blocks of which each two are verified together, or verified region by region where that is less.
-4. Verification: the whole texts of the classes of a unit come to one task, where all links of the unit are found on full
-   sets with an inverted index; it emits a spanning forest of links, never the pairs.
+2. Forest: each tree sorts the classes by its own DEPTH min-hashes. A region is a run of classes whose common prefix reaches the
+   region's depth: MIN_DEPTH, and one more, up to MAX_DEPTH, wherever a region would hold over REGION classes. One that does so still
+   is cut into blocks, and each two blocks are searched together.
+3. In a region every class meets its neighbours by longest common prefix first, the NEXT that follow in the tree's order, and then all
+   others that it isn't joined with. Those whose signatures agree in LOOSE of their positions and whose sizes allow the similarity are
+   candidates; each region emits only a forest of them. Their components are the units of verification.
+4. Verification: a unit's links are all found on full sets, with an inverted index, and a spanning forest of them is emitted. A unit of over
+   REGION classes is cut into blocks of which each two are verified together: every two of its classes meet, whatever its size.
 5. Components of the links give each document the smallest doc_id it can reach.
 
-Chance of missing one link at the threshold of 0.85: no shared region in any tree, (1 - 0.85**4)**24 = 2e-8; signature
-estimate of 192 positions below LOOSE, under 1e-6. At 0.80 the first is 3e-6. Neither depends on the size of a region.
+Chance of missing one link at the threshold of 0.85: no shared region in any tree, (1 - 0.85**4)**24 = 2e-8, and where all regions of
+a class are so crowded that they reach MAX_DEPTH (1 - 0.85**6)**24 = 1.2e-5, at most; signature estimate of 192 positions below LOOSE,
+under 1e-6. At 0.80 the first two are 3e-6 and 6.8e-4.
 
 Defined cases: null and empty texts, and texts without words, have the empty set, link with nothing and are kept;
 a null doc_id counts as the largest; repeated rows are one document each, in one class; rows of one doc_id with different texts
@@ -27,18 +28,18 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, forget, fresh, may_hold, saved
 from .graph import components
 from .shingles import SHINGLE_WORDS, shingle_set
 
-TREES, DEPTH, MIN_DEPTH = 24, 8, 4
+TREES, DEPTH, MIN_DEPTH, MAX_DEPTH = 24, 8, 4, 6
 REGION = 2048
 PERCENT = 85
 LOOSE = 0.70
-NEXT = 32
+NEXT = 8
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.RandomState(20240229)
@@ -73,24 +74,38 @@ def _signed(words: int):
 
 
 def _tiles(rows: DataFrame, region: int) -> DataFrame:
-    """(unit, id): rows (key, size, id) of groups of over `region` ids, cut into blocks of about half of that; each two blocks
+    """(unit, id, ...): rows (key, size, id, ...) of groups of over `region` ids, cut into blocks of about half of that; each two blocks
     of a group are one unit, so any two ids of a group meet."""
     blocks = F.ceil(2 * F.col("size") / region)
-    pairs = rows.select("key", "id", F.pmod(F.xxhash64("id"), blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
-    return pairs.where("i <> j").select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "id")
+    others = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_j")
+    pairs = rows.select("*", F.pmod(F.xxhash64("id"), blocks).alias("_i"), others).where("_i <> _j")
+    return pairs.withColumn("unit", F.xxhash64("key", F.least("_i", "_j"), F.greatest("_i", "_j"))).drop("key", "size", "_i", "_j")
+
+
+def _order(sig: Column, tree: Column, depth: int = DEPTH) -> Column:
+    """The first `depth` min-hashes of a tree: what the tree sorts by."""
+    return F.call_function("substring", sig, tree * (2 * DEPTH) + 1, F.lit(2 * depth))
 
 
 def _regions(classes: DataFrame, region: int) -> DataFrame:
-    """(unit, id): every class in the regions of the forest that hold two classes or more."""
-    width = 4  # hex digits of one min-hash
-    at = classes.select("id", F.hex("sig").alias("sig"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    at = at.select("id", "tree", F.call_function("substring", F.col("sig"), F.col("tree") * (width * DEPTH) + 1, F.lit(width * DEPTH)).alias("order"))
-    rows = saved(at.select(F.xxhash64("tree", F.substring("order", 1, width * MIN_DEPTH)).alias("key"), "id"), "forest")
-    sizes = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "forest-sizes")
-    fit = rows.join(sizes.where(F.col("size") <= region).select("key"), "key").select(F.col("key").alias("unit"), "id")
-    large = rows.join(sizes.where(F.col("size") > region), "key")
-    out = saved(fit.unionByName(_tiles(large, region)).distinct(), "near-regions")
-    forget(rows, sizes)
+    """(unit, tree, id): every class in the regions of the forest that hold two classes or more."""
+    at = classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    found, scratch = None, []
+    for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
+        rows = saved(at.select(F.xxhash64("tree", _order(F.col("sig"), F.col("tree"), depth)).alias("key"), "tree", "id"), "forest")
+        sizes = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "forest-sizes")
+        scratch += [rows, sizes]
+        fit = rows.join(sizes.where(F.col("size") <= region).select("key"), "key").select(F.col("key").alias("unit"), "tree", "id")
+        found = fit if found is None else found.unionByName(fit)
+        crowded = sizes.where(F.col("size") > region)
+        if crowded.isEmpty():
+            break
+        large = rows.join(crowded, "key")
+        if depth == MAX_DEPTH:
+            found = found.unionByName(_tiles(large, region))
+        at = large.select("tree", "id").join(classes.select("id", "sig"), "id")
+    out = saved(found, "near-regions")
+    forget(*scratch)
     return out
 
 
@@ -101,25 +116,70 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
+def _flat(parent: np.ndarray) -> np.ndarray:
+    """The root of every place."""
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
+def _forest_of(unit: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int, loose: float) -> list[tuple[int, int]]:
+    """Places of the pairs that join each unit's candidates; rows are sorted by unit and the tree's order."""
+    parent, out = np.arange(len(unit)), []
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[fits], b[fits]
+        for at in range(0, len(a), 4096):
+            x, y = a[at : at + 4096], b[at : at + 4096]
+            like = (sig[x] == sig[y]).mean(1) >= loose
+            for i, j in zip(x[like].tolist(), y[like].tolist()):
+                i_root, j_root = _find(parent, i), _find(parent, j)
+                if i_root != j_root:
+                    parent[max(i_root, j_root)] = min(i_root, j_root)
+                    out.append((i, j))
+
+    for step in range(1, NEXT + 1):  # neighbours in the order; a pair that is joined already adds nothing to a forest
+        root = _flat(parent)
+        a = np.flatnonzero(unit[:-step] == unit[step:])
+        if not len(a):
+            return out
+        a = a[root[a] != root[a + step]]
+        join(a, a + step)
+    root = _flat(parent)
+    begin = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(unit)]):
+        if hi - lo <= NEXT + 1 or (root[lo:hi] == root[lo]).all():
+            continue
+        for i in range(lo + NEXT + 1, hi):
+            own = _flat(parent[lo:hi] - lo)
+            far = np.flatnonzero(own[: i - NEXT - lo] != own[i - lo]) + lo
+            join(far, np.full(len(far), i))
+    return out
+
+
 def _candidates(percent: int, loose: float):
-    """Within one region: a forest over the candidate pairs (estimated similarity and sizes)."""
+    """Over rows sorted by unit and order: for each unit a forest over its candidate pairs (estimated similarity and sizes)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sig", kind="stable")  # the tree's order: equal prefixes stand together
-        ids, n = pdf["id"].to_numpy(), pdf["n"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-        label, out = np.arange(len(ids)), []
-        for i in range(1, len(ids)):
-            fits = np.flatnonzero((100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
-            for part in (fits[-NEXT:], fits[:-NEXT]):
-                part = part[label[part] != label[i]]  # a pair that is joined already adds nothing to a forest
-                if not len(part):
-                    continue
-                for j in part[(sig[part] == sig[i]).mean(1) >= loose][::-1]:
-                    if label[i] != label[j]:
-                        label[label == label[j]] = label[i]
-                        out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        unit, ids, n = (rows.column(c).to_numpy() for c in ("unit", "id", "n"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        at = np.array(_forest_of(unit, n, sig, percent, loose), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["u", "v"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not rows.num_rows:
+                continue
+            unit = rows.column("unit").to_numpy()
+            whole = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
+            if whole:
+                yield edges(rows.slice(0, whole))
+            held = rows.slice(whole)
+        if held is not None and held.num_rows:
+            yield edges(held)
 
     return run
 
@@ -179,24 +239,18 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WO
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("sig").alias("sig"))
     classes = saved(classes, "near-classes")
     regions = _regions(classes, region)
-    inside = regions.join(classes.select("id", "n", "sig"), "id")
-    loose_edges = inside.groupBy("unit").applyInPandas(_candidates(percent, loose), "u long, v long")
+    inside = regions.join(classes, "id").select("unit", "id", "n", "sig", _order(F.col("sig"), F.col("tree")).alias("order"))
+    inside = inside.repartition("unit").sortWithinPartitions("unit", "order", "id").select("unit", "id", "n", "sig")
+    loose_edges = inside.mapInArrow(_candidates(percent, loose), "u long, v long")
     units = saved(components(loose_edges, "near-loose"), "near-units")  # long lived: the scans below read it
     sizes = units.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.where(F.col("size") > region)
-    by_component = units.join(large, "root", "left_anti").select(F.col("root").alias("unit"), F.col("node").alias("id"))
-    in_large = units.join(large, "root").select(F.col("root").alias("key"), "size", F.col("node").alias("id"))
-    shared = regions.join(in_large, "id")
-    # the pairs to compare, either way: all of the component, or all of its regions
-    work = shared.groupBy("key", "unit").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
-    dense = work.join(large, work["key"] == large["root"]).where(2.0 * F.col("size") * F.col("size") <= F.col("work")).select("key")
-    by_tile = _tiles(in_large.join(dense, "key"), region)
-    by_region = shared.join(dense, "key", "left_anti").select("unit", "id").unionByName(by_tile)
+    members = units.join(sizes, "root").select(F.col("root").alias("key"), "size", F.col("node").alias("id"))
+    whole = members.where(F.col("size") <= region).select(F.col("key").alias("unit"), "id")
+    members = whole.unionByName(_tiles(members.where(F.col("size") > region), region))
     # texts of the candidates only: a bounded bitmap thins the scan, the join is exact
     near = bitmap_of(units.select(F.xxhash64("node")))
     texts = source.where(may_hold(near, F.xxhash64("id"))).join(units.select(F.col("node").alias("id")), "id")
     sets = saved(texts.mapInArrow(_full_sets(words), "id long, shingles binary"), "near-sets")
-    members = by_component.unionByName(by_region)
     links = members.join(sets, "id").groupBy("unit").applyInPandas(_verify(percent, words), "u long, v long")
     found = saved(components(links, "near-links"), "near-components")
     roots = classes.select("digest", "id").join(found, classes["id"] == found["node"], "left").select("digest", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component"))

@@ -125,16 +125,55 @@ def test_near_groups_of_oversized_regions(spark, rows):
     assert {g["doc_id"]: g["component_id"] for g in got} == want
 
 
-def test_oversized_regions_are_searched_at_the_same_depth(spark):
+def region_pairs(spark, sigs, region):
+    classes = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sigs)], "id long, sig binary")
+    units = {}
+    for u in near_dedup._regions(classes, region).collect():
+        units.setdefault(u["unit"], set()).add(u["id"])
+    return {(a, b) for m in units.values() for a in m for b in m if a < b}
+
+
+def test_depth_follows_the_region(spark):
     r = np.random.default_rng(3)
     sigs = r.integers(0, 1 << 16, (9, near_dedup.TREES * near_dedup.DEPTH), dtype=np.uint16)
-    sigs[:, : near_dedup.MIN_DEPTH] = 7  # one region of the first tree, nothing in common beyond it
-    classes = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sigs)], "id long, sig binary")
+    sigs[:, : near_dedup.MIN_DEPTH] = 7  # one region of the first tree
+    sigs[:5, near_dedup.MIN_DEPTH] = 8  # with two branches below it, of which one branches again
+    sigs[5:, near_dedup.MIN_DEPTH] = 9
+    sigs[:3, near_dedup.MIN_DEPTH + 1] = 1
+    every = lambda ids: {(a, b) for b in ids for a in ids if a < b}
+    assert region_pairs(spark, sigs, 9) == every(range(9))
+    assert region_pairs(spark, sigs, 5) == every(range(5)) | every(range(5, 9))
+    assert region_pairs(spark, sigs, 4) == every(range(3)) | every(range(5, 9))
+
+
+def test_regions_crowded_at_every_depth_are_searched_whole(spark):
+    r = np.random.default_rng(3)
+    sigs = r.integers(0, 1 << 16, (9, near_dedup.TREES * near_dedup.DEPTH), dtype=np.uint16)
+    sigs[:, : near_dedup.MAX_DEPTH] = 7
     for region in (9, 3):
-        units = {}
-        for u in near_dedup._regions(classes, region).collect():
-            units.setdefault(u["unit"], set()).add(u["id"])
-        assert {(a, b) for m in units.values() for a in m for b in m if a < b} == {(a, b) for b in range(9) for a in range(b)}
+        assert region_pairs(spark, sigs, region) == {(a, b) for b in range(9) for a in range(b)}
+
+
+def test_forest_of_a_region_joins_what_all_pairs_join():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 9, (6, 192), dtype=np.uint16)
+    sig = base[r.integers(0, 6, 300)].copy()
+    change = r.random(sig.shape) < r.random((300, 1)) * 0.3
+    sig[change] = r.integers(0, 9, int(change.sum()))
+    unit, n = np.sort(r.integers(0, 12, 300)), r.integers(80, 101, 300)
+    label = list(range(300))
+    for b in range(300):
+        for a in range(b):
+            fits = unit[a] == unit[b] and 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b])
+            if fits and (sig[a] == sig[b]).mean() >= 0.7 and label[a] != label[b]:
+                label = [label[a] if x == label[b] else x for x in label]
+    got = list(range(300))
+    pairs = near_dedup._forest_of(unit, n, sig, 85, 0.7)
+    for a, b in pairs:
+        assert got[a] != got[b]
+        got = [got[a] if x == got[b] else x for x in got]
+    groups = lambda x: {frozenset(i for i in range(300) if x[i] == v) for v in x}
+    assert groups(got) == groups(label)
 
 
 def test_shingle_hashes_follow_the_words():
