@@ -38,13 +38,15 @@ class ContourDirection(str, Enum):
 @dataclass(frozen=True)
 class Options:
     """preserve_input_collinear is accepted and has no effect: winding does not depend on it. bucket_power is the least log2 of
-    the width and height of a cell in the intersection join, which grows with the segments; results do not depend on it."""
+    the width and height of a cell in the intersection join, which grows with the segments; results do not depend on it.
+    min_count_per_column_power is the least log2 of the verticals in a column of the layout."""
 
     preserve_input_collinear: bool = False
     output_direction: ContourDirection = ContourDirection.COUNTER_CLOCKWISE
     preserve_output_collinear: bool = False
     min_output_area: int = 0
     bucket_power: int = 3
+    min_count_per_column_power: int = 6
 
     @classmethod
     def keep_all_points(cls) -> "Options":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import cross, drop_collinear, drop_opposite_collinear, following, invert_orientation, preceding, ring_area2
 from ..model import ContourDirection, FillRule, Options, OverlayRule
-from ..operators import boundary, edges, rings, split
+from ..operators import boundary, edges, layout, rings, split
 from ..operators.overlay import Overlay
 from ..sources.contours import lineitem_contours, lineitem_rects
 from ..sources.generators import table_checkerboard, table_lines_net, table_nested, table_not_overlap, table_windmill, table_windows
@@ -34,6 +34,12 @@ raw AS (
 segs AS (
   SELECT g, o, pos, lo, hi, CAST(sum(w * (1 - clip)) AS BIGINT) AS subj, CAST(sum(w * clip) AS BIGINT) AS clip
   FROM raw GROUP BY g, o, pos, lo, hi HAVING sum(w * (1 - clip)) <> 0 OR sum(w * clip) <> 0)"""
+COLUMNS = SEGS + """,
+xs AS (SELECT g, x, sum(n) AS n FROM (SELECT g, pos AS x, 1 AS n FROM segs WHERE o = 'V' UNION ALL SELECT g, unnest([lo, hi]), 0 FROM segs WHERE o = 'H') GROUP BY g, x),
+before AS (SELECT g, x, n, coalesce(sum(n) OVER (PARTITION BY g ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER (PARTITION BY g) AS t FROM xs),
+dealt AS (SELECT g, x, n, CAST(least(b, t - 1) AS BIGINT) // CAST(greatest(64, ceil(4 * sqrt(CAST(t AS DOUBLE)))) AS BIGINT) AS share FROM before),
+shares AS (SELECT g, share, min(x) AS x0, CAST(sum(n) AS BIGINT) AS n FROM dealt GROUP BY g, share),
+cols AS (SELECT g, row_number() OVER w - 1 AS c, x0, coalesce(lead(x0) OVER w, 2147483647) AS x1, n FROM shares WINDOW w AS (PARTITION BY g ORDER BY share))"""
 FILL_SQL = {FillRule.EVEN_ODD: "{w} % 2 <> 0", FillRule.NON_ZERO: "{w} <> 0", FillRule.POSITIVE: "{w} > 0", FillRule.NEGATIVE: "{w} < 0"}
 RULE_SQL = {
     OverlayRule.SUBJECT: "({s})", OverlayRule.CLIP: "({c})", OverlayRule.INTERSECT: "(({s}) AND ({c}))", OverlayRule.UNION: "(({s}) OR ({c}))",
@@ -92,6 +98,18 @@ def bucket_histogram(spark: SparkSession, d: str) -> DataFrame:
     return split.bucketed(_merged(spark, d), Options().bucket_power).groupBy("group_id", "bucket", "orient").agg(F.count(F.lit(1)).alias("n"))
 
 
+def column_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that hold equally many verticals: where each begins, and how many it holds."""
+    return layout.columns(_merged(spark, d), Options().min_count_per_column_power).select("group_id", "column_no", "x0", "n")
+
+
+def column_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces, their length and their windings per column of that layout."""
+    at = layout.in_columns(_merged(spark, d), Options().min_count_per_column_power)
+    length = F.col("hi").cast("long") - F.col("lo")
+    return at.groupBy("group_id", "column_no", "orient").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("length"), F.sum((F.col("subj") + 2 * F.col("clip")) * length * F.col("pos")).alias("moment"))
+
+
 def hv_intersections(spark: SparkSession, d: str) -> DataFrame:
     met = split.intersections(_merged(spark, d), Options().bucket_power)
     strict = (F.col("y") > F.col("v_lo")) & (F.col("y") < F.col("v_hi")) & (F.col("x") > F.col("h_lo")) & (F.col("x") < F.col("h_hi"))
@@ -201,7 +219,7 @@ def windows_min_area(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict = {
     f.__name__: f
     for f in (
-        ring_edges, drop_collinear_points, signed_segments, orientation_counts, merge_segments, bbox, bucket_histogram, hv_intersections, split_segments, winding_slabs,
+        ring_edges, drop_collinear_points, signed_segments, orientation_counts, merge_segments, bbox, bucket_histogram, column_layout, column_histogram, hv_intersections, split_segments, winding_slabs,
         area_matrix, boundary_links, perimeter, node_degree, ring_successors, shape_rings, shape_table, ring_vertices, hole_binding, flat_contours, min_area, cw_output, quarantined,
         windows_shapes, windows_min_area,
     )
@@ -292,6 +310,12 @@ SELECT g AS group_id, CASE WHEN clip = 1 THEN 'clip' ELSE 'subject' END AS shape
     "orientation_counts": "WITH " + SEGS + " SELECT o AS orient, CASE WHEN o = 'H' THEN 'V' ELSE 'H' END AS across, count(*) AS n, CAST(sum(hi - lo) AS BIGINT) AS length FROM raw GROUP BY o",
     "merge_segments": "WITH " + SEGS + " SELECT g AS group_id, o AS orient, pos, lo, hi, subj, clip FROM segs",
     "bbox": "WITH " + RECTS + " SELECT g AS group_id, min(x0) AS min_x, max(x1) AS max_x, min(y0) AS min_y, max(y1) AS max_y, CAST(4 * count(*) AS BIGINT) AS n_points FROM rects GROUP BY g",
+    "column_layout": "WITH " + COLUMNS + " SELECT g AS group_id, c AS column_no, x0, n FROM cols",
+    "column_histogram": "WITH " + COLUMNS + """, parts AS (
+  SELECT s.g, c, o, pos, lo, hi, subj, clip FROM segs s JOIN cols k ON s.g = k.g AND o = 'V' AND pos >= x0 AND pos < x1
+  UNION ALL SELECT s.g, c, o, pos, greatest(lo, x0), least(hi, x1), subj, clip FROM segs s JOIN cols k ON s.g = k.g AND o = 'H' AND lo < x1 AND hi > x0)
+SELECT g AS group_id, c AS column_no, o AS orient, count(*) AS n, CAST(sum(CAST(hi AS BIGINT) - lo) AS BIGINT) AS length, CAST(sum((subj + 2 * clip) * (hi - lo) * pos) AS BIGINT) AS moment
+FROM parts GROUP BY ALL""",
     "bucket_histogram": "WITH " + SEGS + """, b AS (SELECT g, o, CASE WHEN o = 'V' THEN pos ELSE lo END // 8 AS b0, CASE WHEN o = 'V' THEN pos ELSE hi END // 8 AS b1 FROM segs),
 u AS (SELECT g, o, unnest(range(b0, b1 + 1)) AS bucket FROM b) SELECT g AS group_id, CAST(bucket AS BIGINT) AS bucket, o AS orient, count(*) AS n FROM u GROUP BY ALL""",
     "hv_intersections": "WITH " + SEGS + """, hs AS (SELECT *, unnest(range(lo // 16, hi // 16 + 1)) AS b FROM segs WHERE o = 'H')
