@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import filled, inside
 from ..model import FillRule, Options, OverlayRule
+from ..tables import scratch_path
 from . import boundary, edges, rings, sweep
 
 
 class Overlay:
-    """Contours (subject and clip, by group_id) made ready once; every rule and fill reads the same slabs.
+    """Contours (subject and clip, by group_id) made ready once; every rule and fill reads the same slabs, swept anew for each action or,
+    after stored(), read from a table.
 
     Invalid rings are set aside in `rejects` with a reason. Nothing runs until a result is acted upon, but for shapes() and flat_contours(),
     which write intermediate tables to the shared folder when called.
@@ -21,6 +25,7 @@ class Overlay:
         self.options = options
         self.contours, self.rejects = edges.quarantine(contours)
         self._slabs: DataFrame | None = None
+        self.table: str | None = None
 
     @classmethod
     def of(cls, subject: DataFrame, clip: DataFrame | None = None, options: Options = Options()) -> "Overlay":
@@ -36,6 +41,38 @@ class Overlay:
             self._slabs = sweep.slabs(self.contours)
         return self._slabs
 
+    def stored(self, buckets: int | None = None, name: str | None = None) -> "Overlay":
+        """Sweeps now and keeps the slabs as a table in the shared folder, bucketed by strip: (group_id, x0), sorted by y0.
+
+        Rules filter it and masked_segments() sums along its strips without an exchange of slabs; what is left is the exchange of boundary
+        pieces between neighbouring strips. A group is spread over all buckets. reopened() finds the table again, dropped() removes it.
+        """
+        spark = self.slabs.sparkSession
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = name or f"slabs_{uuid.uuid4().hex}"
+        dealt = self.slabs.repartition(buckets, "group_id", "x0").write.bucketBy(buckets, "group_id", "x0").sortBy("group_id", "x0", "y0")
+        dealt.option("path", scratch_path(spark, table)).option("compression", "zstd").saveAsTable(table)
+        self._slabs, self.table = spark.table(table), table
+        return self
+
+    @classmethod
+    def reopened(cls, spark: SparkSession, table: str, options: Options = Options()) -> "Overlay":
+        """An overlay of the slabs that stored() kept; it has no contours and no rejects."""
+        out = cls.__new__(cls)
+        out.options, out.contours, out.rejects, out._slabs, out.table = options, None, None, spark.table(table), table
+        return out
+
+    def dropped(self) -> "Overlay":
+        """Without its table and the table's files: swept anew from here on."""
+        if self.table is not None:
+            spark = self._slabs.sparkSession
+            (at,) = (r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {self.table}").collect() if r["col_name"] == "Location")
+            spark.sql(f"DROP TABLE {self.table}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._slabs = self.table = None
+        return self
+
     def region(self, rule: OverlayRule, fill: FillRule = FillRule.NON_ZERO) -> DataFrame:
         """The result as disjoint rectangles, joined sideways where they are of one height: group_id, x0, x1, y0, y1."""
         return sweep.merged(self._kept(rule, fill))

@@ -135,6 +135,19 @@ def boundary_links(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("group_id", "orient", "fill").agg(F.sum(F.col("bx").cast("long") - F.col("ax") + F.col("by") - F.col("ay")).alias("length"))
 
 
+STORED_RULES = (OverlayRule.INTERSECT, OverlayRule.UNION, OverlayRule.XOR)
+
+
+def rules_of_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Area and boundary of several rules, each read from slabs that are swept and stored once."""
+    overlay, out = _overlay(spark, d).stored(), None
+    for rule in STORED_RULES:
+        length = F.sum(F.col("bx").cast("long") - F.col("ax") + F.col("by") - F.col("ay")).alias("boundary")
+        both = overlay.area(rule).join(overlay.links(rule).groupBy("group_id").agg(length), "group_id").select("group_id", F.lit(rule.value).alias("rule"), "area", "boundary")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def perimeter(spark: SparkSession, d: str) -> DataFrame:
     links = _overlay(spark, d).links(OverlayRule.UNION)
     return links.groupBy("group_id").agg(F.sum(F.col("bx").cast("long") - F.col("ax") + F.col("by") - F.col("ay")).alias("perimeter"))
@@ -220,7 +233,7 @@ QUERIES: dict = {
     f.__name__: f
     for f in (
         ring_edges, drop_collinear_points, signed_segments, orientation_counts, merge_segments, bbox, bucket_histogram, column_layout, column_histogram, hv_intersections, split_segments, winding_slabs,
-        area_matrix, boundary_links, perimeter, node_degree, ring_successors, shape_rings, shape_table, ring_vertices, hole_binding, flat_contours, min_area, cw_output, quarantined,
+        area_matrix, boundary_links, rules_of_stored, perimeter, node_degree, ring_successors, shape_rings, shape_table, ring_vertices, hole_binding, flat_contours, min_area, cw_output, quarantined,
         windows_shapes, windows_min_area,
     )
 }
@@ -330,6 +343,11 @@ FROM pieces p JOIN segs s ON s.g = p.g AND s.o = p.o AND s.pos = p.pos AND s.lo
     "winding_slabs": "WITH " + CELLS + " SELECT g AS group_id, ws, wc, CAST(count(*) AS BIGINT) AS cells FROM cells WHERE ws <> 0 OR wc <> 0 GROUP BY ALL",
     "area_matrix": "WITH " + CELLS + " SELECT g AS group_id, " + ", ".join(f"CAST(count(*) FILTER (WHERE {_inside_sql(r, f)}) AS BIGINT) AS {f.value}_{r.value}" for f in FillRule for r in OverlayRule) + " FROM cells GROUP BY g",
     "boundary_links": "WITH " + CELLS + _EDGE + " SELECT g AS group_id, orient, CAST(fill AS INT) AS fill, CAST(count(*) AS BIGINT) AS length FROM e WHERE (fill & 1) <> (fill & 2) // 2 OR (fill & 4) // 4 <> (fill & 8) // 8 GROUP BY ALL",
+    "rules_of_stored": "WITH " + CELLS + _EDGE + ", " + ", ".join(
+        f"a{k} AS (SELECT g, count(*) AS n FROM cells WHERE {_inside_sql(r, FillRule.NON_ZERO)} GROUP BY g), "
+        f"b{k} AS (SELECT g, count(*) AS n FROM e WHERE {_inside_sql(r, FillRule.NON_ZERO, '(fill & 1)', '(fill & 4)')} <> {_inside_sql(r, FillRule.NON_ZERO, '(fill & 2)', '(fill & 8)')} GROUP BY g)"
+        for k, r in enumerate(STORED_RULES)
+    ) + " UNION ALL ".join(f" SELECT a{k}.g AS group_id, '{r.value}' AS rule, a{k}.n AS area, b{k}.n AS boundary FROM a{k} JOIN b{k} ON a{k}.g = b{k}.g" for k, r in enumerate(STORED_RULES)),
     "perimeter": "WITH " + CELLS + _EDGE + " SELECT g AS group_id, CAST(count(*) AS BIGINT) AS perimeter FROM e WHERE ((fill & 5) <> 0) <> ((fill & 10) <> 0) GROUP BY g",
     "node_degree": "WITH " + CELLS + """, i AS (SELECT g, x, y FROM cells WHERE (ws <> 0) <> (wc <> 0)),
 p AS (SELECT g, x, y FROM i UNION SELECT g, x + 1, y FROM i UNION SELECT g, x, y + 1 FROM i UNION SELECT g, x + 1, y + 1 FROM i),
