@@ -9,9 +9,10 @@ exactly, in double precision on the original vectors.
 Queries run in blocks of about QUERY_BLOCK vectors; only one block (bounded) is broadcast at a time, against all rows. A task
 returns k rows per query.
 
-Defined cases: vectors that are null, zero, or hold a null or a non-finite component, rows without an id, and vectors whose length is not
-the most common one (on ties the larger) take no part; ties in score go to the smaller id; a row with the query's id isn't its
-neighbour; repeated rows each count; an empty table gives no rows; extra columns are ignored.
+Defined cases: vectors that are null, zero, or hold a null or a non-finite component, and rows without an id, take no part; vectors of
+different lengths have no cosine, so each length is searched by itself, with a quantiser and an index of its own; ties in score go to the
+smaller id; a row isn't its own neighbour, but other rows with its id are; repeated rows each count, as candidates and as queries; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -104,13 +105,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def usable(table: DataFrame) -> DataFrame:
+def valid(table: DataFrame) -> DataFrame:
     """(vec_id, embedding as array<double>) of the rows that take part."""
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = table.select("vec_id", e.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
-    common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size("embedding") == (common[0]["d"] if common else 0))
+    return table.select("vec_id", e.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
+
+
+def lengths(rows: DataFrame) -> list[int]:
+    """The lengths of vectors, the most common one first; on ties the larger."""
+    per = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).collect()
+    return [r["d"] for r in per]
+
+
+def usable(table: DataFrame, dims: int | None = None) -> DataFrame:
+    """The valid rows of one length: the most common one unless it is given."""
+    rows = valid(table)
+    dims = dims or next(iter(lengths(rows)), 0)
+    return rows.where(F.size("embedding") == dims)
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -130,15 +142,20 @@ def fitted(rows: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
 
 
 def indexed(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """rows with their packed codes."""
+    """rows with their packed codes and a number of their own each, which holds once the index is written."""
     dims = quantiser.dims
 
     def run(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 33
         for b in batches:
             codes = quantiser.encode(_unit(_matrix(b.column(1), dims)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "embedding", "codes"])
+            own = pa.array(np.arange(at, at + b.num_rows))
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), own], names=["vec_id", "embedding", "codes", "row"])
 
-    return rows.mapInArrow(run, "vec_id long, embedding array<double>, codes binary")
+    return rows.mapInArrow(run, "vec_id long, embedding array<double>, codes binary, row long")
 
 
 def _top(approx: np.ndarray, keep: int) -> np.ndarray:
@@ -154,7 +171,7 @@ def _search_block(quantiser: Quantiser, queries, k: int, keep: int):
     dims = quantiser.dims
 
     def run(batches):
-        ids, q = queries.value
+        own, ids, q = queries.value
         norm_q = np.sqrt((q * q).sum(1))
         best_s = np.full((len(ids), 0), -np.inf)
         best_i = np.zeros((len(ids), 0), np.int64)
@@ -163,7 +180,7 @@ def _search_block(quantiser: Quantiser, queries, k: int, keep: int):
                 part = b.slice(at, CHUNK)
                 vec = part.column(0).to_numpy()
                 order = np.argsort(vec, kind="stable")
-                vec, x = vec[order], _matrix(part.column(1), dims)[order]
+                vec, row, x = vec[order], part.column(3).to_numpy()[order], _matrix(part.column(1), dims)[order]
                 norm = np.sqrt((x * x).sum(1))
                 codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(vec), -1)[order].T.copy()
                 new_s, new_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
@@ -174,7 +191,7 @@ def _search_block(quantiser: Quantiser, queries, k: int, keep: int):
                         approx += tables[:, m].take(codes[m], axis=1)
                     for j in range(len(tables)):
                         i = _top(approx[j], keep + 1)
-                        i = np.sort(i[vec[i] != ids[lo + j]])
+                        i = np.sort(i[row[i] != own[lo + j]])
                         s = (x[i] * q[lo + j]).sum(1) / (norm[i] * norm_q[lo + j])
                         o = np.lexsort((vec[i], -s))[:k]
                         new_s[lo + j, : len(o)], new_i[lo + j, : len(o)] = s[o], vec[i][o]
@@ -183,33 +200,40 @@ def _search_block(quantiser: Quantiser, queries, k: int, keep: int):
                 best_s, best_i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
         j, c = np.nonzero(best_s > -np.inf)
         if len(j):
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[j]), pa.array(best_i[j, c]), pa.array(best_s[j, c])], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[j]), pa.array(ids[j]), pa.array(best_i[j, c]), pa.array(best_s[j, c])], names=["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
 def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int = 5, keep: int = KEEP, block: int = QUERY_BLOCK) -> DataFrame:
-    """The k nearest rows of index for each of queries (vec_id, embedding): query_id, rank, vec_id, score."""
+    """The k nearest rows of index (as written) for each of queries, which are rows of it: query_id, rank, vec_id, score."""
     spark = index.sparkSession
     blocks = max(1, math.ceil(queries.count() / block))
     found = None
     for n in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).select("vec_id", "embedding").dropDuplicates(["vec_id"]).toArrow()
+        got = queries.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == n).select("row", "vec_id", "embedding").toArrow()
         if not got.num_rows:
             continue
-        values = (got.column(0).to_numpy(), _matrix(got.column(1).combine_chunks(), quantiser.dims))
-        part = saved(index.mapInArrow(_search_block(quantiser, spark.sparkContext.broadcast(values), k, keep), "query_id long, vec_id long, score double"), f"nearest-{n}")
+        values = (got.column(0).to_numpy(), got.column(1).to_numpy(), _matrix(got.column(2).combine_chunks(), quantiser.dims))
+        part = saved(index.mapInArrow(_search_block(quantiser, spark.sparkContext.broadcast(values), k, keep), "query_row long, query_id long, vec_id long, score double"), f"nearest-{n}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest(table: DataFrame, asked: Column, k: int = 5) -> DataFrame:
+    """The k nearest other rows for each row of (vec_id, embedding) for which `asked` holds: query_id, rank, vec_id, score."""
+    rows = saved(valid(table), "vectors")
+    found = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in lengths(rows):
+        own = rows.where(F.size("embedding") == d)
+        quantiser = fitted(own)
+        index = saved(indexed(own, quantiser), "vector-index")
+        found = found.unionByName(search(index, quantiser, index.where(asked), k))
+    return found
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = saved(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
-    quantiser = fitted(rows)
-    if quantiser is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = saved(indexed(rows, quantiser), "vector-index")
-    return search(index, quantiser, index.where(F.col("vec_id") % 50 == 0))
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)

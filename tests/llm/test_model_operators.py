@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import language, lm, nearest, sentencepiece, token_store
 
@@ -166,6 +167,22 @@ def test_nearest_recall_and_edges(spark):
     assert [v for _, v, _ in sorted(got[50])] == [3000, 3001, 3002, 3003, 3004]
     assert nearest.op3_nearest.__name__ == "op3_nearest"
 
+def test_nearest_of_repeated_ids_and_mixed_lengths(spark):
+    r = np.random.default_rng(4)
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.1]), (50, [1.0, 0.0]), (7, [0.0, 1.0]), (100, [1.0, 2.0, 3.0]), (8, [3.0, 2.0, 1.0]), (150, [5.0])]
+    rows += [(k + 1000, [float(v) for v in r.normal(size=2 + k % 2)]) for k in range(1, 49)]
+    got = {}
+    for g in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0, k=3).collect():
+        got.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], round(g["score"], 9)))
+    want = {}
+    for i, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            near = sorted((-round(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), 9), c) for j, (c, w) in enumerate(rows) if j != i and len(w) == len(v))
+            want.setdefault(q, []).extend((n + 1, c, -s) for n, (s, c) in enumerate(near[:3]))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items() if x}
+    assert len(got[50]) == 9 and 150 not in got
+
+
 
 def corpus(n, seed=0):
     r = np.random.default_rng(seed)
