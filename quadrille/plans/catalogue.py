@@ -111,9 +111,8 @@ def column_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hv_intersections(spark: SparkSession, d: str) -> DataFrame:
-    met = split.intersections(_merged(spark, d), Options().bucket_power)
-    strict = (F.col("y") > F.col("v_lo")) & (F.col("y") < F.col("v_hi")) & (F.col("x") > F.col("h_lo")) & (F.col("x") < F.col("h_hi"))
-    return met.groupBy("group_id").agg(F.count(F.lit(1)).alias("meetings"), F.count(F.when(strict, 1)).alias("crossings"))
+    at = split.meetings(_merged(spark, d), Options().bucket_power)
+    return at.groupBy("group_id").agg(F.sum(F.col("v") * F.col("h")).alias("meetings"), F.sum(F.col("v_inside") * F.col("h_inside")).alias("crossings"))
 
 
 def split_segments(spark: SparkSession, d: str) -> DataFrame:

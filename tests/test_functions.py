@@ -67,6 +67,35 @@ def test_intersections_of_all_lengths(spark):
     assert all(len(known[g][k]) <= 9 for g in range(3) for k in ("h_levels", "v_levels"))
 
 
+def test_split_and_meetings_of_crowded_lines(spark):
+    """Against plain loops; where many segments overlap, every point counts once, not once for each pair that meets there."""
+    r = random.Random(8)
+    segs = {}
+    for _ in range(500):
+        lo = r.randrange(12)
+        segs[(r.randrange(2), r.choice("HV"), r.randrange(12), lo, lo + r.randrange(1, 9))] = (r.choice([-1, 1]), r.choice([-1, 0, 1]))
+    table = spark.createDataFrame([(*k, *w) for k, w in segs.items()], "group_id long, orient string, pos int, lo int, hi int, subj long, clip long")
+    cover = {}
+    for g, o, pos, lo, hi in segs:
+        for at in range(lo, hi + 1):
+            x, y = (pos, at) if o == "V" else (at, pos)
+            n = cover.setdefault((g, x, y), {"V": [0, 0], "H": [0, 0]})[o]
+            n[0], n[1] = n[0] + 1, n[1] + (lo < at < hi)
+    met = {k: (n["V"][0], n["H"][0], n["V"][1], n["H"][1]) for k, n in cover.items() if n["V"][0] and n["H"][0]}
+    want = {}
+    for (g, o, pos, lo, hi), w in segs.items():
+        cuts = [lo, *(at for at in range(lo + 1, hi) if ((g, pos, at) if o == "V" else (g, at, pos)) in met), hi]
+        for a, b in zip(cuts, cuts[1:]):
+            s = want.setdefault((g, o, pos, a, b), [0, 0])
+            s[0], s[1] = s[0] + w[0], s[1] + w[1]
+    want = {k: tuple(w) for k, w in want.items() if any(w)}
+    assert split.meeting_points(table).count() == len(met) < split.intersections(table).count() / 5
+    for power in (0, 3):
+        assert {tuple(p[:3]): tuple(p[3:]) for p in split.meetings(table, power).select("group_id", "x", "y", "v", "h", "v_inside", "h_inside").collect()} == met
+        got = split.split(table, power).select("group_id", "orient", "pos", "lo", "hi", "subj", "clip").collect()
+        assert len(got) == len(want) and {tuple(p[:5]): tuple(p[5:]) for p in got} == want
+
+
 def test_sources_round_trip(spark, tmp_path):
     table = from_rects(spark, [(0, "subject", 0, 0, 2, 2, False), (1, "clip", 0, 0, 3, 3, True)])
     for kind in ("parquet", "json", "orc"):
