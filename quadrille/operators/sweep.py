@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import floor_log2
+from ..tables import saved
 from .edges import merge, segments
 
 BLOCK = 5  # log2 of the strips in a block
+ROWS = 1 << 19  # horizontals for each partition of the sweep, where there are more partitions than usual
+FEW = 1 << 17  # coarse buckets that are broadcast at most
 COARSE = 12  # log2 of the coordinates in a coarse bucket of the ranking: so many rows at most in one of its windows
 
 
@@ -44,28 +48,75 @@ def _horizontals(contours: DataFrame) -> DataFrame:
     return merge(segments(contours).where("orient = 'H'"))
 
 
+def _ends(h: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(group_id, x) on disk: the distinct ends of horizontals; how many horizontals there are; and whether many of them coincide. One pass."""
+    seen = Observation()
+    kinds = F.approx_count_distinct(F.xxhash64("group_id", "pos", "lo", "hi"))
+    watched = h.observe(seen, F.count(F.lit(1)).alias("n"), kinds.alias("kinds"))
+    xs = saved(watched.select("group_id", F.explode(F.array("lo", "hi")).alias("x")).distinct(), "sweep-ends")
+    if not xs.take(1):  # nothing may have been observed then
+        return xs, 0, False
+    n, kinds = seen.get["n"], seen.get["kinds"]
+    return xs, n, n > 2 * kinds
+
+
+def _dealt(xs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group_id, c, first, shift): where the blocks of every coarse bucket that holds an end begin, and how wide they are; a block's number is
+    first + ((x within the bucket) >> shift). And (group_id, block, borders): the ends that a block holds, and the first of the next block.
+
+    A bucket of m ends is cut into as many blocks of equal width as m has 2**BLOCK; buckets with fewer share blocks. So blocks follow the
+    data, empty buckets have none, and numbers ascend with x. A block holds at most its width or its bucket's ends.
+    """
+    at = xs.withColumn("c", F.shiftright("x", COARSE))
+    over = Window.partitionBy("group_id").orderBy("c")
+    coarse = at.groupBy("group_id", "c").agg(F.count(F.lit(1)).alias("m"))
+    cut = floor_log2(F.greatest(F.shiftright("m", BLOCK), F.lit(1).cast("long")))
+    coarse = coarse.select("group_id", "c", F.shiftright(F.sum("m").over(over) - F.col("m"), BLOCK).alias("first"), (F.lit(COARSE) - cut).alias("shift"))
+    coarse = saved(coarse, "sweep-buckets")  # counted, as Spark's guess of the sizes may send the horizontals instead
+    coarse = coarse.hint("broadcast" if coarse.count() <= FEW else "merge")
+    own = at.join(coarse, ["group_id", "c"]).select("group_id", _block("x", "first", "shift").alias("block"), "x")
+    held = own.groupBy("group_id", "block").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    after = F.lead(F.col("xs")[0]).over(Window.partitionBy("group_id").orderBy("block"))
+    held = held.withColumn("after", after)
+    return coarse, held.select("group_id", "block", F.when(F.col("after").isNull(), F.col("xs")).otherwise(F.concat("xs", F.array("after"))).alias("borders"))
+
+
+def _block(x: str, first: str, shift: str) -> Column:
+    return F.col(first) + F.call_function("shiftright", F.col(x).bitwiseAND(F.lit((1 << COARSE) - 1)), F.col(shift))
+
+
 def slabs(contours: DataFrame) -> DataFrame:
     """(group_id, x0, x1, y0, y1, ws, wc): disjoint rectangles of constant subject and clip winding.
 
     Horizontals alone tell the winding everywhere. A horizontal is sent once to every block of strips that it crosses, and spread over the
-    strips of a block where the block is. That one exchange on (group_id, block) serves the sum per y, the running sum and the strips'
-    coordinates, which come as a row of their own before the strip's first y.
+    strips of a block where the block is. That one exchange on (group_id, block) serves the strips' coordinates and the running sums, which
+    read sorted rows and keep none. Horizontals are merged first, by an exchange of its own, only where many coincide. A first pass over them
+    runs when this is called, and deals as many partitions as ROWS asks for.
     """
-    h = _horizontals(contours)
-    ranks = ranked(h)
-    none = lambda name: F.lit(None).cast("int").alias(name)
-    edges = _placed(h, ranks).select("group_id", "r0", "r1", "y", "subj", "clip", none("x0"), none("x1"))
-    zero = F.lit(0).cast("long")
-    strips = ranks.where("x1 is not null").select("group_id", F.col("r").alias("r0"), (F.col("r") + 1).alias("r1"), none("y"), zero.alias("subj"), zero.alias("clip"), F.col("x").alias("x0"), "x1")
-    sent = _in_blocks(edges.unionByName(strips)).repartition("group_id", "block")
-    spread = sent.select("group_id", "block", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("r"), "y", "subj", "clip", "x0", "x1")
-    per_y = spread.groupBy("group_id", "block", "r", "y").agg(F.sum("subj").alias("ds"), F.sum("clip").alias("dc"), F.max("x0").alias("x0"), F.max("x1").alias("x1")).where("ds <> 0 or dc <> 0 or y is null")
-    w = Window.partitionBy("group_id", "block", "r").orderBy(F.col("y").asc_nulls_first())
+    raw = segments(contours).where("orient = 'H'")
+    xs, n, crowded = _ends(raw)
+    parts = max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS)
+    h = merge(raw) if crowded else raw
+    coarse, strips = _dealt(xs)
+    of = lambda x: coarse.select("group_id", F.col("c").alias(f"c_{x}"), F.col("first").alias(f"first_{x}"), F.col("shift").alias(f"shift_{x}"))
+    at = h.withColumns({"c_lo": F.shiftright("lo", COARSE), "c_hi": F.shiftright("hi", COARSE)}).join(of("lo"), ["group_id", "c_lo"]).join(of("hi"), ["group_id", "c_hi"])
+    crossed = F.explode(F.sequence(_block("lo", "first_lo", "shift_lo"), _block("hi", "first_hi", "shift_hi")))
+    sent = at.select("group_id", crossed.alias("block"), F.col("pos").alias("y"), "lo", "hi", "subj", "clip").repartition(parts, "group_id", "block")
+    here = sent.join(strips.repartition(parts, "group_id", "block").hint("shuffle_hash"), ["group_id", "block"])
+    b = F.col("borders")
+    begin = F.when(F.col("lo") <= b[0], 1).otherwise(F.array_position(b, F.col("lo")).cast("int"))
+    end = F.when(F.col("hi") >= F.element_at(b, -1), F.size(b)).otherwise(F.array_position(b, F.col("hi")).cast("int"))
+    cut = here.select("group_id", "block", "y", "subj", "clip", "borders", begin.alias("begin"), end.alias("end")).where("begin < end")
+    spread = cut.select("group_id", "block", F.explode(F.sequence("begin", F.col("end") - 1)).alias("k"), "y", "subj", "clip", "borders")
+    spread = spread.select("group_id", "block", F.element_at("borders", F.col("k")).alias("x0"), F.element_at("borders", F.col("k") + 1).alias("x1"), "y", "subj", "clip")
+    w = Window.partitionBy("group_id", "block", "x0").orderBy("y")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    swept = per_y.select(
-        "group_id", F.max("x0").over(upto).alias("x0"), F.max("x1").over(upto).alias("x1"), F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), F.sum("ds").over(upto).alias("ws"), F.sum("dc").over(upto).alias("wc")
-    )
-    return swept.where("y0 is not null and y1 is not null")
+    sums = spread.select("group_id", "block", "x0", "x1", "y", F.sum("subj").over(upto).alias("ws"), F.sum("clip").over(upto).alias("wc"), F.lead("y").over(w).alias("after"))
+    last = sums.where("after is null or after <> y")  # of each y
+    old = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0).cast("long"))
+    turns = last.select("group_id", "block", "x0", "x1", "y", "ws", "wc", ((F.col("ws") != old("ws")) | (F.col("wc") != old("wc"))).alias("turns")).where("turns")
+    swept = turns.select("group_id", "x0", "x1", F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), "ws", "wc")
+    return swept.where("y1 is not null")
 
 
 def merged(slab_table: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.model import CONTOURS, ContourDirection, FillRule, Options, OverlayRule
 from quadrille.operators import boundary, sweep
@@ -140,6 +141,19 @@ def test_long_edges_are_sent_once_per_block_and_regions_are_wide(spark):
     assert counts[1][0] <= 2.5 * counts[0][0] and counts[1][1] > 3 * counts[0][1]
 
 
+def test_sweep_sends_sparse_horizontals_once_and_sums_sorted_rows(spark):
+    """Far, near and crowded coordinates, where blocks are shared or cut; no hash table of horizontals or of their strips where few coincide."""
+    r = random.Random(4)
+    spots = [(r.randrange(-(2**30), 2**30), r.randrange(50)) for _ in range(300)] + [(r.randrange(5000), r.randrange(50)) for _ in range(900)]
+    rects = [(g, "subject", x, y, x + r.choice([1, 7, 40, 2**20]), y + r.randrange(1, 9), False) for g, (x, y) in enumerate(spots)]
+    rects = [(g % 2, *rest) for g, *rest in rects]
+    o = Overlay(from_rects(spark, rects))
+    assert not [line for line in o.slabs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line and "subj" in line]
+    got = {p["group_id"]: p["a"] for p in o.slabs.groupBy("group_id").agg(F.expr("sum(ws * (cast(x1 as long) - x0) * (y1 - y0))").alias("a")).collect()}
+    assert got == {k: sum((x1 - x0) * (y1 - y0) for g, _, x0, y0, x1, y1, _ in rects if g == k) for k in (0, 1)}
+    assert sweep._ends(sweep.segments(o.contours).where("orient = 'H'"))[1:] == (2 * len(rects), False)
+
+
 def test_links_have_even_degree_and_strips_close(spark):
     o = Overlay(from_rects(spark, random_groups(5, 20, 12, 4)))
     degrees = {r["degree"] for r in boundary.nodes(o.links(OverlayRule.XOR)).collect()}
