@@ -17,7 +17,7 @@ class Overlay:
     """Contours (subject and clip, by group_id) made ready once; every rule and fill reads the same slabs, swept anew for each action or,
     after stored(), read from a table.
 
-    Invalid rings are set aside in `rejects` with a reason. Nothing runs until a result is acted upon, but for shapes() and flat_contours(),
+    Invalid rings are set aside in `rejects` with a reason. Nothing runs until a result is acted upon, but for the first pass of the sweep and shapes() and flat_contours(),
     which write intermediate tables to the shared folder when called.
     """
 
