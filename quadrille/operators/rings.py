@@ -17,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import ring_area2, rotated_to_smallest
+from ..functions.geometry import following, ring_area2, rotated_to_smallest
 from ..functions.rules import included, top_inside
 from ..model import ContourDirection, Options, OverlayRule
-from ..tables import saved
+from ..tables import forget, saved
+from . import corners
 from .graph import components, cycles, numbered, ordered_ids
 
 _POINTS = "array<struct<x:int,y:int>>"
@@ -147,37 +148,121 @@ def _rings(edge_table: DataFrame, ranks: DataFrame, options: Options) -> DataFra
     return out
 
 
-def _traced(masked: DataFrame, rule: OverlayRule, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def traced_links(masked: DataFrame, rule: OverlayRule, options: Options = Options(), bind: bool = True) -> DataFrame:
+    """(id, group_id, hole, points, owner): the rings that are shown, with the outer ring of their shape."""
+    if not options.preserve_output_collinear:
+        return traced(corners.of_links(masked, rule), options, bind)
     piece_table = saved(pieces(masked, rule, options), "ring-pieces")
     edge_table = edges_of(piece_table)
     ranks = saved(ranked_rings(edge_table), "ring-ranks")
-    return piece_table, edge_table, ranks, saved(_rings(edge_table, ranks, options), "rings")
+    each = saved(_rings(edge_table, ranks, options), "rings")
+    parents = owners(piece_table, edge_table, ranks).select(F.col("hole").alias("id"), "owner")
+    outer = each.where("not hole").withColumn("owner", F.col("id"))
+    return outer.unionByName(each.where("hole").join(parents, "id").select(*outer.columns))
 
 
-def _bound(traced: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """(id, group_id, hole, points, owner): rings with the outer ring of their shape; without the holes of outer rings that aren't shown."""
-    piece_table, edge_table, ranks, shown = traced
-    outer = shown.where("not hole").withColumn("owner", F.col("id"))
-    parents = owners(piece_table, edge_table, ranks).select(F.col("hole").alias("id"), "owner")
-    inner = shown.where("hole").join(parents, "id").join(outer.select(F.col("id").alias("owner")), "owner", "left_semi")
-    return outer.unionByName(inner.select(*outer.columns))
+def traced(corner_table: DataFrame, options: Options = Options(), bind: bool = True) -> DataFrame:
+    """The same out of corners: rings closed nearby, the others by links along lines and pointer doubling. Unless bind, owners of holes may be null."""
+    laid = saved(corner_table, "ring-corners")
+    parts = saved(corners.near(corners.verticals(laid)), "ring-parts")
+    forget(laid)
+    each = parts.where("points is not null").select("id", "group_id", "hole", "points", "owner", "x", "floor")
+    loose = parts.where("points is null").select("id", "group_id", "x", "y0", "y1", "top", "r0", "t0", "r1", "t1", "floor")
+    if loose.take(1):
+        each = each.unionByName(saved(_linked_rings(loose), "ring-rest"))
+    lost = each.where("owner is null").select("id", "group_id", "x", "floor")
+    if bind and lost.take(1):
+        found = saved(_owners(each, lost), "ring-owners-all")
+        each = each.join(found.withColumnRenamed("owner", "_owner"), "id", "left").withColumn("owner", F.coalesce("owner", "_owner"))
+    points = F.reverse("points") if ContourDirection(options.output_direction) is ContourDirection.CLOCKWISE else F.col("points")
+    if ContourDirection(options.output_direction) is ContourDirection.CLOCKWISE:
+        points = F.concat(F.slice(points, -1, 1), F.slice(points, F.lit(1), F.size(points) - 1))  # begun at the smallest again
+    out = each.select("id", "group_id", "hole", F.explode(F.array(points)).alias("points"), "owner")
+    if options.min_output_area:
+        out = out.where(F.abs(ring_area2(F.col("points"))) >= 2 * options.min_output_area)
+    return out
+
+
+def _linked_rings(loose: DataFrame) -> DataFrame:
+    """(id, group_id, hole, points, owner, x, floor): rings of verticals that no piece holds whole, or with touching corners; owner is that of outer rings."""
+    ends = saved(corners.ends_of(loose), "ring-ends")
+    left = saved(cycles(corners.linked(ends, "left"), "ring-left"), "ring-cycles")
+    ranks = left
+    touching = ends.where("touch").groupBy("group_id", "x", "y").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    own = lambda k, r: left.select(F.col("id").alias(k), F.col("ring").alias(r))
+    met = saved(touching.join(own("a", "ra"), "a").join(own("b", "rb"), "b").select("ra", "rb"), "ring-touches")
+    if met.take(1):
+        roots = components(met.where("ra <> rb").select(F.col("ra").alias("u"), F.col("rb").alias("v")), "ring-clusters")
+        both = met.select(F.explode(F.array("ra", "rb")).alias("ra")).distinct()
+        members = both.join(roots, F.col("ra") == F.col("node"), "left").select("ra", F.coalesce("root", "ra").alias("root"))
+        members = members.join(loose.select(F.col("id").alias("ra"), F.col("top").alias("hole")), "ra")
+        holed = members.groupBy("root").agg(F.max("hole").alias("hole")).where("hole").select("root")
+        changed = saved(members.join(holed, "root").select(F.col("ra").alias("ring")), "ring-changed")
+        if changed.take(1):
+            apart = left.join(changed, "ring", "left_semi").select("id")
+            again = cycles(corners.linked(ends, "right").join(apart, "id", "left_semi"), "ring-right")
+            ranks = left.join(changed, "ring", "left_anti").select("id", "ring", "ahead").unionByName(again)
+    point = lambda y: F.struct("x", F.col(y).alias("y"))
+    way = F.when(F.col("top"), F.array(point("y0"), point("y1"))).otherwise(F.array(point("y1"), point("y0")))
+    first = F.col("ahead") == 0
+    steps = loose.join(ranks, "id").select("ring", "group_id", F.struct(F.when(first, F.lit(-(1 << 62))).otherwise(-F.col("ahead")).alias("k"), way.alias("way")).alias("p"), *[F.when(first, F.col(c)).alias(c) for c in ("top", "x", "floor")])
+    whole = steps.groupBy("ring", "group_id").agg(F.sort_array(F.collect_list("p")).alias("p"), *[F.max(c).alias(c) for c in ("top", "x", "floor")])
+    out = whole.select(F.col("ring").alias("id"), "group_id", F.col("top").alias("hole"), F.explode(F.array(F.flatten(F.col("p.way")).cast(_POINTS))).alias("points"), F.when(~F.col("top"), F.col("ring")).alias("owner"), "x", "floor")
+    return out.withColumn("points", rotated_to_smallest(F.col("points")))
+
+
+def _owners(each: DataFrame, lost: DataFrame) -> DataFrame:
+    """(id, owner): the outer rings of the shapes of lost holes: the last edge with the result above that begins on the floor's line up to the hole's smallest point."""
+    nowhere = lost.where("floor is null").first()
+    if nowhere is not None:
+        raise ValueError(f"no shape below the hole at x = {nowhere['x']} of group {nowhere['group_id']}")
+    lost = saved(lost.select("group_id", F.col("floor").alias("y"), "x", "id"), "ring-lost")
+    around = F.explode(F.arrays_zip(F.col("points").alias("p"), following(F.col("points")).alias("q")))
+    tops = each.select("id", "hole", "owner", "group_id", around.alias("e")).where("e.p.y = e.q.y and e.p.x < e.q.x")
+    tops = tops.select("group_id", F.col("e.p.y").alias("y"), F.col("e.p.x").alias("x"), F.struct("id", "owner").alias("floor")).join(lost.select("group_id", "y").distinct(), ["group_id", "y"], "left_semi")
+    nothing = F.lit(None).cast("struct<id:long,owner:long>")
+    line = Window.partitionBy("group_id", "y").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = tops.select("*", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("hole")).unionByName(lost.select("group_id", "y", "x", nothing.alias("floor"), F.lit(1).alias("kind"), F.col("id").alias("hole")))
+    found = rows.withColumn("floor", F.last("floor", ignorenulls=True).over(line)).where("kind = 1")
+    ups = saved(found.select("hole", F.coalesce("floor.owner", "floor.id").alias("owner"), F.col("floor.owner").isNull().alias("open")), "ring-owners")
+    turn = 0
+    while ups.where("open").take(1):
+        over = ups.select(F.col("hole").alias("owner"), F.col("owner").alias("next"), F.col("open").alias("still"))
+        far = ups.where("open").join(over, "owner").select("hole", F.col("next").alias("owner"), F.col("still").alias("open"))
+        ups, turn = saved(ups.where("not open").unionByName(far), f"ring-owners-{turn}"), turn + 1
+    return ups.select(F.col("hole").alias("id"), "owner")
+
+
+def _bound(shown: DataFrame) -> DataFrame:
+    """shown without the holes of outer rings that aren't shown."""
+    outer = shown.where("not hole")
+    return outer.unionByName(shown.where("hole").join(outer.select(F.col("id").alias("owner")), "owner", "left_semi").select(*outer.columns))
 
 
 def shapes(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
+    """(group_id, shape_id, contours) out of boundary links, as shapes_of."""
+    return shapes_of(traced_links(masked, rule, options), options)
+
+
+def shapes_of(rings: DataFrame, options: Options = Options()) -> DataFrame:
     """(group_id, shape_id, contours): contour 0 is the outer ring, the rest are its holes; each begun at its smallest point. Shapes
     count from 0 within a group, in ascending order of the least edge of their outer ring, as the holes of a shape."""
-    bound = _bound(_traced(masked, rule, options))
+    bound = saved(_bound(rings) if options.min_output_area else rings, "rings")
     order = numbered(bound.where("not hole").select("id", "group_id"), "group_id", "shape_id")
     contour = F.sort_array(F.collect_list(F.struct("hole", "id", "points")))
-    whole = bound.groupBy("owner").agg(contour.alias("c")).select(F.col("owner").alias("id"), F.transform("c", lambda c: c["points"]).alias("contours"))
+    whole = bound.groupBy("owner").agg(contour.alias("c")).select(F.col("owner").alias("id"), F.col("c.points").alias("contours"))
     return order.join(whole, "id").select("group_id", F.col("shape_id").cast("int").alias("shape_id"), "contours")
 
 
 def flat_contours(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
+    """(group_id, contour_id, is_hole, points) out of boundary links, as flat_contours_of."""
+    return flat_contours_of(traced_links(masked, rule, options, bool(options.min_output_area)), options)
+
+
+def flat_contours_of(rings: DataFrame, options: Options = Options()) -> DataFrame:
     """(group_id, contour_id, is_hole, points): rings alone. Outer rings count from 0 within a group, in ascending order of their least edge;
     holes follow them."""
-    traced = _traced(masked, rule, options)
-    shown = _bound(traced) if options.min_output_area else traced[3]  # the holes of dropped outer rings go with them
+    shown = saved(_bound(rings) if options.min_output_area else rings, "rings")  # the holes of dropped outer rings go with them
     each = [numbered(shown.where(F.col("hole") == h).select("id", "group_id", "points"), "group_id", "k").withColumn("is_hole", F.lit(h)) for h in (False, True)]
     outers = shown.where("not hole").groupBy("group_id").agg(F.count(F.lit(1)).alias("outers"))
     holes = each[1].join(outers, "group_id").withColumn("k", F.col("k") + F.col("outers")).drop("outers")

@@ -86,7 +86,12 @@ def _block(x: str, first: str, shift: str) -> Column:
 
 
 def slabs(contours: DataFrame) -> DataFrame:
-    """(group_id, x0, x1, y0, y1, ws, wc): disjoint rectangles of constant subject and clip winding.
+    """(group_id, x0, x1, y0, y1, ws, wc): disjoint rectangles of constant subject and clip winding."""
+    return swept(contours).drop("block")
+
+
+def swept(contours: DataFrame) -> DataFrame:
+    """slabs with the block of strips that a slab is in, by which they are dealt.
 
     Horizontals alone tell the winding everywhere. A horizontal is sent once to every block of strips that it crosses, and spread over the
     strips of a block where the block is. That one exchange on (group_id, block) serves the strips' coordinates and the running sums, which
@@ -115,8 +120,8 @@ def slabs(contours: DataFrame) -> DataFrame:
     last = sums.where("after is null or after <> y")  # of each y
     old = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0).cast("long"))
     turns = last.select("group_id", "block", "x0", "x1", "y", "ws", "wc", ((F.col("ws") != old("ws")) | (F.col("wc") != old("wc"))).alias("turns")).where("turns")
-    swept = turns.select("group_id", "x0", "x1", F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), "ws", "wc")
-    return swept.where("y1 is not null")
+    each = turns.select("group_id", "block", "x0", "x1", F.col("y").alias("y0"), F.lead("y").over(w).alias("y1"), "ws", "wc")
+    return each.where("y1 is not null")
 
 
 def merged(slab_table: DataFrame) -> DataFrame:
