@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +15,12 @@ def cross(a: Column, b: Column, c: Column) -> Column:
 
 
 def turns(a: Column, b: Column, c: Column) -> Column:
-    """cross(a, b, c) != 0, also where the products leave 64 bits."""
+    """cross(a, b, c) != 0, also where the products leave 64 bits. Where an edge runs along an axis one product is 0, and differences tell."""
     far = lambda p, q: (F.abs(p["x"].cast("long") - q["x"]) > 2**30) | (F.abs(p["y"].cast("long") - q["y"]) > 2**30)
     wide = lambda p: F.struct(p["x"].cast("decimal(18,0)").alias("x"), p["y"].cast("decimal(18,0)").alias("y"))
     d = lambda p, q, k: wide(p)[k] - wide(q)[k]
-    return F.when(far(a, b) | far(c, b), d(a, b, "x") * d(c, b, "y") != d(a, b, "y") * d(c, b, "x")).otherwise(cross(a, b, c) != 0)
+    upright, level = F.when(a["x"] == b["x"], (a["y"] != b["y"]) & (c["x"] != b["x"])), a["y"] == b["y"]
+    return upright.when(level, c["y"] != b["y"]).when(far(a, b) | far(c, b), d(a, b, "x") * d(c, b, "y") != d(a, b, "y") * d(c, b, "x")).otherwise(cross(a, b, c) != 0)
 
 
 def dot(a: Column, b: Column, c: Column) -> Column:
@@ -50,21 +54,59 @@ def ring_edges(points: Column) -> Column:
     return F.when(F.size(points) >= 3, edges.cast(kind)).otherwise(F.array().cast(kind))
 
 
-def _kept(points: Column, keep) -> Column:
-    triples = F.arrays_zip(preceding(points).alias("a"), points.alias("b"), following(points).alias("c"))
-    kind = "array<struct<a:struct<x:int,y:int>,b:struct<x:int,y:int>,c:struct<x:int,y:int>>>"
-    kept = F.filter(triples.cast(kind), lambda t: keep(t["a"], t["b"], t["c"]))
-    return F.when(F.size(points) >= 3, F.transform(kept, lambda t: t["b"])).otherwise(points)
+def _turning(points: pa.Array, straight: bool) -> pa.Array:
+    """Rings without points at which they don't turn, or, if straight, without spikes alone; rings of fewer than 3 points as they are. All points of a
+    batch at once; equal products modulo 2**64 are equal if their doubles are near."""
+    if isinstance(points, pa.ChunkedArray):
+        points = points.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = points.flatten()
+    n, stops = len(flat), np.cumsum(sizes)
+    begins, short = stops - sizes, np.repeat(sizes < 3, sizes)
+    at = np.arange(n)
+    before, after = at - 1, at + 1
+    some = sizes > 0
+    before[begins[some]], after[stops[some] - 1] = stops[some] - 1, begins[some]
+    known = np.ones(n, bool)
+    xy = []
+    for c in ("x", "y"):
+        v = pc.struct_field(flat, c)
+        known &= v.is_valid().to_numpy(zero_copy_only=False)
+        xy.append(pc.fill_null(v, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    (ax, ay), (cx, cy) = ([v[k] - v for v in xy] for k in (before, after))
+    with np.errstate(over="ignore"):
+        p, q = ax * cy, ay * cx
+        keep = (p != q) | (np.abs(ax.astype(float) * cy - ay.astype(float) * cx) > 2.0**62)
+        if straight:
+            far = ax.astype(float) * cx + ay.astype(float) * cy
+            keep |= np.where(np.abs(far) > 2.0**61, far < 0, ax * cx + ay * cy < 0)
+    keep = (keep & known & known[before] & known[after]) | short
+    lengths = np.add.reduceat(np.append(keep, False).astype(np.int64), np.minimum(begins, n)) * some if len(sizes) else sizes
+    offsets = pa.array(np.append(0, np.cumsum(lengths)), pa.int32(), mask=np.append(~points.is_valid().to_numpy(zero_copy_only=False), False) if points.null_count else None)
+    return pa.ListArray.from_arrays(offsets, flat.filter(pa.array(keep)))
+
+
+_RING = "array<struct<x:int,y:int>>"
 
 
 def drop_collinear(points: Column) -> Column:
     """The ring without points at which it doesn't turn: straight ones and spikes."""
-    return _kept(points, turns)
+
+    @F.arrow_udf(_RING)
+    def turning(rings: pa.Array) -> pa.Array:
+        return _turning(rings, False)
+
+    return turning(points)
 
 
 def drop_opposite_collinear(points: Column) -> Column:
     """The ring without spikes; straight points stay."""
-    return _kept(points, lambda a, b, c: turns(a, b, c) | (dot(a, b, c) < 0))
+
+    @F.arrow_udf(_RING)
+    def turning(rings: pa.Array) -> pa.Array:
+        return _turning(rings, True)
+
+    return turning(points)
 
 
 def ring_area2(points: Column) -> Column:

@@ -64,10 +64,11 @@ def drop_collinear_points(spark: SparkSession, d: str) -> DataFrame:
     """Points left of rings with points along their lower side and a spike beyond their upper right corner, without all points at which they
     don't turn and without spikes alone; and the area of what is left."""
     p = lambda x, y: F.struct(F.expr(x).cast("int").alias("x"), F.expr(y).cast("int").alias("y"))
-    along = F.transform(F.expr("sequence(x0, x1)"), lambda x: F.struct(x.cast("int").alias("x"), F.col("y0").alias("y")))
+    xs = F.expr("sequence(x0, x1)")
+    along = F.arrays_zip(xs.alias("x"), F.array_repeat("y0", F.col("x1") - F.col("x0") + 1).alias("y"))
     ring = F.concat(along, F.array(p("x1", "y1 + 2"), p("x1", "y1"), p("x0", "y1")))
     c = lineitem_rects(spark, d).select("group_id", F.explode(F.array(ring)).alias("points"))
-    c = c.select("group_id", F.size("points").alias("before"), F.explode(F.array(drop_collinear(F.col("points")))).alias("kept"), F.size(drop_opposite_collinear(F.col("points"))).alias("no_spikes"))
+    c = c.select("group_id", F.size("points").alias("before"), drop_collinear(F.col("points")).alias("kept"), F.size(drop_opposite_collinear(F.col("points"))).alias("no_spikes"))
     total = lambda x, name: F.sum(x).cast("long").alias(name)
     return c.groupBy("group_id").agg(total("before", "n_before"), total(F.size("kept"), "n_points"), total("no_spikes", "n_without_spikes"), total(F.abs(ring_area2(F.col("kept"))) / 2, "gross_area"))
 
