@@ -20,14 +20,17 @@ def quarantine(contours: DataFrame) -> tuple[DataFrame, DataFrame]:
         across, up = F.when(p["x"] != q["x"], 1).otherwise(0), F.when(p["y"] != q["y"], 1).otherwise(0)
         return F.when(p.isNull() | p["x"].isNull() | p["y"].isNull(), 3).otherwise(across + up)
 
-    worst = F.array_max(F.zip_with(points, following(points), step))
+    # written out for rings of four, as most are: a function over an array's elements is interpreted, not compiled
+    at = [F.get(points, k) for k in range(4)]
+    four = F.greatest(*[step(at[k], at[(k + 1) % 4]) for k in range(4)])
+    worst = F.when(F.size(points) == 4, four).otherwise(F.array_max(F.zip_with(points, following(points), step)))
     known = F.coalesce(F.col("shape_type").isin([s.value for s in ShapeType]), F.lit(False))
     fault = (
         F.when(~known, "unknown shape type")
         .when(points.isNull() | (F.size(points) < 3), "fewer than 3 points")
         .otherwise(F.element_at(F.array(F.lit("zero length"), F.lit(None), F.lit("diagonal edge"), F.lit("null point")), worst + 1))
     )
-    checked = ready.select("*", F.explode(F.array(fault)).alias("reason"))
+    checked = ready.select("*", fault.alias("reason"))  # not in an explode, which would interpret it
     return checked.where("reason is null").select(*contours.columns), checked.where("reason is not null").select(*contours.columns, "reason")
 
 

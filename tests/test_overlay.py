@@ -210,3 +210,10 @@ def test_workloads(spark, name, rule, area):
     assert o.area(OverlayRule(rule), FillRule.POSITIVE).count() == 0  # the rings run clockwise
     if name == "windows":
         assert [len(r["contours"]) for r in o.shapes(OverlayRule.DIFFERENCE).collect()] == [2] * n * n
+
+
+def test_rings_are_checked_by_compiled_code(spark):
+    """An explode of the reason once interpreted the whole check, for every ring."""
+    o = Overlay(from_rects(spark, [(0, "subject", 0, 0, 1, 1, False)]))
+    assert "reason" not in [c for line in o.contours._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line for c in line.replace("#", " ").replace("[", " ").split()]
+    assert o.contours.count() == 1
