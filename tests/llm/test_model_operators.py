@@ -303,6 +303,65 @@ def test_lm_classes():
     assert lm.classes_of(ids, np.array([0, 6]), closing).tolist() == [2 * f + 1, 2 * f, 4, 4, 5, 6, 2 * f + 1, 2 * f]
 
 
+def test_lm_words_before():
+    # back to the last word that is no function word, CHAIN words at most, never beyond the text's beginning
+    r = np.random.default_rng(1)
+    names = r.choice([0, 1, 2, 40, 41, 1 << 20], 400)
+    begins = np.array([0, 1, 2, 50, 300])
+    want = []
+    for k in range(len(names)):
+        own, start = [], begins[begins <= k].max()
+        while len(own) < lm.CHAIN and k - len(own) > start and (not own or own[-1] < lm.FUNCTION):
+            own.append(int(names[k - len(own) - 1]))
+        want.append((tuple(own), len(own) < lm.CHAIN and (not own or own[-1] < lm.FUNCTION)))
+    got = lm.chains_of(names, begins).tolist()
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) > 50
+
+
+def test_lm_words_before_give_a_distribution():
+    r = np.random.default_rng(7)
+    cells = r.integers(0, 30, (9, lm.CLASSES)).astype(np.float32)
+    tree, logits = lm.dictionary_logits(cells)
+    context, cls, symbol = (x.ravel() for x in np.meshgrid(np.arange(40), [3, 8, 20], np.arange(9), indexing="ij"))
+    n = r.integers(0, 9, len(symbol)) * (r.random(len(symbol)) < 0.3) * (context > 1)
+    n[(context == 1) & (cls == 3) & (symbol == 4)] = 1
+    gain = lm.sharpened(context, cls, symbol, n, tree.paths(), logits)
+    mass = (10.0 ** (lm.table_of(tree, logits)[cls, symbol] + gain)).reshape(40, 3, 9).sum(2)
+    assert np.allclose(mass, 1, atol=1e-4)
+    assert (gain[context < 2] == 0).all() and np.abs(gain[context > 1]).max() > 0.3  # not met, or once: the class alone tells
+    rows = np.zeros(len(symbol), lm.CELL)
+    rows["step"], rows["class"], rows["symbol"], rows["n"] = context, cls, symbol, n
+    twice = np.concatenate([rows, rows[::-1]])  # two blocks' cells count together
+    rows["n"] *= 2
+    assert np.array_equal(lm.gains(twice, tree.paths(), logits)[: len(rows)], lm.gains(rows, tree.paths(), logits))
+    assert np.array_equal(lm.unpacked(lm.packed(rows), len(rows), lm.CELL), rows)
+
+
+def test_lm_tells_words_by_the_word_before(spark, monkeypatch):
+    # 200 words, each with one successor: in this order they are told by the word before, in another order they aren't
+    r = np.random.default_rng(9)
+    words, after = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(200)], r.permutation(200)
+
+    def walk(k):
+        out = [k % 200]
+        while len(out) < 60:
+            out.append(int(r.integers(200)) if r.random() < 0.05 else int(after[out[-1]]))
+        return [words[x] for x in out]
+
+    rows = [(k, walk(k)) for k in range(250)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2][:8]
+    other = [(1000 + k, list(r.permutation(dict(rows)[i]))) for k, i in enumerate(held)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in rows + other], "doc_id long, text string")
+    got = {g["doc_id"]: g["score"] / g["n_tokens"] for g in lm.score(table).collect()}
+    assert all(got[i] > got[1000 + k] + 0.8 for k, i in enumerate(held))
+    monkeypatch.setattr(lm, "BLOCK", 700)
+    many = {g["doc_id"]: g["score"] / g["n_tokens"] for g in lm.score(table).collect()}
+    assert many.keys() == got.keys() and all(abs(many[i] - x) < 1e-4 for i, x in got.items())  # the blocks are no part of the model
+    monkeypatch.setattr(lm, "SHARD", 2000)
+    shards = {g["doc_id"]: g["score"] / g["n_tokens"] for g in lm.score(table).collect()}
+    assert shards.keys() == got.keys() and all(shards[i] > shards[1000 + k] + 0.8 for k, i in enumerate(held))
+
+
 def test_lm_beats_the_base_and_uses_other_words(spark):
     r = np.random.default_rng(2)
     tongues = [["".join(r.choice(list(letters), 4)) for _ in range(150)] for letters in ("abcde", "vwxyz")]
