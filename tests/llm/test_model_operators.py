@@ -1,8 +1,11 @@
 """Token files, SentencePiece, nearest neighbours, language and LM scoring: libraries, brute force, held-out figures, edge cases."""
 
+import heapq
 import math
 import os
+import pathlib
 import struct
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -14,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm import language, lm, nearest, sentencepiece, token_store
+from quadrille.llm.common import shared_dir
 
 TEXTS = [
     None, "", "a", " ", "  x  y\n\n\tz ", "The quick brown fox, isn't it?", "日本語 テスト x", "🙂 ok\r\n", "<s> <|endoftext|>x</s>", "<|ENDOFTEXT|> <|EndOfText|> a<|STARTOFTEXT|>B <|startoftext|><|x|> <| A|B|>", "ﬁ É é ½ İstanbul ΟΔΥΣΣΕΥΣ", "\x01 a\x1cb a\x85b\xa0c !\x1c!",
@@ -393,6 +397,58 @@ def test_lm_words_outside_the_dictionary_use_their_contexts(spark):
     assert all(abs(again[k] - g["score"]) < 1e-6 for k, g in got[3000].items())
 
 
+def test_lm_tokens():
+    texts = pa.array(["  A b\x0bC\x0c\x1cD é X ", None, "", "  \t", "Z", "\0 q\r\nÉA.", "a b "])
+    for part in (texts, texts.slice(2, 3), texts.slice(0, 0)):
+        words, sizes = lm.tokens_of(part)
+        want = [(t or "").encode().lower().split() + [lm.END] for t in part.to_pylist()]
+        assert words.to_pylist() == [w for own in want for w in own] and sizes.tolist() == [len(own) for own in want]
+
+
+def test_lm_tree_against_a_heap():
+    r = np.random.default_rng(12)
+    for n in (1, 2, 3, 500):
+        counts = r.zipf(1.4, n).clip(0, 1000).astype(float)
+        heap = sorted((int(c) + 1, k) for k, c in enumerate(counts))
+        tree, sons = lm.Tree(counts), []
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            sons.append([a[1], b[1]])
+            heapq.heappush(heap, (a[0] + b[0], n + len(sons) - 1))
+        assert tree.sons.tolist() == sons
+        edges = r.random((n - 1, 2, 3))
+        size, begin, nodes, bits = tree.paths()
+        slow = [sum((edges[nodes[at], bits[at]] for at in range(b, b + m)), np.zeros(3)) for b, m in zip(begin, size)]
+        assert np.allclose(tree.down(edges), slow) and tree.up(counts).tolist()[-1] == counts.sum()
+
+
+def test_lm_leaves_nothing_behind_but_what_is_read_again(spark):
+    # what counting words and cells and the shelves need is gone before the shards' shuffles begin
+    rows = [(k, t) for k, t, _ in corpus(120, 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = pathlib.Path(shared_dir(spark)) / "quadrille"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {f.getName() for f in map(disk.getAllFiles().apply, range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before, words = names(), set(scratch.glob("lm-words-*"))
+    scored = lm.score(table, hot=20)
+    for _ in range(50):  # files go in the background
+        if names() <= before:
+            break
+        time.sleep(0.1)
+    assert names() <= before and set(scratch.glob("lm-words-*")) == words
+    assert scored.count() == len(rows)
+
+
+def test_lm_without_training_rows(spark):
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:6]
+    texts = ["a b c.", "", "a a a", None, "d", "b c."]
+    got = {g["doc_id"]: g for g in lm.score(spark.createDataFrame(list(zip(held, texts)), "doc_id long, text string")).collect()}
+    assert len(got) == 6
+    for i, t in zip(held, texts):
+        g = got[i]
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"], g["base_score"]) == (len((t or "").split()) + 1, 0, 0, 0) and -1000 < g["score"] < 0
+
+
 def test_lm_shelf_is_a_distribution():
     r = np.random.default_rng(6)
     words, n = [b"w%d" % k for k in range(40)], 3000
