@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import forget, saved
 
+FEW = 1 << 17  # partitions' counts that are broadcast at most
 _PART = 33  # bits below the partition's number in an id of ordered_ids
 
 
+def sort_key(columns: list[str], ends: list) -> list[Column]:
+    """The order of these columns, whose least and greatest values are ends, as one long where they fit: Spark compares rows of several keys one by one."""
+    bits = [0 if low is None else (int(high) - int(low)).bit_length() for low, high in zip(ends[::2], ends[1::2])]
+    if sum(bits) > 62 or None in ends:
+        return [F.col(c) for c in columns]
+    key = F.lit(0).cast("long")
+    for c, low, b in zip(columns, ends[::2], bits):
+        key = F.shiftleft(key, b) + (F.col(c).cast("long") - F.lit(int(low)).cast("long"))
+    return [key]
+
+
 def ordered_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with `id`, on disk: unique longs that ascend in `order`, with gaps. One range shuffle; no row leaves its partition for it."""
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -25,7 +37,8 @@ def numbered(df: DataFrame, group: str, number: str) -> DataFrame:
     own = at.withColumn("_own", F.row_number().over(Window.partitionBy(group, "_part").orderBy("id")) - 1)
     counts = at.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(group).orderBy("_part")
-    first = counts.select(group, "_part", (F.sum("_n").over(upto) - F.col("_n")).alias("_first"))
+    first = saved(counts.select(group, "_part", (F.sum("_n").over(upto) - F.col("_n")).alias("_first")), "numbers")
+    first = first.hint("broadcast" if first.count() <= FEW else "merge")  # else Spark may shuffle df to join it
     return own.join(first, [group, "_part"]).select(*df.columns, (F.col("_first") + F.col("_own")).alias(number))
 
 

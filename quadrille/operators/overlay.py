@@ -25,7 +25,7 @@ class Overlay:
         self.options = options
         self.contours, self.rejects = edges.quarantine(contours)
         self._slabs: DataFrame | None = None
-        self._swept: DataFrame | None = None
+        self._dealt: tuple[DataFrame, DataFrame] | None = None
         self.table: str | None = None
 
     @classmethod
@@ -39,10 +39,15 @@ class Overlay:
     @property
     def slabs(self) -> DataFrame:
         if self._slabs is None:
-            self._swept = sweep.swept(self.contours)
-            self._slabs = self._swept.drop("block")
+            self._slabs = sweep.swept(*self._sent).drop("block")
         return self._slabs
 
+    @property
+    def _sent(self) -> tuple[DataFrame, DataFrame]:
+        if self._dealt is None:
+            self._dealt = sweep.sent(self.contours)
+        return self._dealt
+
     def stored(self, buckets: int | None = None, name: str | None = None) -> "Overlay":
         """Sweeps now and keeps the slabs as a table in the shared folder, bucketed by strip: (group_id, x0), sorted by y0.
 
@@ -54,14 +59,14 @@ class Overlay:
         table = name or f"slabs_{uuid.uuid4().hex}"
         dealt = self.slabs.repartition(buckets, "group_id", "x0").write.bucketBy(buckets, "group_id", "x0").sortBy("group_id", "x0", "y0")
         dealt.option("path", scratch_path(spark, table)).option("compression", "zstd").saveAsTable(table)
-        self._slabs, self._swept, self.table = spark.table(table), None, table
+        self._slabs, self.table = spark.table(table), table
         return self
 
     @classmethod
     def reopened(cls, spark: SparkSession, table: str, options: Options = Options()) -> "Overlay":
         """An overlay of the slabs that stored() kept; it has no contours and no rejects."""
         out = cls.__new__(cls)
-        out.options, out.contours, out.rejects, out._slabs, out._swept, out.table = options, None, None, spark.table(table), None, table
+        out.options, out.contours, out.rejects, out._slabs, out._dealt, out.table = options, None, None, spark.table(table), None, table
         return out
 
     def dropped(self) -> "Overlay":
@@ -102,16 +107,16 @@ class Overlay:
         return boundary.links(self.masked_segments(fill), rule)
 
     def shapes(self, rule: OverlayRule, fill: FillRule = FillRule.NON_ZERO) -> DataFrame:
-        return rings.shapes_of(self._traced(rule, fill), self.options)
+        return rings.shapes_of(*self._traced(rule, fill), self.options)
 
     def flat_contours(self, rule: OverlayRule, fill: FillRule = FillRule.NON_ZERO) -> DataFrame:
-        return rings.flat_contours_of(self._traced(rule, fill, bool(self.options.min_output_area)), self.options)
+        return rings.flat_contours_of(*self._traced(rule, fill, bool(self.options.min_output_area)), self.options)
 
-    def _traced(self, rule: OverlayRule, fill: FillRule, bind: bool = True) -> DataFrame:
+    def _traced(self, rule: OverlayRule, fill: FillRule, bind: bool = True) -> tuple[DataFrame | None, DataFrame | None]:
         if self.options.preserve_output_collinear:
-            return rings.traced_links(self.masked_segments(fill), rule, self.options)
-        slab_table = self.slabs
-        return rings.traced(corners.of_slabs(slab_table if self._swept is None else self._swept, rule, fill), self.options, bind)
+            return None, rings.traced_links(self.masked_segments(fill), rule, self.options)
+        found = corners.of_slabs(self.slabs, rule, fill) if self.table is not None else corners.of_horizontals(sweep.in_order(*self._sent), rule, fill)
+        return rings.traced(found, self.options, bind)
 
 
 def _size():

@@ -148,10 +148,8 @@ def _rings(edge_table: DataFrame, ranks: DataFrame, options: Options) -> DataFra
     return out
 
 
-def traced_links(masked: DataFrame, rule: OverlayRule, options: Options = Options(), bind: bool = True) -> DataFrame:
-    """(id, group_id, hole, points, owner): the rings that are shown, with the outer ring of their shape."""
-    if not options.preserve_output_collinear:
-        return traced(corners.of_links(masked, rule), options, bind)
+def traced_links(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
+    """(id, group_id, hole, points, owner): the rings that are shown, with the outer ring of their shape, out of pieces of links."""
     piece_table = saved(pieces(masked, rule, options), "ring-pieces")
     edge_table = edges_of(piece_table)
     ranks = saved(ranked_rings(edge_table), "ring-ranks")
@@ -161,26 +159,32 @@ def traced_links(masked: DataFrame, rule: OverlayRule, options: Options = Option
     return outer.unionByName(each.where("hole").join(parents, "id").select(*outer.columns))
 
 
-def traced(corner_table: DataFrame, options: Options = Options(), bind: bool = True) -> DataFrame:
-    """The same out of corners: rings closed nearby, the others by links along lines and pointer doubling. Unless bind, owners of holes may be null."""
+def traced(corner_table: DataFrame, options: Options = Options(), bind: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Out of corners (id, group_id, ids, contours), the shapes that are found whole nearby, and (id, group_id, hole, points, owner), the rings of the
+    others, if any: by links along lines and pointer doubling. Unless bind, owners of the latter's holes may be null."""
     laid = saved(corner_table, "ring-corners")
-    parts = saved(corners.near(corners.verticals(laid)), "ring-parts")
+    parts = saved(corners.near(laid, 2 * options.min_output_area), "ring-parts")
     forget(laid)
-    each = parts.where("points is not null").select("id", "group_id", "hole", "points", "owner", "x", "floor")
-    loose = parts.where("points is null").select("id", "group_id", "x", "y0", "y1", "top", "r0", "t0", "r1", "t1", "floor")
+    turned = lambda p: p
+    if ContourDirection(options.output_direction) is ContourDirection.CLOCKWISE:
+        turned = lambda p: F.concat(F.slice(F.reverse(p), -1, 1), F.slice(F.reverse(p), F.lit(1), F.size(p) - 1))  # noqa: E731  begun at the smallest again
+    whole = parts.where("x is null").select("id", "group_id", "ids", "contours")
+    if ContourDirection(options.output_direction) is ContourDirection.CLOCKWISE:
+        whole = whole.withColumn("contours", F.transform("contours", turned))
+    if not parts.where("x is not null").take(1):
+        return whole, None
+    each = parts.where("hole is not null").select("id", "group_id", "hole", "points", "owner", "x", "floor")
+    loose = parts.where("y0 is not null").select("id", "group_id", "x", "y0", "y1", "top", "r0", "t0", "r1", "t1", "floor")
     if loose.take(1):
         each = each.unionByName(saved(_linked_rings(loose), "ring-rest"))
     lost = each.where("owner is null").select("id", "group_id", "x", "floor")
     if bind and lost.take(1):
         found = saved(_owners(each, lost), "ring-owners-all")
         each = each.join(found.withColumnRenamed("owner", "_owner"), "id", "left").withColumn("owner", F.coalesce("owner", "_owner"))
-    points = F.reverse("points") if ContourDirection(options.output_direction) is ContourDirection.CLOCKWISE else F.col("points")
-    if ContourDirection(options.output_direction) is ContourDirection.CLOCKWISE:
-        points = F.concat(F.slice(points, -1, 1), F.slice(points, F.lit(1), F.size(points) - 1))  # begun at the smallest again
-    out = each.select("id", "group_id", "hole", F.explode(F.array(points)).alias("points"), "owner")
+    out = each.select("id", "group_id", "hole", F.explode(F.array(turned(F.col("points")))).alias("points"), "owner")
     if options.min_output_area:
         out = out.where(F.abs(ring_area2(F.col("points"))) >= 2 * options.min_output_area)
-    return out
+    return whole, out
 
 
 def _linked_rings(loose: DataFrame) -> DataFrame:
@@ -241,28 +245,42 @@ def _bound(shown: DataFrame) -> DataFrame:
 
 def shapes(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
     """(group_id, shape_id, contours) out of boundary links, as shapes_of."""
-    return shapes_of(traced_links(masked, rule, options), options)
+    if options.preserve_output_collinear:
+        return shapes_of(None, traced_links(masked, rule, options), options)
+    return shapes_of(*traced(corners.of_links(masked, rule), options), options)
 
 
-def shapes_of(rings: DataFrame, options: Options = Options()) -> DataFrame:
+def shapes_of(whole: DataFrame | None, rings: DataFrame | None, options: Options = Options()) -> DataFrame:
     """(group_id, shape_id, contours): contour 0 is the outer ring, the rest are its holes; each begun at its smallest point. Shapes
-    count from 0 within a group, in ascending order of the least edge of their outer ring, as the holes of a shape."""
-    bound = saved(_bound(rings) if options.min_output_area else rings, "rings")
-    order = numbered(bound.where("not hole").select("id", "group_id"), "group_id", "shape_id")
-    contour = F.sort_array(F.collect_list(F.struct("hole", "id", "points")))
-    whole = bound.groupBy("owner").agg(contour.alias("c")).select(F.col("owner").alias("id"), F.col("c.points").alias("contours"))
-    return order.join(whole, "id").select("group_id", F.col("shape_id").cast("int").alias("shape_id"), "contours")
+    count from 0 within a group, in ascending order of the least edge of their outer ring, as the holes of a shape. Out of whole shapes and rings of others."""
+    each = None if whole is None else whole.select("id", "group_id", "contours")
+    if rings is not None:
+        shown = _bound(saved(rings, "rings")) if options.min_output_area else rings
+        contour = F.sort_array(F.collect_list(F.struct("hole", "id", "points")))
+        bound = shown.groupBy("owner", "group_id").agg(contour.alias("c")).select(F.col("owner").alias("id"), "group_id", F.col("c.points").alias("contours"))
+        bound = saved(bound, "ring-shapes")
+        each = bound if each is None else each.unionByName(bound)
+    return numbered(each, "group_id", "shape_id").select("group_id", F.col("shape_id").cast("int").alias("shape_id"), "contours")
 
 
 def flat_contours(masked: DataFrame, rule: OverlayRule, options: Options = Options()) -> DataFrame:
     """(group_id, contour_id, is_hole, points) out of boundary links, as flat_contours_of."""
-    return flat_contours_of(traced_links(masked, rule, options, bool(options.min_output_area)), options)
+    if options.preserve_output_collinear:
+        return flat_contours_of(None, traced_links(masked, rule, options), options)
+    return flat_contours_of(*traced(corners.of_links(masked, rule), options, bool(options.min_output_area)), options)
 
 
-def flat_contours_of(rings: DataFrame, options: Options = Options()) -> DataFrame:
+def flat_contours_of(whole: DataFrame | None, rings: DataFrame | None, options: Options = Options()) -> DataFrame:
     """(group_id, contour_id, is_hole, points): rings alone. Outer rings count from 0 within a group, in ascending order of their least edge;
     holes follow them."""
-    shown = saved(_bound(rings) if options.min_output_area else rings, "rings")  # the holes of dropped outer rings go with them
+    shown = None
+    if rings is not None:
+        shown = saved(_bound(saved(rings, "rings")) if options.min_output_area else rings, "rings")  # the holes of dropped outer rings go with them
+        shown = shown.select("id", "group_id", "hole", "points")
+    if whole is not None:
+        apart = whole.select("group_id", F.posexplode(F.arrays_zip("ids", "contours")).alias("k", "c"))
+        apart = apart.select(F.col("c.ids").alias("id"), "group_id", (F.col("k") > 0).alias("hole"), F.col("c.contours").alias("points"))
+        shown = apart if shown is None else shown.unionByName(apart)
     each = [numbered(shown.where(F.col("hole") == h).select("id", "group_id", "points"), "group_id", "k").withColumn("is_hole", F.lit(h)) for h in (False, True)]
     outers = shown.where("not hole").groupBy("group_id").agg(F.count(F.lit(1)).alias("outers"))
     holes = each[1].join(outers, "group_id").withColumn("k", F.col("k") + F.col("outers")).drop("outers")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import floor_log2
 from ..tables import saved
 from .edges import merge, segments
+from .graph import sort_key
 
 BLOCK = 5  # log2 of the strips in a block
 ROWS = 1 << 19  # horizontals for each partition of the sweep, where there are more partitions than usual
@@ -62,7 +63,7 @@ def _ends(h: DataFrame) -> tuple[DataFrame, int, bool]:
 
 def _dealt(xs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(group_id, c, first, shift): where the blocks of every coarse bucket that holds an end begin, and how wide they are; a block's number is
-    first + ((x within the bucket) >> shift). And (group_id, block, borders): the ends that a block holds, and the first of the next block.
+    first + ((x within the bucket) >> shift). And (group_id, block, x): the ends that a block holds.
 
     A bucket of m ends is cut into as many blocks of equal width as m has 2**BLOCK; buckets with fewer share blocks. So blocks follow the
     data, empty buckets have none, and numbers ascend with x. A block holds at most its width or its bucket's ends.
@@ -74,11 +75,15 @@ def _dealt(xs: DataFrame) -> tuple[DataFrame, DataFrame]:
     coarse = coarse.select("group_id", "c", F.shiftright(F.sum("m").over(over) - F.col("m"), BLOCK).alias("first"), (F.lit(COARSE) - cut).alias("shift"))
     coarse = saved(coarse, "sweep-buckets")  # counted, as Spark's guess of the sizes may send the horizontals instead
     coarse = coarse.hint("broadcast" if coarse.count() <= FEW else "merge")
-    own = at.join(coarse, ["group_id", "c"]).select("group_id", _block("x", "first", "shift").alias("block"), "x")
+    return coarse, at.join(coarse, ["group_id", "c"]).select("group_id", _block("x", "first", "shift").alias("block"), "x")
+
+
+def _borders(own: DataFrame) -> DataFrame:
+    """(group_id, block, borders): the ends that a block holds, and the first of the next block."""
     held = own.groupBy("group_id", "block").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     after = F.lead(F.col("xs")[0]).over(Window.partitionBy("group_id").orderBy("block"))
     held = held.withColumn("after", after)
-    return coarse, held.select("group_id", "block", F.when(F.col("after").isNull(), F.col("xs")).otherwise(F.concat("xs", F.array("after"))).alias("borders"))
+    return held.select("group_id", "block", F.when(F.col("after").isNull(), F.col("xs")).otherwise(F.concat("xs", F.array("after"))).alias("borders"))
 
 
 def _block(x: str, first: str, shift: str) -> Column:
@@ -87,27 +92,46 @@ def _block(x: str, first: str, shift: str) -> Column:
 
 def slabs(contours: DataFrame) -> DataFrame:
     """(group_id, x0, x1, y0, y1, ws, wc): disjoint rectangles of constant subject and clip winding."""
-    return swept(contours).drop("block")
+    return swept(*sent(contours)).drop("block")
 
 
-def swept(contours: DataFrame) -> DataFrame:
-    """slabs with the block of strips that a slab is in, by which they are dealt.
+def sent(contours: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group_id, block, y, lo, hi, subj, clip): horizontals, once for every block of strips that they cross; and (group_id, block, x): its ends.
 
-    Horizontals alone tell the winding everywhere. A horizontal is sent once to every block of strips that it crosses, and spread over the
-    strips of a block where the block is. That one exchange on (group_id, block) serves the strips' coordinates and the running sums, which
-    read sorted rows and keep none. Horizontals are merged first, by an exchange of its own, only where many coincide. A first pass over them
+    Horizontals alone tell the winding everywhere. They are merged first, by an exchange of its own, only where many coincide. A first pass over them
     runs when this is called, and deals as many partitions as ROWS asks for.
     """
     raw = segments(contours).where("orient = 'H'")
     xs, n, crowded = _ends(raw)
     parts = max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS)
     h = merge(raw) if crowded else raw
-    coarse, strips = _dealt(xs)
+    coarse, own = _dealt(xs)
     of = lambda x: coarse.select("group_id", F.col("c").alias(f"c_{x}"), F.col("first").alias(f"first_{x}"), F.col("shift").alias(f"shift_{x}"))
     at = h.withColumns({"c_lo": F.shiftright("lo", COARSE), "c_hi": F.shiftright("hi", COARSE)}).join(of("lo"), ["group_id", "c_lo"]).join(of("hi"), ["group_id", "c_hi"])
     crossed = F.explode(F.sequence(_block("lo", "first_lo", "shift_lo"), _block("hi", "first_hi", "shift_hi")))
-    sent = at.select("group_id", crossed.alias("block"), F.col("pos").alias("y"), "lo", "hi", "subj", "clip").repartition(parts, "group_id", "block")
-    here = sent.join(strips.repartition(parts, "group_id", "block").hint("shuffle_hash"), ["group_id", "block"])
+    rows = at.select("group_id", crossed.alias("block"), F.col("pos").alias("y"), "lo", "hi", "subj", "clip").repartition(parts, "group_id", "block")
+    own.parts = parts
+    return rows, own
+
+
+def in_order(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """(group_id, block, y, lo, hi, subj, clip): horizontals cut to their blocks, each block's in one partition, upwards."""
+    held = own.groupBy("group_id", "block").agg(F.min("x").alias("from_x"), F.max("x").alias("most"))
+    after = F.lead("from_x").over(Window.partitionBy("group_id").orderBy("block"))
+    held = held.select("group_id", "block", "from_x", F.coalesce(after, "most").alias("to_x")).repartition(own.parts, "group_id", "block")
+    cut = rows.join(held.hint("shuffle_hash"), ["group_id", "block"]).withColumns({"lo": F.greatest("lo", "from_x"), "hi": F.least("hi", "to_x")}).where("lo < hi")
+    ends = own.agg(*[f(c) for c in ("group_id", "block") for f in (F.min, F.max)]).first()
+    key = sort_key(["group_id", "block", "y"], [*ends, -(1 << 31), (1 << 31) - 1])
+    return cut.sortWithinPartitions(*key).select("group_id", "block", "y", "lo", "hi", "subj", "clip")
+
+
+def swept(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """slabs with the block of strips that a slab is in, by which they are dealt, out of what sent() gives.
+
+    A horizontal is sent once to every block of strips that it crosses, and spread over the strips of a block where the block is. That one
+    exchange on (group_id, block) serves the strips' coordinates and the running sums, which read sorted rows and keep none.
+    """
+    here = rows.join(_borders(own).repartition(own.parts, "group_id", "block").hint("shuffle_hash"), ["group_id", "block"])
     b = F.col("borders")
     begin = F.when(F.col("lo") <= b[0], 1).otherwise(F.array_position(b, F.col("lo")).cast("int"))
     end = F.when(F.col("hi") >= F.element_at(b, -1), F.size(b)).otherwise(F.array_position(b, F.col("hi")).cast("int"))

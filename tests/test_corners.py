@@ -9,7 +9,7 @@ import pytest
 
 from plain_rings import plain_shapes
 from quadrille import tables
-from quadrille.model import FillRule, OverlayRule
+from quadrille.model import FillRule, Options, OverlayRule
 from quadrille.operators import corners
 from quadrille.operators.overlay import Overlay
 from quadrille.sources.contours import from_rects
@@ -40,3 +40,19 @@ def test_short_rings_are_not_doubled(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "shared_dir", lambda _: str(tmp_path))
     assert Overlay(windows(spark, 8)).shapes(OverlayRule.DIFFERENCE).count() == 64
     assert not [n for n in os.listdir(tmp_path / "quadrille") if n.startswith("ring-left")]
+
+
+@pytest.mark.parametrize("least", [0, 101])
+def test_shapes_are_whole_where_their_corners_lie(spark, tmp_path, monkeypatch, least):
+    """Rings across pieces, and the rings of every shape, once went through joins over the whole table."""
+    monkeypatch.setattr(tables, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(corners, "PIECE", 50)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = Overlay(windows(spark, 12), Options(min_output_area=least)).shapes(OverlayRule.DIFFERENCE).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert sorted(r["shape_id"] for r in got) == list(range(144))
+    assert {len(r["contours"]) for r in got} == {1 if least else 2}
+    assert not [n for n in os.listdir(tmp_path / "quadrille") if n.startswith(("ring-ends", "ring-rest", "ring-shapes", "rings"))]
