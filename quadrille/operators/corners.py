@@ -17,6 +17,7 @@ from ..functions.rules import filled, included, inside, top_inside
 from ..model import FillRule, OverlayRule
 
 PIECE = 1 << 17  # verticals that are searched for rings at once
+SWEPT = 1 << 15  # horizontals of blocks that are swept at once, each times the strips that it crosses
 ROWS = 1 << 20  # corners for each partition, where there are more partitions than usual
 _POINT = pa.struct([("x", pa.int32()), ("y", pa.int32())])
 _LOOSE = ("y0", "y1", "top", "r0", "t0", "r1", "t1")
@@ -42,7 +43,7 @@ def of_slabs(slabs: DataFrame, rule: OverlayRule, fill: FillRule) -> DataFrame:
 def of_horizontals(sent: DataFrame, rule: OverlayRule, fill: FillRule) -> DataFrame:
     """The same out of horizontals cut to blocks of strips, dealt by block and sorted upwards (sweep.in_order). A block is swept in pieces; from one to the
     next go the windings of its strips."""
-    piece = PIECE
+    piece = min(PIECE, SWEPT)
 
     def run(batches):
         held, rows, rest, state = [], 0, None, None
